@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, quality_rules
+from . import line_dedup, media, near_dedup, quality_rules
 
 QUERIES = {
     "op7_telephony_audio": media.query,
+    "op8_minhash_near_dedup": near_dedup.query,
     "op9_line_dedup": line_dedup.query,
     "op10_weak_supervision": quality_rules.query,
 }
 ORACLES = {
+    "op8_minhash_near_dedup": near_dedup.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
