@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, near_dedup, quality_rules
+from . import line_dedup, media, near_dedup, pii, quality_rules
 
 QUERIES = {
+    "op1_semi_markov_pii": pii.query,
     "op7_telephony_audio": media.query,
     "op8_minhash_near_dedup": near_dedup.query,
     "op9_line_dedup": line_dedup.query,
