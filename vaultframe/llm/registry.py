@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, near_dedup, pii, quality_rules
+from . import line_dedup, media, near_dedup, packing, pii, quality_model, quality_rules
 
 QUERIES = {
     "op1_semi_markov_pii": pii.query,
+    "op2_mixture_packing": packing.query,
+    "op4_boosted_trees": quality_model.query,
     "op7_telephony_audio": media.query,
     "op8_minhash_near_dedup": near_dedup.query,
     "op9_line_dedup": line_dedup.query,
