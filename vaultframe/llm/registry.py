@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, media, mixing, near_dedup, packing, pii, quality_model, quality_rules, quotes
+from . import line_dedup, media, mixing, near_dedup, packing, pii, quality_model, quality_rules, quotes, substring_dedup
 
 QUERIES = {
     "op1_semi_markov_pii": pii.query,
     "op2_mixture_packing": packing.query,
+    "op3_paragraph_banding": substring_dedup.query,
     "op4_boosted_trees": quality_model.query,
     "op5_pfair_mixing": mixing.query,
     "op6_quotation_linking": quotes.query,
