@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import line_dedup, media, mixing, near_dedup, packing, pii, quality_model, quality_rules, quotes, substring_dedup
 
 QUERIES = {
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.query,
     "op9_line_dedup": line_dedup.query,
     "op10_weak_supervision": quality_rules.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op6_quotation_linking": quotes.ORACLE,
