@@ -1,12 +1,12 @@
 """Links between similar items, and the groups that links form, at any group size.
 
 An item is a distinct shingle set with a bigint id; equal sets are one item before this
-begins. Items that share a key form a bucket. No bucket is ever gathered or paired off: in
-each round some of its members lead, every other member is held against the leaders only,
-and leaders then leave the bucket, as nothing is left to compare them with. A bucket whose
-members have come to lie in one component is done. A group of near copies, however large,
-is so resolved in one or two rounds; for the rest the number of leaders doubles with each
-round, so every pair that shares a key is compared or already connected when it ends.
+begins. Items that share a key form a bucket. No bucket is gathered or paired off. First
+its least member leads: every other is held against it, which resolves a group of near
+copies however large. In buckets whose members are then still in several components, the
+members outside the largest one are held against all others of other components, in blocks
+of signatures that give out close pairs only. Every pair that shares a key is so compared,
+or connected already.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from .shingles import overlap
 
 #: As many ids, at 8 bytes each, may be broadcast; above that, a shuffle join is used.
 MAX_BROADCAST_IDS = 1_000_000
+#: Sizes of the blocks in which signatures are compared.
+LEADERS_A_BLOCK, MEMBERS_A_BLOCK = 256, 4096
 #: Pairs that one leader's set serves in one task.
 PAIRS_A_SALT = 500
 
@@ -100,44 +102,69 @@ def bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
-def groups(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, signatures: DataFrame | None = None, max_errors: int = 0) -> DataFrame:
+def _blocks(rows: DataFrame, signatures: DataFrame, max_errors: int) -> DataFrame:
+    """Close pairs (a, b) of rows (key, id, label) that share a key and not a label.
+
+    All members of a key but those of its most frequent label lead; at least one of any
+    such pair does. Leaders and members are dealt into blocks of bounded size, so a key of
+    any size is spread over tasks; a task holds one block of leaders.
+    """
+    counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("labels"))
+    several = counts.where("labels > 1").select("key", F.col("top.label").alias("top"), F.expr(f"cast((n - top.c) div {LEADERS_A_BLOCK} + 1 as int)").alias("lead_blocks"), F.expr(f"cast(n div {MEMBERS_A_BLOCK} + 1 as int)").alias("member_blocks"))
+    signed = rows.join(several, "key").join(signatures, "id")
+    h = F.xxhash64("id")
+    lead = signed.where("label <> top").select("key", F.pmod(h, F.col("lead_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("j"), F.lit(0).alias("member"), "id", "label", "signature")
+    every = signed.select("key", F.explode(F.sequence(F.lit(0), F.col("lead_blocks") - 1)).alias("i"), F.pmod(h, F.col("member_blocks")).cast("int").alias("j"), F.lit(1).alias("member"), "id", "label", "signature")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lead.unionByName(every).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "member")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        block = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, i, j, member, ids, labels = (batch.column(c).to_numpy() for c in range(6))
+            signs = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (member[1:] != member[:-1])) + 1).tolist(), len(key)]
+            found: list[np.ndarray] = []
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                here = (key[lo], i[lo], j[lo])
+                if not member[lo]:
+                    part = [ids[lo:hi], labels[lo:hi], signs[lo:hi]]
+                    held = [np.concatenate([x, y]) for x, y in zip(held, part, strict=True)] if here == block and held else part
+                    block = here
+                elif here == block:
+                    for at in range(lo, hi, 256):
+                        end = min(at + 256, hi)
+                        errors = np.zeros((len(held[0]), end - at), np.int16)
+                        for column in range(signs.shape[1]):
+                            errors += held[2][:, column, None] != signs[at:end, column]
+                        x, y = np.nonzero((errors <= max_errors) & (held[1][:, None] != labels[at:end]))
+                        found.append(np.stack([held[0][x], ids[at:end][y]]))
+            pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(0)), pa.array(pairs.max(0))], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def groups(keys: DataFrame, signatures: DataFrame, max_errors: int, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """``id, label`` for all items that link to another; label is the least id of the group.
 
-    ``keys``: (key, id). ``sets_of`` gives (id, set) for a table of ids; a set is its sorted
-    64-bit hashes as bytes. Two items link if they share a key, their ``signatures``, if
-    given, differ in ``max_errors`` symbols at most, and their sets pass ``percent``.
+    ``keys``: (key, id), ``signatures``: (id, signature). ``sets_of`` gives (id, set) for a
+    table of ids; a set is its sorted 64-bit hashes as bytes. Two items link if they share a
+    key, their signatures differ in ``max_errors`` symbols at most, and 100 * intersection
+    >= ``percent`` * union.
     """
     keys = written(keys, "keys")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo")).where("n > 1")
     buckets = written(keys.join(sizes, "key"), "buckets")
-    links, labels, lead = [], None, 1
-    while True:
-        # a bucket's least member leads, and others by a hash that differs by bucket and round
-        chosen = (F.col("id") == F.col("lo")) | (F.pmod(F.xxhash64("id", "key", F.lit(lead)), F.col("n")) < lead - 1)
-        rows = buckets.withColumn("leads", chosen)
-        if labels is not None:
-            rows = rows.withColumn("mark", F.col("label"))
-        if lead == 1:
-            pairs = rows.where("not leads").select(F.col("lo").alias("a"), F.col("id").alias("b"))
-        else:
-            left = rows.where("leads").select("key", F.col("id").alias("a"), F.col("label").alias("la"))
-            pairs = rows.join(left, "key").where("id <> a and label <> la").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-        pairs = pairs.distinct()
-        if signatures is not None:
-            pairs = _close(pairs, signatures, max_errors)
-        pairs = written(pairs, "close")
-        if pairs.limit(1).count():
-            links.append(written(_confirmed(pairs, sets_of, percent), "links"))
-            every = links[0]
-            for x in links[1:]:
-                every = every.union(x)
-            labels = components(every)
-        elif labels is None:
-            labels = pairs.select(F.col("a").alias("id"), F.col("a").alias("label"))
-        rest = rows.where("not leads and n > 2").select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        rest = written(rest, "rest")
-        open_ = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("n > 1 and l0 <> l1").drop("l0", "l1")
-        buckets = written(rest.join(open_, "key"), "buckets")
-        if not buckets.limit(1).count():
-            return labels
-        lead *= 2
+    pairs = buckets.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
+    links = written(_confirmed(written(_close(pairs, signatures, max_errors), "close"), sets_of, percent), "links")
+    labels = components(links)
+    rest = buckets.where("id <> lo and n > 2").select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    late = written(_blocks(written(rest, "rest"), signatures, max_errors), "close")
+    if not late.limit(1).count():
+        return labels
+    more = written(_confirmed(late, sets_of, percent), "links")
+    return components(links.union(more))

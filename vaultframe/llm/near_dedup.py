@@ -101,7 +101,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # a smaller set differs from any other by more than the threshold
     least = -(-percent // (100 - percent)) if percent < 100 else 2**62
     able = classes.where(F.col("n") >= least).select("id", "signature")
-    labels = near.groups(keyed(able), lambda ids: set_table(docs, width, ids).dropDuplicates(["id"]), percent, able, MAX_ERRORS)
+    labels = near.groups(keyed(able), able, MAX_ERRORS, lambda ids: set_table(docs, width, ids).dropDuplicates(["id"]), percent)
     of = classes.select("d1", "d2", "id").join(labels, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("component"))
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(of, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
