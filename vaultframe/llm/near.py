@@ -102,69 +102,146 @@ def bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
-def _blocks(rows: DataFrame, signatures: DataFrame, max_errors: int) -> DataFrame:
-    """Close pairs (a, b) of rows (key, id, label) that share a key and not a label.
+def _blocks(rows: DataFrame, signatures: DataFrame, max_errors: int, keys_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Tiles of close pairs of rows (key, id, label) that share a key and not a label.
 
     All members of a key but those of its most frequent label lead; at least one of any
     such pair does. Leaders and members are dealt into blocks of bounded size, so a key of
-    any size is spread over tasks; a task holds one block of leaders.
+    any size is spread over tasks; a task holds one block of leaders. A pair counts only
+    under the first of the keys that it shares, so no pair is looked at twice.
+
+    Gives (key, i, j, member, number, id, label, bits): the leaders of each tile and the
+    members close to any of them, whose ``bits`` tell to which by their ``number``.
     """
     counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("labels"))
     several = counts.where("labels > 1").select("key", F.col("top.label").alias("top"), F.expr(f"cast((n - top.c) div {LEADERS_A_BLOCK} + 1 as int)").alias("lead_blocks"), F.expr(f"cast(n div {MEMBERS_A_BLOCK} + 1 as int)").alias("member_blocks"))
     signed = rows.join(several, "key").join(signatures, "id")
-    h = F.xxhash64("id")
-    lead = signed.where("label <> top").select("key", F.pmod(h, F.col("lead_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("j"), F.lit(0).alias("member"), "id", "label", "signature")
-    every = signed.select("key", F.explode(F.sequence(F.lit(0), F.col("lead_blocks") - 1)).alias("i"), F.pmod(h, F.col("member_blocks")).cast("int").alias("j"), F.lit(1).alias("member"), "id", "label", "signature")
+    h, leads = F.xxhash64("id"), F.col("label") != F.col("top")
+    lead = signed.where(leads).select("key", F.pmod(h, F.col("lead_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("j"), F.lit(0).cast("byte").alias("member"), "id", "label", leads.alias("leads"), "signature")
+    every = signed.select("key", F.explode(F.sequence(F.lit(0), F.col("lead_blocks") - 1)).alias("i"), F.pmod(h, F.col("member_blocks")).cast("int").alias("j"), F.lit(1).cast("byte").alias("member"), "id", "label", leads.alias("leads"), "signature")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lead.unionByName(every).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "member")
+    dealt = lead.unionByName(every).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "member", "id")
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int8(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["key", "i", "j", "member", "number", "id", "label", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        block = None
+        block, told = None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, i, j, member, ids, labels = (batch.column(c).to_numpy() for c in range(6))
-            signs = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+            leading = batch.column(6).to_numpy(zero_copy_only=False)
+            signs = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
             edges = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (member[1:] != member[:-1])) + 1).tolist(), len(key)]
-            found: list[np.ndarray] = []
+            out: list[tuple] = []
             for lo, hi in zip(edges, edges[1:], strict=False):
-                here = (key[lo], i[lo], j[lo])
+                here = (int(key[lo]), int(i[lo]), int(j[lo]))
                 if not member[lo]:
                     part = [ids[lo:hi], labels[lo:hi], signs[lo:hi]]
-                    held = [np.concatenate([x, y]) for x, y in zip(held, part, strict=True)] if here == block and held else part
-                    block = here
+                    held = [np.concatenate([x, y]) for x, y in zip(held, part, strict=True)] if here == block else part
+                    block, told = here, told and here == block
                 elif here == block:
                     for at in range(lo, hi, 256):
                         end = min(at + 256, hi)
                         errors = np.zeros((len(held[0]), end - at), np.int16)
                         for column in range(signs.shape[1]):
                             errors += held[2][:, column, None] != signs[at:end, column]
-                        x, y = np.nonzero((errors <= max_errors) & (held[1][:, None] != labels[at:end]))
-                        found.append(np.stack([held[0][x], ids[at:end][y]]))
-            pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(0)), pa.array(pairs.max(0))], names=["a", "b"])
+                        # of two that both lead, the lesser id leads
+                        once = (held[0][:, None] < ids[at:end]) | ~leading[at:end]
+                        x, y = np.nonzero((errors <= max_errors) & (held[1][:, None] != labels[at:end]) & once)
+                        if not len(x):
+                            continue
+                        own, other = keys_of(held[2][np.unique(x)]), keys_of(signs[at:end][np.unique(y)])
+                        same = own[np.searchsorted(np.unique(x), x)] == other[np.searchsorted(np.unique(y), y)]
+                        first = own[np.searchsorted(np.unique(x), x), same.argmax(1)] == here[0]
+                        x, y = x[first], y[first]
+                        if len(x) and not told:
+                            told = True
+                            out += [(*here, 0, k, a, b, b"") for k, (a, b) in enumerate(zip(held[0].tolist(), held[1].tolist(), strict=True))]
+                        for m in np.unique(y).tolist():
+                            bits = np.zeros(len(held[0]), np.uint8)
+                            bits[x[y == m]] = 1
+                            out.append((*here, 1, -1, int(ids[at + m]), int(labels[at + m]), np.packbits(bits).tobytes()))
+            cols = list(zip(*out, strict=True)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    return dealt.mapInArrow(run, "key long, i int, j int, member byte, number int, id long, label long, bits binary")
+
+
+def _tile_links(tiles: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Links (a, b) among the close pairs of ``tiles``, as many as join what they join.
+
+    Within a tile, pairs that labels or earlier links connect already aren't looked at, so
+    a tile gives fewer links than it has rows.
+    """
+    ids = written(tiles.select("id").distinct(), "ids")
+    sets = written(sets_of(ids), "sets")
+    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles.join(sets, "id").select("key", "i", "j", "member", "number", "id", "label", "bits", "set").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "member", "number", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, leaders, root = None, [], {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            cols = [batch.column(c).to_pylist() for c in range(8)]
+            for key, i, j, member, number, id_, label, bits, raw in zip(*cols, batch.column(8), strict=True):
+                if (key, i, j) != block:
+                    block, leaders, root = (key, i, j), {}, {}
+                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                if not member:
+                    leaders[number] = (id_, label, own.copy())
+                    continue
+                for k in np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))).tolist():
+                    other, other_label, theirs = leaders[k]
+                    x, y = find(label), find(other_label)
+                    if x == y:
+                        continue
+                    common = overlap(theirs, own)
+                    if 100 * common >= percent * (len(theirs) + len(own) - common):
+                        root[max(x, y)] = min(x, y)
+                        found.append((min(id_, other), max(id_, other)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def keyed(signatures: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(key, id): a row for each key of each (id, signature)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), -1)
+            for at in range(0, len(ids), 1024):
+                keys = keys_of(raw[at : at + 1024])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[at : at + 1024], keys.shape[1]))], names=["key", "id"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return signatures.mapInArrow(run, "key long, id long")
 
 
-def groups(keys: DataFrame, signatures: DataFrame, max_errors: int, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def groups(signatures: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], max_errors: int, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """``id, label`` for all items that link to another; label is the least id of the group.
 
-    ``keys``: (key, id), ``signatures``: (id, signature). ``sets_of`` gives (id, set) for a
-    table of ids; a set is its sorted 64-bit hashes as bytes. Two items link if they share a
-    key, their signatures differ in ``max_errors`` symbols at most, and 100 * intersection
-    >= ``percent`` * union.
+    ``signatures``: (id, signature of 16-bit symbols); ``keys_of`` gives the keys, a row of
+    bigints, of each row of symbols. ``sets_of`` gives (id, set) for a table of ids; a set
+    is its sorted 64-bit hashes as bytes. Two items link if they share a key, their
+    signatures differ in ``max_errors`` symbols at most, and 100 * intersection >=
+    ``percent`` * union.
     """
-    keys = written(keys, "keys")
+    keys = written(keyed(signatures, keys_of), "keys")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo")).where("n > 1")
     buckets = written(keys.join(sizes, "key"), "buckets")
     pairs = buckets.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
     links = written(_confirmed(written(_close(pairs, signatures, max_errors), "close"), sets_of, percent), "links")
     labels = components(links)
     rest = buckets.where("id <> lo and n > 2").select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    late = written(_blocks(written(rest, "rest"), signatures, max_errors), "close")
-    if not late.limit(1).count():
+    tiles = written(_blocks(written(rest, "rest"), signatures, max_errors, keys_of), "tiles")
+    if not tiles.limit(1).count():
         return labels
-    more = written(_confirmed(late, sets_of, percent), "links")
-    return components(links.union(more))
+    return components(links.union(written(_tile_links(tiles, sets_of, percent), "links")))

@@ -59,19 +59,6 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
     return out.reshape(len(x), -1).view(np.int64)
 
 
-def keyed(signatures: DataFrame) -> DataFrame:
-    """(key, id) for (id, signature)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), -1)
-            for at in range(0, len(ids), 1024):
-                keys = chunk_keys(raw[at : at + 1024])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[at : at + 1024], keys.shape[1]))], names=["key", "id"])
-
-    return signatures.mapInArrow(run, "key long, id long")
-
-
 def set_table(docs: DataFrame, width: int, ids: DataFrame) -> DataFrame:
     """(id, set) of the documents in ``ids``, from their whole texts again."""
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), as_bytes().alias("text")).join(near.bounded(ids), "id", "left_semi")
@@ -101,7 +88,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # a smaller set differs from any other by more than the threshold
     least = -(-percent // (100 - percent)) if percent < 100 else 2**62
     able = classes.where(F.col("n") >= least).select("id", "signature")
-    labels = near.groups(keyed(able), able, MAX_ERRORS, lambda ids: set_table(docs, width, ids).dropDuplicates(["id"]), percent)
+    labels = near.groups(able, chunk_keys, MAX_ERRORS, lambda ids: set_table(docs, width, ids).dropDuplicates(["id"]), percent)
     of = classes.select("d1", "d2", "id").join(labels, "id", "left").select("d1", "d2", F.coalesce("label", "id").alias("component"))
     out = rows.select("doc_id", "n_shingles", "d1", "d2").join(of, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))

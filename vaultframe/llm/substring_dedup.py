@@ -116,19 +116,13 @@ def _units(docs: DataFrame, kind: str) -> DataFrame:
     return docs.select(ids, as_bytes()).mapInArrow(run, schema)
 
 
-def band_keys(signatures: DataFrame) -> DataFrame:
-    """(key, id): BANDS keys of ROWS symbols for each (id, signature)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), BANDS, ROWS).astype(np.uint64)
-            key = np.zeros((len(ids), BANDS), np.uint64)
-            for j in range(ROWS):
-                key = key << np.uint64(16) | raw[:, :, j]
-            key = mixed(key + mixed(np.arange(1, BANDS + 1, dtype=np.uint64)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))], names=["key", "id"])
-
-    return signatures.mapInArrow(run, "key long, id long")
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """BANDS keys of ROWS symbols for each row of symbols."""
+    x = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
+    key = np.zeros((len(x), BANDS), np.uint64)
+    for j in range(ROWS):
+        key = key << np.uint64(16) | x[:, :, j]
+    return mixed(key + mixed(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
 
 
 def _sets(docs: DataFrame, holders: DataFrame, ids: DataFrame) -> DataFrame:
@@ -157,7 +151,7 @@ def _paragraph_matches(docs: DataFrame, percent: int) -> DataFrame:
     classes = written(units.groupBy("d1", "d2").agg(F.min(F.struct("doc", "at", "words")).alias("holder"), F.max("doc").alias("last"), F.first("signature").alias("signature")).withColumn("id", item), "classes")
     holders = classes.select("id", "holder.doc", "holder.at", "holder.words")
     items = classes.select("id", "signature").dropDuplicates(["id"])
-    labels = near.groups(band_keys(items), items, MAX_ERRORS, lambda ids: _sets(docs, holders, ids).dropDuplicates(["id"]), percent)
+    labels = near.groups(items, band_keys, MAX_ERRORS, lambda ids: _sets(docs, holders, ids).dropDuplicates(["id"]), percent)
     of = classes.join(labels, "id", "left").withColumn("cluster", F.coalesce("label", "id"))
     clusters = of.groupBy("cluster").agg(F.min(F.struct("holder.doc", "holder.at")).alias("first"), F.max("last").alias("last")).where("first.doc <> last")
     hot = of.select("d1", "d2", "cluster").join(clusters, "cluster").select("d1", "d2", "cluster", "first")
