@@ -1,0 +1,573 @@
+"""Each operator against a plain version of its definition on rows with every odd case."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from vaultframe.llm import line_dedup, media, mixing, near, near_dedup, packing, pii, quality_model, quality_rules, quotes, substring_dedup, text_stats
+from vaultframe.llm.shingles import Signer, overlap, shingle_set
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lowered(s):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+
+
+def sorted_rows(df, *cols):
+    return sorted(map(tuple, df.select(*cols).collect()), key=repr)
+
+
+# --- op1
+
+
+def plain_base(text):
+    out = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            digits = re.sub(r"[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (14 <= len(digits) <= 19 and sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(digits[::-1])) % 10 == 0):
+                continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), m.end(), kind))
+    return sorted(out, key=lambda s: (s[0], ["email", "ip", "card", "phone"].index(s[2])))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="aZ9.@+-_ ()1234567890%é\n", max_size=60))
+def test_base_spans_are_those_of_the_patterns(text):
+    assert pii.base_spans(text) == plain_base(text)
+
+
+def test_pii_query(docs, rows, empty):
+    got = sorted_rows(pii.found(docs), "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    want = []
+    for r in rows:
+        base = plain_base(r[1] or "")
+        counts = Counter(s[2] for s in base)
+        want.append((r[0], *[counts[k] for k in ("email", "ip", "card", "phone")], hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+    spans = {r["doc_id"]: r["spans"] for r in pii.found(docs).collect()}
+    assert "secret:" in spans[42] and "email:5:25" in spans[42] and spans[43] == spans[44] == ""
+    assert pii.found(empty).count() == 0
+
+
+def test_semi_markov_decoding_is_exact():
+    model = pii.trained()
+    for text, _ in pii.training_set(12, seed=31):
+        tokens = pii.tokenized(text)
+        segments = pii.candidates(text, tokens, np.zeros(len(tokens), bool))
+        every = [(i, j, k, f) for j, s in segments.items() for i, f in s for k in range(len(pii.ADDED))]
+        if len(every) > 60:
+            continue
+        best = 0.0
+        for a in every:
+            best = max(best, model.score(a[2], a[3]))
+            for b in every:
+                if a[1] <= b[0]:
+                    best = max(best, model.score(a[2], a[3]) + model.score(b[2], b[3]) + (model.follow(a[2], b[2]) if a[1] == b[0] else 0))
+        found = model.decode(len(tokens), segments)
+        score = sum(model.score(k, dict((i2, f) for i2, f in segments[j])[i]) for i, j, k in found)
+        assert len(found) > 2 or score == pytest.approx(best)
+
+
+def test_semi_markov_finds_held_out_entities_and_little_else():
+    finder, hit, want, extra = pii.Finder(pii.trained()), 0, 0, 0
+    for text, spans in pii.training_set(200, seed=1234):
+        got = set(finder(text, []))
+        hit, want, extra = hit + len(got & set(spans)), want + len(spans), extra + len(got - set(spans))
+    assert hit >= 0.97 * want and extra <= 0.03 * want
+
+
+# --- op2
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=40), max_size=5))
+def test_words_one_by_one_give_the_tokenizers_ids(texts):
+    tok = packing.WordTokenizer(packing.default_tokenizer())
+    for text, raw in zip(texts, tok(texts, 1), strict=True):
+        assert np.frombuffer(raw, tok.dtype).tolist() == [*tok.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 700), min_size=1, max_size=6), st.lists(st.integers(0, 50), min_size=6, max_size=6), st.integers(4, 64))
+def test_schedule_takes_every_token_once(totals, weights, size):
+    spans = packing.schedule(totals, weights[: len(totals)], size)
+    assert sum(s.windows * s.size for s in spans) == sum(totals)
+    assert all(s.size == size for s in spans[:-1])
+    given_ = [0] * len(totals)
+    for s in spans:
+        assert list(s.starts) == given_
+        previous = (0,) * (len(totals) + 1)
+        for k in range(1, s.windows + 1):
+            b = s.bounds(k)
+            take = [(b[q + 1] - b[q]) - (previous[q + 1] - previous[q]) for q in range(len(totals))]
+            assert min(take) >= 0 and sum(take) == s.size
+            for q in range(len(totals)):  # the deficit that a queue carries
+                assert abs((b[q + 1] - b[q]) - k * s.size * (s.cum[q + 1] - s.cum[q]) / s.cum[-1]) < len(totals)
+            previous = b
+        given_ = [g + s.given(q, s.windows) for q, g in enumerate(given_)]
+    assert given_ == list(totals)
+
+
+def check_packing(pieces, rows, sequence):
+    tok = packing.WordTokenizer(packing.default_tokenizer()).tokenizer
+    ids = [np.array([*tok.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4") for r in rows]
+    assert sum(p["length"] for p in pieces) == sum(map(len, ids))
+    by_sequence = defaultdict(list)
+    for p in pieces:
+        by_sequence[p["sequence_id"]].append((p["offset"], p["length"]))
+    for spans in by_sequence.values():
+        at = 0
+        for offset, n in sorted(spans):
+            assert offset == at
+            at += n
+        assert at <= sequence
+    assert sum(sum(n for _, n in s) < sequence for s in by_sequence.values()) <= 1
+    want = Counter((r[0], len(i)) for r, i in zip(rows, ids, strict=True))
+    assert Counter((p["doc_id"], p["doc_tokens"]) for p in pieces if p["start"] == 0) == want
+    of = {(r[0], len(i)): i for r, i in zip(rows, ids, strict=True)}
+    for p in pieces:
+        i = of[p["doc_id"], p["doc_tokens"]]
+        assert p["ids_crc32"] == zlib.crc32(i[p["start"] : p["start"] + p["length"]].tobytes())
+
+
+@pytest.mark.parametrize("weights", [None, {"hot": 0.2, "b": 0.5}])
+def test_packing(docs, rows, empty, weights):
+    pieces = packing.packed(docs, weights, window=4, sequence=256).collect()
+    check_packing(pieces, rows, 256)
+    if weights is None:  # full windows hold the same shares to within the number of queues
+        by = defaultdict(Counter)
+        for p in pieces:
+            by[p["sequence_id"] // 4][p["queue"]] += p["length"]
+        full = [c for c in by.values() if sum(c.values()) == 1024]
+        assert all(abs(full[0][q] - c[q]) <= 4 for c in full for q in full[0])
+    assert packing.packed(empty).count() == 0
+
+
+# --- op3
+
+
+def test_every_long_shared_passage_is_found(docs, rows, empty):
+    found = substring_dedup.passages(docs).collect()
+    words = {}
+    for r in rows:
+        if r[0] is not None and r[1]:
+            words[r[0]] = lowered(r[1]).split()
+    seen = defaultdict(set)
+    for d, w in words.items():
+        for i in range(len(w) - 50):
+            seen[tuple(w[i : i + 51])].add(d)
+    want = set().union(*[v for v in seen.values() if len(v) > 1])
+    got = {r["doc_id"] for r in found} - {None}
+    assert want <= got and {31, 33, 35} <= got
+    clean = set(range(50, 60)) | {43, 44, 45, 46, 47, 48, 49}
+    assert not clean & got
+    texts = {r[0]: r[1] for r in rows}
+    kept = [r for r in found if r["doc_id"] == 31 and not r["removed"]]
+    assert kept and not [r for r in found if r["doc_id"] == 31 and r["removed"]]
+    for d in (33, 35):
+        for r in found:
+            if r["doc_id"] == d:
+                assert r["removed"] and texts[d][r["start"] : r["end"]] in texts[31]
+    assert substring_dedup.passages(empty).count() == 0
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6))
+def test_equal_passages_share_a_window(seed):
+    r = random.Random(seed)
+    w = lambda n: [str(r.randrange(50)) for _ in range(n)]
+    passage = w(51)
+    a, b = (substring_dedup.Words(" ".join([*w(r.randrange(80)), *passage, *w(r.randrange(80))]).encode()) for _ in range(2))
+    assert set(map(tuple, a.windows()[1].tolist())) & set(map(tuple, b.windows()[1].tolist()))
+
+
+# --- op4
+
+
+def test_trees_beat_the_share_of_good_rows_and_are_repeatable(spark, docs, empty):
+    rng = np.random.Generator(np.random.PCG64(1))
+    x = rng.normal(size=(3000, 6))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] > 0) | (x[:, 2] > 1.5)).astype(float)
+    trees = quality_model.fit(x[:2000], y[:2000])
+    assert ((trees.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
+    again = quality_model.fit(x[:2000], y[:2000])
+    assert (again.value == trees.value).all()
+    one = quality_model.fit(x[:5], np.ones(5))
+    assert np.allclose(one.score(x), 6 / 7)
+    labels = spark.createDataFrame([(i, i % 3 and 1, 0) for i in range(60)] + [(7, None, 0), (None, 1, 0), (8, 5, 0)], "doc_id long, quality int, toxic int")
+    got = quality_model.scored(docs, quality_model.trained(docs, labels))
+    assert got.count() == docs.count()
+    for r in got.collect():
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+        if r["doc_id"] is not None:
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    assert quality_model.scored(empty, quality_model.trained(empty, labels)).count() == 0
+
+
+# --- op5
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 120), min_size=1, max_size=6), st.lists(st.floats(0.05, 5), min_size=6, max_size=6), st.sampled_from([10, 37, 100]))
+def test_pfair_deviates_by_less_than_a_block(blocks, weights, period):
+    plan = mixing.phases(blocks, weights[: len(blocks)], period)
+    slots = {}
+    for p in plan:
+        for i, s in p["sources"].items():
+            for b in range(s["start"], s["end"]):
+                rel = b - s["start"]
+                slots[p["slot"] + rel // s["n"] * period + s["at"][rel % s["n"]]] = (i, b, p)
+    assert sorted(slots) == list(range(sum(blocks)))
+    given_, phase = Counter(), None
+    for t in sorted(slots):
+        i, b, p = slots[t]
+        if p is not phase:
+            phase, begun, base = p, t, given_.copy()
+        assert b == given_[i]
+        given_[i] += 1
+        for j, s in p["sources"].items():
+            assert abs(given_[j] - base[j] - (t + 1 - begun) * s["n"] / period) < 1
+
+
+def test_mixing_keeps_every_row(docs, rows, empty):
+    done = mixing.scheduled(docs, block_chars=500, period=50)
+    got = done.collect()
+    assert sorted_rows(done, "doc_id", "text") == sorted(((r[0], r[1]) for r in rows), key=repr)
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    by = defaultdict(set)
+    for r in got:
+        by[r["slot"]].add((r["source"], r["block"]))
+    assert all(len(v) == 1 for v in by.values())
+    ordered = mixing.mixed(docs)
+    assert ordered.columns == docs.columns and ordered.count() == len(rows)
+    assert mixing.scheduled(empty).count() == 0
+    plan = done._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# --- op6
+
+
+def test_quotes_are_linked_and_cut(spark):
+    said = [
+        (1, 0, "user", "Where is the invoice of last month?\nI cannot find it anywhere."),
+        (1, 1, "assistant", "It is in the archive folder, second shelf.\n\nAnything else you need today?"),
+        (1, 2, "user", "> It is in the archive folder,  second shelf.\nThanks, found it there."),
+        (1, 3, "user", "On Monday Ann wrote:\n> > Where is the invoice of last month?\n> It is in the archive folder, second shelf.\nSo which shelf is it really?"),
+        (1, 5, "user", ">> Where is the invoice of last month?\nMy answer to the first."),
+        (1, 9, "user", "no quote here"),
+        (2, 0, "user", "> It is in the archive folder, second shelf."),
+        (2, 1, "x", None),
+        (2, 1, "x", None),
+        (None, 1, "x", "> y"),
+        (3, None, "x", ""),
+    ]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumn("bucket", F.lit(1))
+    got = {(r["conv_id"], r["turn"]): (r["text"], r["reply_to"], r["linked"], r["quote_levels"]) for r in quotes.linked(df).collect()}
+    assert got[1, 0][1:] == (None, False, 0) and got[1, 1][1:] == (0, False, 0)
+    assert got[1, 2] == ("Thanks, found it there.", 1, True, 1)
+    assert got[1, 3] == ("So which shelf is it really?", 1, True, 2)
+    assert got[1, 5] == ("My answer to the first.", 0, True, 2)
+    assert got[1, 9][1:] == (5, False, 0)
+    assert got[2, 0] == ("", None, False, 1) and got[2, 1] == ("", 0, False, 0)
+    assert quotes.linked(df).count() == len(said)
+    order = [(r["conv_id"], r["turn"]) for r in quotes.ordered(df.where("conv_id = 1")).collect()]
+    assert order == [(1, 0), (1, 1), (1, 5), (1, 2), (1, 3), (1, 9)]
+    assert quotes.linked(df.limit(0)).count() == 0
+    plan = quotes.ordered(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+# --- op7
+
+
+def test_companding_tables():
+    assert media.MU[0xFF] == 0 and media.MU[0x00] == -32124 and media.MU[0x80] == 32124 and media.MU[0x7F] == 0
+    assert media.A[0xD5] == 8 and media.A[0x55] == -8 and media.A[0xAA] == 32256 and media.A[0x2A] == -32256
+    assert (np.sort(media.MU) == -np.sort(media.MU)[::-1]).all() and (np.sort(media.A) == -np.sort(media.A)[::-1]).all()
+
+
+def plain_adpcm(block):
+    value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+    out = [value]
+    for byte in block[4:]:
+        for code in (byte & 15, byte >> 4):
+            step = int(media.STEPS[index])
+            diff = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+            value = max(-32768, min(32767, value + (-diff if code & 8 else diff)))
+            index = max(0, min(88, index + [-1, -1, -1, -1, 2, 4, 6, 8][code & 7]))
+            out.append(value)
+    return out
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.binary(min_size=0, max_size=260))
+def test_adpcm_blocks_decode_together_as_one_by_one(data):
+    want = [x for i in range(len(data) // 64) for x in plain_adpcm(data[64 * i : 64 * i + 64])]
+    assert media.ima_decode(data).tolist() == want
+
+
+def test_adpcm_follows_a_tone():
+    x = (9000 * np.sin(np.arange(2000) / 7)).astype(np.int16)
+    y = media.ima_decode(media.ima_encode(x))[: len(x)]
+    assert np.abs(y.astype(int) - x)[200:].mean() < 600
+
+
+def test_media_round_trip(spark, docs, rows, empty):
+    got = Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in media.stored(docs).collect())
+    want = Counter()
+    for r in rows:
+        raw = (r[1] or "").encode()
+        payload = raw + b"\0" * ((-len(raw)) % 64 or (0 if raw else 64))
+        want[r[0], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])] += 1
+    assert got == want
+    assert media.stored(empty).count() == 0
+    x = (5000 * np.sin(np.arange(505) / 9)).astype(np.int16)
+    files = spark.createDataFrame([(1, bytearray(media.wav(bytes(range(256))))), (2, bytearray(media.wav(bytes(range(256)), media.A_LAW))), (3, bytearray(media.wav(media.ima_encode(x), media.IMA_ADPCM, 8000, 4, 64))), (4, None), (5, bytearray(b"no audio"))], "id int, media binary")
+    out = {r["id"]: r["pcm"] for r in media.decoded(files).collect()}
+    for i, want_pcm in ((1, media.MU), (2, media.A), (3, media.ima_decode(media.ima_encode(x)))):
+        rate, y = media.pcm(bytes(out[i]))
+        assert rate == 16000 and (y[::2] == want_pcm).all()
+    assert out[4] is None and out[5] is None
+
+
+# --- op8
+
+
+def plain_sets(rows, width):
+    out = {}
+    for r in rows:
+        w = WORD.findall(lowered(r[1] or ""))
+        out[r[0]] = set() if not w else {tuple(w)} if len(w) < width else {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
+    return out
+
+
+def plain_components(sets, percent=80):
+    label = {d: d for d in sets}
+    root = lambda d: d if label[d] == d else root(label[d])
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= percent * len(x | y):
+            p, q = sorted((root(a), root(b)))
+            label[q] = p
+    return {d: root(d) for d in sets}
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates(docs, rows, empty, width):
+    named = [r for r in rows if r[0] is not None]
+    sets = plain_sets(named, width)
+    want = plain_components(sets)
+    got = near_dedup.components(docs, width).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["kept"]
+        else:
+            assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
+    kept = near_dedup.filtered(docs, width)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(d for d in sets if want[d] == d)
+    assert near_dedup.components(empty, width).count() == 0 and near_dedup.filtered(empty).count() == 0
+
+
+def test_large_groups_of_near_copies_are_exact(spark):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(400):  # chains of edits: far members are linked only through others
+        w = list(words) if i % 40 == 0 else texts[-1].split()
+        for _ in range(1 if i % 40 else 25):
+            w[r.randrange(60)] = f"x{r.randrange(1000)}"
+        texts.append(" ".join(w))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    want = plain_components(plain_sets(rows, 2))
+    assert len(set(want.values())) > 1 and got == want
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(0, near_dedup.MAX_ERRORS))
+def test_pigeonhole_misses_no_pair_within_the_threshold(seed, errors):
+    rng = np.random.Generator(np.random.PCG64(seed))
+    n = near_dedup.CHUNKS * near_dedup.CHUNK
+    a = rng.integers(0, 2**16, n, dtype=np.uint16)
+    b = a.copy()
+    at = rng.choice(n, errors, replace=False)
+    b[at] += np.uint16(1)
+    x, y = near_dedup.chunk_keys(np.stack([a, b]))
+    assert set(x.tolist()) & set(y.tolist())
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.Generator(np.random.PCG64(9))
+    base = np.unique(rng.integers(0, 2**63, 900, dtype=np.uint64))
+    a, b = base[:800], base[100:]
+    j = overlap(a, b) / len(np.union1d(a, b))
+    sign = Signer(2000)
+    assert abs((sign(a) == sign(b)).mean() - j) < 0.04
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 502)], "a long, b long")
+    got = {r["id"]: r["label"] for r in near.components(links).collect()}
+    assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500, 502: 500}
+
+
+# --- op9
+
+
+def plain_lines(rows):
+    def key(line):
+        return lowered(line.strip(" \t\n\x0b\x0c\r"))
+
+    held = defaultdict(set)
+    for r in rows:
+        for line in (r[1] or "").split("\n"):
+            if len(key(line)) >= 20:
+                held[key(line)].add(-1 if r[0] is None else r[0])
+    out = []
+    for r in rows:
+        lines = (r[1] or "").split("\n")
+        own = -1 if r[0] is None else r[0]
+        keep = [x for x in lines if len(key(x)) < 20 or len(held[key(x)]) < 3 or max(held[key(x)]) == own]
+        out.append((r[0], len(lines), len(lines) - len(keep), "\n".join(keep)))
+    return out
+
+
+def test_line_dedup(spark, docs, rows, empty):
+    want = plain_lines(rows)
+    assert sum(w[2] for w in want) > 20
+    hashed = sorted(((a, b, c, hashlib.sha256(t.encode()).hexdigest()) for a, b, c, t in want), key=repr)
+    for n in ("1", "4", "17"):  # runs are cut by the edges of the partitions
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        assert sorted_rows(line_dedup.digests(docs), "doc_id", "n_lines", "n_dropped", "kept_sha256") == hashed
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    kept = line_dedup.filtered(docs)
+    assert kept.columns == docs.columns
+    assert sorted_rows(kept, "doc_id", F.coalesce("text", F.lit(""))) == sorted(((a, t) for a, _, _, t in want), key=repr)
+    assert kept.where("n_chars <> char_length(text)").count() == 0
+    assert line_dedup.digests(empty).count() == 0 and line_dedup.filtered(empty).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=60), st.integers(1, 9), st.integers(1, 7))
+def test_streamed_runs_cut_anywhere_are_settled(counts, parts, batch):
+    """The stream's rows and summaries give what whole runs would."""
+    import pyarrow as pa
+
+    rows = [(k, k, d, 0, b"") for k, n in enumerate(counts) for d in range(n, 0, -1)]
+    cut = sorted(random.Random(len(rows)).choices(range(len(rows) + 1), k=parts - 1))
+    drops, pending, sums = set(), [], defaultdict(lambda: [0, -1])
+    names = ["k1", "k2", "doc", "version", "at"]
+    for lo, hi in zip([0, *cut], [*cut, len(rows)], strict=True):
+        part = rows[lo:hi]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in part[a : a + batch]], pa.int64() if i < 4 else pa.binary()) for i in range(5)], names=names) for a in range(0, len(part), batch)]
+        for out in line_dedup._stream(3)(iter(batches)):
+            for r in out.to_pylist():
+                if r["kind"] == line_dedup.DROP:
+                    drops.add((r["k1"], r["doc"]))
+                elif r["kind"] == line_dedup.PENDING:
+                    pending.append((r["k1"], r["doc"]))
+                else:
+                    sums[r["k1"]][0] += r["n_docs"]
+                    sums[r["k1"]][1] = max(sums[r["k1"]][1], r["doc"])
+    drops |= {(k, d) for k, d in pending if sums[k][0] >= 3 and d != sums[k][1]}
+    assert drops == {(k, d) for k, n in enumerate(counts) if n >= 3 for d in range(1, n)}
+
+
+# --- op10
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab \t\n.é#*😀\x0b\x1c", max_size=80))
+def test_statistics_follow_their_definition(text):
+    words = WORD.findall(text)
+    got = dict(zip(text_stats.FIELDS, text_stats.statistics(text.encode()), strict=True))
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    cover = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
+    lines, dup, earlier = text.split("\n"), 0, set()
+    for line in lines:
+        if WORD.search(line):
+            dup += line in earlier
+            earlier.add(line)
+    assert (got["n_words"], got["word_chars"], got["n_symbols"], got["n_dup_lines"], got["n_repeat_words"]) == (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(cover))
+
+
+def test_rules(docs, rows, empty):
+    got = quality_rules.score(docs)
+    assert got.count() == len(rows)
+    by = {r["doc_id"]: r for r in got.collect()}
+    assert not any(by[i]["kept"] for i in (40, 41, 43, 44, 45, 46, 49))
+    assert by[44]["n_words"] == 0 and by[44]["base_failed"]
+    clean = [i for i in [*range(10, 40), *range(50, 60)] if by[i]["n_words"] >= 50 and not by[i]["base_failed"]]
+    assert clean and all(by[i]["kept"] for i in clean)
+    kept = quality_rules.filtered(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got.collect())
+    assert quality_rules.score(empty).count() == 0
+
+
+def test_expectation_maximisation_finds_the_accuracies():
+    r = random.Random(2)
+    right, patterns = [0.999, 0.999, 0.999], Counter()
+    wrong = [0.8, 0.6, 0.3]
+    for _ in range(20000):
+        good = r.random() < 0.85
+        votes = []
+        for g, b in zip(right, wrong, strict=True):
+            ok = r.random() < (g if good else b)
+            votes.append(0 if r.random() < 0.1 else (1 if ok == good else -1))
+        patterns[tuple(votes)] += 1
+    model = quality_rules.fit(patterns, 3)
+    assert model.prior == pytest.approx(0.85, abs=0.04)
+    assert model.on_bad[0] == pytest.approx(0.8, abs=0.1) and model.on_bad[1] == pytest.approx(0.6, abs=0.1)
+    assert quality_rules.fit({}, 3).prior == 0.8
+
+
+# --- pipeline
+
+
+def test_pipeline_equals_plain_stages(spark, docs, rows, empty, tmp_path):
+    import corpus_pipeline
+
+    path = tmp_path / "documents.parquet"
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(path))
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality_rules", "line_dedup", "near_dedup", "mixing", "packing"]
+    kept_ids = [r["doc_id"] for r in quality_rules.score(docs).where("kept").select("doc_id").collect()]
+    left = []
+    pool = Counter(kept_ids)
+    for r in rows:
+        if pool[r[0]] > 0:
+            left.append(r)
+            pool[r[0]] -= 1
+    lines = [(a, t) for a, _, _, t in plain_lines(left)]
+    named = [(a, t) for a, t in lines if a is not None]
+    label = plain_components(plain_sets(named, 5))
+    final = list({a: (a, t) for a, t in named if label[a] == a}.values()) + [(a, t) for a, t in lines if a is None]
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    check_packing(pieces, final, 2048)
+    df = empty.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df, str(tmp_path)).count() == 0
+
+
+def test_shingle_sets_hold_the_words_shingles():
+    assert len(shingle_set(b"", 2)) == 0 and len(shingle_set(b" \n", 2)) == 0
+    assert len(shingle_set(b"one", 2)) == 1 and len(shingle_set(b"a b a b", 2)) == 2
+    assert (shingle_set("É x Y".encode(), 2) == shingle_set("É X y".encode(), 2)).all()
