@@ -17,8 +17,10 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from .common import table, written
 SEQUENCE, WINDOW_SEQUENCES, END_ID = 2048, 32, 1
 #: More sources than this share so many queues by a hash of their names.
 MAX_QUEUES = 256
-#: Words whose ids a task remembers.
-MAX_WORDS = 250_000
+#: Words whose ids a worker remembers, about 0.2 kB each.
+MAX_WORDS = 1_200_000
 
 
 def default_tokenizer() -> str:
@@ -45,7 +47,9 @@ class WordTokenizer:
     """Ids of whole texts; each distinct word goes through the tokenizer once.
 
     The file's normalizer and pre-tokenizer treat white space as a border, so a text's ids
-    are those of its space-separated parts in turn.
+    are those of its space-separated parts in turn. A full stop or comma after a word of
+    letters is a token of its own, and capital letters of ASCII are lowered, so such a word
+    is put together from its plain form.
     """
 
     def __init__(self, path: str, max_words: int = MAX_WORDS):
@@ -55,20 +59,46 @@ class WordTokenizer:
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() < 2**16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {"": b""}
+        self.lowers = self._ids("Ab") == self._ids("ab")
+        self.splits = all(self._ids(f"a{m}") == self._ids("a") + self._ids(m) for m in ".,")
 
-    def __call__(self, texts: Sequence[str | None], end: int) -> list[bytes]:
-        """The ids of each text, and ``end``, as little-endian bytes of ``dtype``."""
-        last = np.array([end], self.dtype).tobytes()
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.max_words:
-            self.known = {"": b""}
+    def _ids(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _plain(self, word: str) -> tuple[str, str]:
+        mark = word[-1] if self.splits and word[-1] in ".," and len(word) > 1 else ""
+        bare = word[:-1] if mark else word
+        if not bare.isalpha():
+            return word, ""
+        return (bare.lower() if self.lowers and bare.isascii() else bare), mark
+
+    def _learn(self, words: set[str]) -> None:
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        formed = [(w, *self._plain(w)) for w in words]
+        new = list({bare for _, bare, _ in formed if bare not in known})
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([known[w] for w in words]) + last for words in split]
+                known[w] = array("H" if self.dtype.itemsize == 2 else "I", e.ids).tobytes()
+        marks = {m: self._ids(m) if m else b"" for m in ("", ".", ",")}
+        for w, bare, mark in formed:
+            known[w] = known[bare] + marks[mark]
+
+    def __call__(self, texts: Sequence[str | None], end: int) -> list[bytes]:
+        """The ids of each text, and ``end``, as little-endian bytes of ``dtype``."""
+        last = np.array([end], self.dtype).tobytes()
+        if len(self.known) > self.max_words:  # words met early are the frequent ones
+            self.known = dict(islice(self.known.items(), self.max_words // 2))
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        self._learn(set(filterfalse(self.known.__contains__, chain.from_iterable(split))))
+        get = self.known.__getitem__
+        return [b"".join(map(get, words)) + last for words in split]
+
+
+@functools.lru_cache(2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each process, so that later tasks of a worker know its words."""
+    return WordTokenizer(path)
 
 
 @dataclass(frozen=True)
@@ -184,7 +214,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END_ID) -> DataFrame:
     names = ["doc_id", "source_hash", "part", "slot", "file", "block", "before", "n_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, sums, slot, where = WordTokenizer(tokenizer), {}, -1, None
+        tok, sums, slot, where = word_tokenizer(tokenizer), {}, -1, None
         width = tok.dtype.itemsize
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
@@ -239,7 +269,7 @@ def packed(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer:
     spans = schedule([totals[q] for q in queues], parts_of, window * sequence)
     index = {q: i for i, q in enumerate(queues)}
     kind = docs.schema["doc_id"].dataType.simpleString()
-    wide = WordTokenizer(tokenizer).dtype
+    wide = word_tokenizer(tokenizer).dtype
     names_out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
