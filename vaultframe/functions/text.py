@@ -96,7 +96,8 @@ def duration(seconds: Column) -> Column:
 
 
 def duration_between(start: Column, end: Column) -> Column:
-    return F.coalesce(duration(seconds_between(start, end)), F.lit("-"))
+    s = seconds_between(start, end)
+    return F.when(s.isNotNull(), duration(s)).otherwise("-")
 
 
 def truncated_path(path: Column, most: int) -> Column:

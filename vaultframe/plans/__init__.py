@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from vaultframe.plans import retention_queries
+from vaultframe.plans import content_queries, report_queries, retention_queries
 from vaultframe.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "retention_queries"]
+__all__ = ["ORACLES", "QUERIES", "content_queries", "report_queries", "retention_queries"]

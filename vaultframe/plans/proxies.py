@@ -33,7 +33,7 @@ SQL = {
       union all select 'r' || n_regionkey, n_name, 'dir', 'n' || n_nationkey from nation
       union all select 'n' || c_nationkey, c_name, 'dir', 'c' || c_custkey from customer
       union all select 'c' || o_custkey, 'o' || o_orderkey, 'file', null from orders""",
-    "logs": "select conv_id as job_id, turn as at, role as level, text as message from conversations",
+    "logs": "select conv_id as job_id, turn as logged, role as level, text as message from conversations",
     "plans": """select c_custkey as plan_id, c_name as name, '["C:\\Data\\' || c_mktsegment || '","D:\\Mail"]' as source_paths_json,
       case c_custkey % 5 when 0 then '0 3 * * *' when 1 then '0 8-20/2 * * 1,2,3,4,5' when 2 then '0 22 * * 0,6' when 3 then '30 3 * * *' end as cron_schedule,
       case c_custkey % 4 when 0 then '{"KeepDaily":7,"KeepWeekly":4,"KeepMonthly":12}' when 1 then '{"KeepLast":10}' when 2 then '{"KeepLast":3,"KeepYearly":2}' end as retention_policy_json,
@@ -120,7 +120,7 @@ class Views:
 
     @cached_property
     def logs(self) -> DataFrame:
-        return self.table("conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("at"), F.col("role").alias("level"), F.col("text").alias("message"))
+        return self.table("conversations").select(F.col("conv_id").alias("job_id"), F.col("turn").alias("logged"), F.col("role").alias("level"), F.col("text").alias("message"))
 
     @cached_property
     def plans(self) -> DataFrame:
