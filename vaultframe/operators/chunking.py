@@ -1,9 +1,10 @@
 """Content-defined chunking (FastCDC, normalised) of whole payloads.
 
-The rolling hash keeps only what its mask tests: a bit mask over the low k bits depends on
-the last k bytes. So all candidate cuts of a payload come from one windowed sum, doubled up
-to 32 bytes in five numpy steps, and chunking hops from cut to cut. Only the first bytes
-after a chunk's least size, where the hash starts anew, are summed on their own.
+The rolling hash keeps only what its mask tests: its low k bits depend on the last k bytes.
+So all possible cuts of a payload come from a sum over a sliding window. Its low 8 bits need
+8-bit arithmetic and three doubling steps over whole arrays, and rule out 255 of 256
+places; the few that are left are summed in full. Chunking then hops from cut to cut. Only
+the first bytes after a chunk's least size, where the hash starts anew, go one by one.
 """
 
 from __future__ import annotations
@@ -36,38 +37,59 @@ def gear_table(master: bytes) -> np.ndarray:
     return np.frombuffer(hkdf(master, b"gear-seed-v1", 2048), "<u8")
 
 
+#: Bytes that are scanned at a time, so that the passes over them stay in cache.
+BLOCK = 1 << 18
+
+
+def _places(data: bytes, gear: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the hash of the last bytes passes the strict and the loose mask, ascending."""
+    bits = max(sizes.strict_bits, sizes.loose_bits)
+    first = np.uint8((1 << min(8, sizes.strict_bits, sizes.loose_bits)) - 1)
+    low = np.frombuffer(data.translate((gear & np.uint64(255)).astype(np.uint8).tobytes()), np.uint8)
+    found = []
+    for at in range(0, len(data), BLOCK):
+        lo = max(0, at - 7)
+        w = low[lo : at + BLOCK]
+        for step in (1, 2, 4):  # w[i] covers the 2 * step bytes up to i
+            if len(w) > step:
+                wider = w.copy()
+                wider[step:] += w[:-step] << np.uint8(step)
+                w = wider
+        hit = np.flatnonzero((w & first) == 0) + lo
+        found.append(hit[hit >= at])
+    at = np.concatenate(found)
+    at = at[at >= bits - 1]
+    raw, wide = np.frombuffer(data, np.uint8), gear.astype(np.uint32)
+    h = np.zeros(len(at), np.uint32)
+    for j in range(bits):
+        h += wide[raw[at - j]] << np.uint32(j)
+    return at[h & np.uint32((1 << sizes.strict_bits) - 1) == 0], at[h & np.uint32((1 << sizes.loose_bits) - 1) == 0]
+
+
 def cuts(data: bytes, gear: np.ndarray, sizes: Sizes = Sizes()) -> list[int]:
     """Ends of the chunks. None of an empty payload."""
     n = len(data)
-    if not n:
-        return []
-    low = gear.astype(np.uint32)[np.frombuffer(data, np.uint8)]
-    window, width = low.copy(), 1
-    while width < 32:  # window[i] covers the last 2 * width bytes up to i
-        window[width:] += window[:-width] << np.uint32(width) if width < n else 0
-        width *= 2
-    strict, loose = np.uint32(2**sizes.strict_bits - 1), np.uint32(2**sizes.loose_bits - 1)
-    hard = np.flatnonzero((window & strict) == 0)
-    soft = np.flatnonzero((window & loose) == 0)
+    if n <= sizes.least:
+        return [n] if n else []
+    hard, soft = _places(data, gear, sizes)
+    table = gear.astype(np.uint32).tolist()
+    strict, loose = (1 << sizes.strict_bits) - 1, (1 << sizes.loose_bits) - 1
+    warm_up = max(sizes.strict_bits, sizes.loose_bits) - 1
     out, start = [], 0
     while n - start > sizes.least:
         begin, middle, end = start + sizes.least, min(start + sizes.normal, n), min(start + sizes.most, n)
-        cut, h = end, 0
-        warm = begin + max(sizes.strict_bits, sizes.loose_bits) - 1
-        for i in range(begin, min(warm, end)):  # the hash holds bytes from begin on only
-            h = (h << 1) + int(low[i]) & 0xFFFFFFFF
-            if not h & int(strict if i < middle else loose):
+        cut, h, warm = 0, 0, min(begin + warm_up, end)
+        for i in range(begin, warm):  # the hash holds bytes from begin on only
+            h = (h << 1) + table[data[i]]
+            if not h & (strict if i < middle else loose):
                 cut = i + 1
                 break
-        else:
-            found = []
-            if warm < middle and (k := np.searchsorted(hard, warm)) < len(hard) and hard[k] < middle:
-                found.append(int(hard[k]) + 1)
-            elif (k := np.searchsorted(soft, max(warm, middle))) < len(soft) and soft[k] < end:
-                found.append(int(soft[k]) + 1)
-            cut = found[0] if found else end
-        out.append(cut)
-        start = cut
+        if not cut and warm < middle and (k := np.searchsorted(hard, warm)) < len(hard) and hard[k] < middle:
+            cut = int(hard[k]) + 1
+        if not cut and (k := np.searchsorted(soft, max(warm, middle))) < len(soft) and soft[k] < end:
+            cut = int(soft[k]) + 1
+        start = cut or end
+        out.append(start)
     if start < n:
         out.append(n)
     return out
