@@ -3,8 +3,15 @@
 from pyspark.sql import types as T
 
 
-def _s(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(), "binary": T.BinaryType(), "tinyint": T.ByteType(), "int": T.IntegerType(), "bigint": T.LongType(), "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZType(), "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def _s(columns: str) -> T.StructType:
+    """From "name type, ..."; unlike StructType.fromDDL it needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split(" ") for c in columns.split(", "))])
 
 
 PACKS = _s("pack_id string, sha256 binary, size_bytes bigint, created_at timestamp_ntz")
