@@ -20,7 +20,7 @@ import zlib
 from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import chain, filterfalse, islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -61,26 +61,54 @@ class WordTokenizer:
         self.known: dict[str, bytes] = {"": b""}
         self.lowers = self._ids("Ab") == self._ids("ab")
         self.splits = all(self._ids(f"a{m}") == self._ids("a") + self._ids(m) for m in ".,")
+        self.marks = {m: self._ids(m) if m else b"" for m in ("", ".", ",")}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        if not self.ends.any():
+            self.ends = None
 
     def _ids(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _plain(self, word: str) -> tuple[str, str]:
-        mark = word[-1] if self.splits and word[-1] in ".," and len(word) > 1 else ""
-        bare = word[:-1] if mark else word
-        if not bare.isalpha():
-            return word, ""
-        return (bare.lower() if self.lowers and bare.isascii() else bare), mark
+    def _encode(self, words: list[str]) -> None:
+        """Learns distinct words. Those of letters go as one text, which is cut after each
+        token that ends a word, if there are as many as words."""
+        known, code, width = self.known, "H" if self.dtype.itemsize == 2 else "I", self.dtype.itemsize
+        letters = [w for w in words if w.isalpha()] if self.ends is not None else []
+        rest = [w for w in words if not w.isalpha()] if letters else words
+        for at in range(0, len(letters), 10_000):
+            part = letters[at : at + 10_000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * width
+            if len(cuts) != len(part) or cuts[-1] != len(ids) * width:
+                rest = rest + part
+                continue
+            raw, lo = ids.tobytes(), 0
+            for w, hi in zip(part, cuts.tolist(), strict=True):
+                known[w] = raw[lo:hi]
+                lo = hi
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[w] = array(code, e.ids).tobytes()
 
     def _learn(self, words: set[str]) -> None:
-        known = self.known
-        formed = [(w, *self._plain(w)) for w in words]
-        new = list({bare for _, bare, _ in formed if bare not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = array("H" if self.dtype.itemsize == 2 else "I", e.ids).tobytes()
-        marks = {m: self._ids(m) if m else b"" for m in ("", ".", ",")}
+        known, new, formed = self.known, set(), []
+        for w in words:
+            mark = w[-1] if self.splits and w[-1] in ".," and len(w) > 1 else ""
+            bare = w[:-1] if mark else w
+            if bare.isalpha():
+                if self.lowers and bare.isascii():
+                    bare = bare.lower()
+                if bare is not w and bare != w:
+                    formed.append((w, bare, mark))
+            else:
+                bare = w
+            if bare not in known:
+                new.add(bare)
+        self._encode(list(new))
+        marks = self.marks
         for w, bare, mark in formed:
             known[w] = known[bare] + marks[mark]
 
@@ -90,9 +118,18 @@ class WordTokenizer:
         if len(self.known) > self.max_words:  # words met early are the frequent ones
             self.known = dict(islice(self.known.items(), self.max_words // 2))
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self._learn(set(filterfalse(self.known.__contains__, chain.from_iterable(split))))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) + last for words in split]
+        words = list(chain.from_iterable(split))
+        found = list(map(self.known.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        self._learn({words[i] for i in missing})
+        known = self.known
+        for i in missing:
+            found[i] = known[words[i]]
+        out, at = [], 0
+        for own in split:
+            out.append(b"".join(found[at : at + len(own)]) + last)
+            at += len(own)
+        return out
 
 
 @functools.lru_cache(2)
