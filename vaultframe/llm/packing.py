@@ -19,8 +19,8 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-from itertools import chain, islice
+from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -96,17 +96,22 @@ class WordTokenizer:
     def _learn(self, words: set[str]) -> None:
         known, new, formed = self.known, set(), []
         for w in words:
-            mark = w[-1] if self.splits and w[-1] in ".," and len(w) > 1 else ""
-            bare = w[:-1] if mark else w
-            if bare.isalpha():
-                if self.lowers and bare.isascii():
-                    bare = bare.lower()
-                if bare is not w and bare != w:
-                    formed.append((w, bare, mark))
+            mark = ""
+            bare = w
+            if not w.isalpha():
+                mark = w[-1] if self.splits and w[-1] in ".," else ""
+                bare = w[:-1]
+                if not mark or not bare.isalpha():
+                    new.add(w)
+                    continue
+            if self.lowers and not bare.islower() and bare.isascii():
+                bare = bare.lower()
+            if bare == w:
+                new.add(w)
             else:
-                bare = w
-            if bare not in known:
-                new.add(bare)
+                formed.append((w, bare, mark))
+                if bare not in known:
+                    new.add(bare)
         self._encode(list(new))
         marks = self.marks
         for w, bare, mark in formed:
@@ -117,18 +122,25 @@ class WordTokenizer:
         last = np.array([end], self.dtype).tobytes()
         if len(self.known) > self.max_words:  # words met early are the frequent ones
             self.known = dict(islice(self.known.items(), self.max_words // 2))
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        words = list(chain.from_iterable(split))
+        lines = [(t or "").replace("\n", " ") for t in texts]
+        words = " ".join(lines).split(" ") if lines else []
         found = list(map(self.known.get, words))
-        missing = [i for i, x in enumerate(found) if x is None]
+        missing, at = [], -1
+        try:
+            while True:
+                at = found.index(None, at + 1)
+                missing.append(at)
+        except ValueError:  # no further one
+            pass
         self._learn({words[i] for i in missing})
         known = self.known
         for i in missing:
             found[i] = known[words[i]]
         out, at = [], 0
-        for own in split:
-            out.append(b"".join(found[at : at + len(own)]) + last)
-            at += len(own)
+        for line in lines:
+            own = line.count(" ") + 1
+            out.append(b"".join(found[at : at + own]) + last)
+            at += own
         return out
 
 
@@ -150,6 +162,7 @@ class Span:
     size: int
     cum: tuple[int, ...]
     starts: tuple[int, ...]
+    known: dict[int, tuple[int, ...]] = field(default_factory=dict, compare=False, repr=False)
 
     def bounds(self, k: int) -> tuple[int, ...]:
         """b with b[q + 1] - b[q] the tokens that queue q gives to the first k windows.
@@ -157,7 +170,11 @@ class Span:
         The total is halved off queue by queue from the last; each part grows by 0 or 1
         with the total, so no window takes a negative amount.
         """
-        return _bounds(self.cum, k * self.size)
+        if (b := self.known.get(k)) is None:
+            if len(self.known) > 8192:
+                self.known.clear()
+            b = self.known[k] = _bounds(self.cum, k * self.size)
+        return b
 
     def given(self, q: int, k: int) -> int:
         b = self.bounds(k)
@@ -173,7 +190,6 @@ class Span:
         return k
 
 
-@functools.lru_cache(8192)
 def _bounds(cum: tuple[int, ...], total: int) -> tuple[int, ...]:
     out = [total]
     for q in range(len(cum) - 1, 0, -1):
