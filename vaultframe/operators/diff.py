@@ -67,7 +67,12 @@ def anomaly(changed: DataFrame, deleted: DataFrame, parent: DataFrame, policy: A
     touched = changed.where("status <> 'unchanged'")
     bad = touched.where(ends_with_any(F.col("name"), policy.endings))
     sample = bad.select("name").orderBy("name").limit(SAMPLES).agg(F.array_sort(F.collect_list("name")).alias("samples"))
-    counts = touched.agg(F.count(F.lit(1)).alias("changed")).crossJoin(bad.agg(F.count(F.lit(1)).alias("suspicious"))).crossJoin(deleted.agg(F.count(F.lit(1)).alias("deleted"))).crossJoin(parent.agg(F.count(F.lit(1)).alias("parent_files"))).crossJoin(sample)  # of one row each
+    n = F.count(F.lit(1))
+    parts = [touched.agg(n.alias("changed")), bad.agg(n.alias("suspicious")), deleted.agg(n.alias("deleted")), parent.agg(n.alias("parent_files")), sample]
+    rows = parts[0]
+    for part in parts[1:]:  # a row of each figure; together one row without a join
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    counts = rows.agg(*[F.max(c).alias(c) for c in ("changed", "suspicious", "deleted", "parent_files", "samples")])
     verdict = anomaly_columns(F.col("parent_files"), F.col("changed"), F.col("deleted"), F.col("suspicious"), F.col("samples"), policy)
     return counts.withColumn("v", verdict).select("parent_files", "changed", "deleted", "suspicious", F.col("v.detected").alias("detected"), F.col("v.reasons").alias("reasons"))
 

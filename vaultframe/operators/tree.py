@@ -32,12 +32,30 @@ def walk(edges: DataFrame, roots: DataFrame, descend: str = "true", visit: str =
         select path, name, kind, depth, sub from w""")
 
 
-def merkle(edges: DataFrame, key: bytes, leaf: Column, levels: int) -> DataFrame:
+def walk_levels(edges: DataFrame, roots: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``path, name, kind, depth, sub`` like ``walk``, level by level, for trees of any size.
+
+    The recursive query keeps all levels in one plan and is limited in rows; here each level
+    is one join whose result ``store`` writes, so a lost executor costs part of a level.
+    """
+    start = roots.select(F.col("id").alias("_id"), F.col("prefix").alias("_prefix"))
+    depth, out = 1, None
+    while True:
+        path = F.when(F.col("_prefix") == "", F.col("name")).otherwise(F.concat_ws("/", "_prefix", "name"))
+        level = store(edges.join(start, edges["parent"] == start["_id"]).select(path.alias("path"), "name", "kind", F.lit(depth).alias("depth"), "sub"))
+        out = level if out is None else out.unionByName(level)
+        start = level.where("sub is not null").select(F.col("sub").alias("_id"), F.col("path").alias("_prefix"))
+        if not start.limit(1).count():
+            return out
+        depth += 1
+
+
+def merkle(edges: DataFrame, key: bytes, leaf: Column, levels: int, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``parent, tree_id``: keyed hash of a directory's entries, from the leaves up.
 
     An entry is its name, kind and either ``leaf`` (an expression over ``edges``) or its
     subtree's id; entries are ordered by name, so equal directories get equal ids. One join
-    and one aggregation for each of the ``levels``.
+    and one aggregation for each of the ``levels``, after which ``store`` may cut the lineage.
     """
     known = None
     for _ in range(levels):
@@ -52,7 +70,7 @@ def merkle(edges: DataFrame, key: bytes, leaf: Column, levels: int) -> DataFrame
             entries = entries.join(ready, "parent", "left_semi")
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "kind", "value"))), lambda x: F.concat_ws("|", x["name"], x["kind"], x["value"])), "\n")
         now = entries.groupBy("parent").agg(hmac_sha256(text.cast("binary"), key).alias("tree_id"))
-        known = now
+        known = store(now)
     return known
 
 

@@ -11,6 +11,7 @@ from vaultframe.operators import packs as P
 from vaultframe.plans.proxies import MASTER
 from vaultframe.plans.registry import query
 from vaultframe.sources import files as sources
+from vaultframe.sources.scratch import written
 
 STATUS = "st as (select b.*, case when a.path is null then 'new' when a.size = b.size and a.mtime = b.mtime and a.attributes = b.attributes then 'unchanged' else 'changed' end as status from files_b b left join files_a a using (path))"
 
@@ -157,7 +158,7 @@ def browsable(v):
 DEVICES = {"C:\\": "\\\\?\\GLOBALROOT\\Device\\Shadow1", "D:\\": "\\\\?\\GLOBALROOT\\Device\\Shadow2\\"}
 
 
-@query("scl7_volume_map", "select path, case when path like 'C:%' then '\\\\?\\GLOBALROOT\\Device\\Shadow1\\' || substr(path, 4) when path like 'd:%' then '\\\\?\\GLOBALROOT\\Device\\Shadow2\\' || substr(path, 4) else path end as device_path, path as back from vp".replace("path as back", "case when path like 'd:%' then 'D' || substr(path, 2) else path end as back"),
+@query("scl7_volume_map", "select path, case when path like 'C:%' then '\\\\?\\GLOBALROOT\\Device\\Shadow1\\' || substr(path, 4) when path like 'd:%' then '\\\\?\\GLOBALROOT\\Device\\Shadow2\\' || substr(path, 4) else path end as device_path, case when path like 'd:%' then 'D' || substr(path, 2) else path end as back from vp",
        "vp as (select case doc_id % 3 when 0 then 'C:\\a\\' || doc_id when 1 then 'd:\\b\\' || doc_id else 'E:\\c\\' || doc_id end as path from documents)")
 def volume_map(v):
     d = F.col("doc_id")
@@ -187,9 +188,15 @@ def tree_walk(v):
     return _walk(v).select("path", "kind", "depth")
 
 
-@query("src4_recursive_scan", "select path, kind from wk where not regexp_matches(path, '^AS') and not regexp_matches(path, '/NATION_1[^/]*/')".replace("and not regexp_matches(path, '/NATION_1[^/]*/')", ""), WALK, recursive=True)
+@query("jn5_tree_levels", "select path, kind, cast(depth as int) as depth from wk", WALK, recursive=True)
+def tree_levels(v):
+    roots = v.spark.range(1).select(F.lit("root").alias("id"), F.lit("").alias("prefix"))
+    return tree.walk_levels(v.tree_edges, roots, lambda df: written(df, "level")).select("path", "kind", "depth")
+
+
+@query("src4_recursive_scan", "select path, kind from wk where not regexp_matches(path, '^AS')", WALK, recursive=True)
 def recursive_scan(v):
-    return _walk(v, visit="not (e.name like 'AS%' and e.kind = 'dir')".replace("e.", "")).select("path", "kind")
+    return _walk(v, visit="not (name like 'AS%' and kind = 'dir')").select("path", "kind")
 
 
 @query("eng10_ls", "select case when kind = 'dir' then 'd' else '-' end as mark, name, path from wk where depth = 2 and starts_with(path, 'ASIA/')", WALK, recursive=True)
@@ -232,7 +239,7 @@ def merkle(v):
 @query("eng14_tree_draft", "select parent as id, id as tree_id from l1 where n = known", MERKLE)
 def tree_draft(v):
     edges = v.tree_edges.where("parent like 'c%' or parent like 'n%'")
-    return tree.merkle(edges, KEY, F.col("name"), 2).select(F.col("parent").alias("id"), "tree_id").where("id like 'n%'")
+    return tree.merkle(edges, KEY, F.col("name"), 2, lambda df: written(df, "merkle")).select(F.col("parent").alias("id"), "tree_id").where("id like 'n%'")
 
 
 @query("prj7_tree_nodes", "select parent, count(*) as nodes, min(name) as first, max(name) as last from tree_edges group by all")

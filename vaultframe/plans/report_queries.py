@@ -268,7 +268,7 @@ def recent(v):
     return report.recent(v.jobs).select("job_id", "repo", "status")
 
 
-@query("eng12_dashboard", f"select bd.repo, state, {COUNTS.replace('as failed_24h', 'as failed_24h')} from bd join jobs using (repo) group by bd.repo, state", BAND)
+@query("eng12_dashboard", f"select bd.repo, state, {COUNTS} from bd join jobs using (repo) group by bd.repo, state", BAND)
 def dashboard(v):
     return _band(v).join(report.counts(v.jobs, JOB_NOW, ("repo",)), "repo")
 
@@ -404,7 +404,7 @@ def once_queued(v):
 
 
 @query("scl12_byte_sizes", "select n, case when n < 1024 then cast(n as varchar) || ' B' when n < 1048576 then d1 || ' KB' else d2 || ' MB' end as label from (select n, replace(printf('%.1f', round(n / 1024.0::double, 1)), '.', ',') as d1, replace(printf('%.1f', round(n / 1048576.0::double, 1)), '.', ',') as d2 from bs)",
-       "bs as (select o_orderkey, o_orderkey * o_orderkey % 900000 as n from orders)".replace("select o_orderkey, ", "select "))
+       "bs as (select o_orderkey * o_orderkey % 900000 as n from orders)")
 def byte_sizes(v):
     n = F.col("o_orderkey") * F.col("o_orderkey") % 900000
     return v.table("orders").select(n.alias("n"), text.byte_size(n).alias("label"))

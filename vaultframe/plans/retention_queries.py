@@ -35,7 +35,7 @@ def _packs(v):
     return prune.classify_packs(v.blobs, prune.live_blobs(v.blob_refs, _kept(v)))
 
 
-@query("eng2_prune_preview", "action, count(*) as packs, cast(sum(total) as bigint) as blobs, cast(sum(live) as bigint) as live_blobs, cast(sum(size_bytes) as bigint) as bytes from pc group by all".replace("action", "select action", 1), CLASSES)
+@query("eng2_prune_preview", "select action, count(*) as packs, cast(sum(total) as bigint) as blobs, cast(sum(live) as bigint) as live_blobs, cast(sum(size_bytes) as bigint) as bytes from pc group by all", CLASSES)
 def prune_preview(v):
     return _packs(v).groupBy("action").agg(F.count(F.lit(1)).alias("packs"), F.sum("total").alias("blobs"), F.sum("live").alias("live_blobs"), F.sum("size_bytes").alias("bytes"))
 
