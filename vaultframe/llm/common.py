@@ -7,8 +7,6 @@ executor costs the re-run of single tasks and never the whole chain.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -16,46 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vaultframe.sources.scratch import clear as clear_scratch
+from vaultframe.sources.scratch import shared_dir, written
+
+__all__ = ["LOWER", "SPACES", "as_bytes", "clear_scratch", "shared_dir", "table", "two_level_position", "with_batches", "written"]
+
 #: Bytes that separate words; identical for bytes.split() without an argument.
 SPACES = b" \t\n\x0b\x0c\r"
 #: A-Z to a-z on UTF-8 bytes; every other byte, so every other character, stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-_local: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only in local mode."""
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="vaultframe-")
-    return f"file://{_local[app]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder, read back with the same schema."""
-    path = f"{shared_dir(df.sparkSession)}/vaultframe/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Deletes every scratch table of this shared folder; call it when results are stored."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/vaultframe")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def with_batches(df: DataFrame, read: str, fn: Callable[[list], Sequence[pa.Array]], fields: Sequence[T.StructField]) -> DataFrame:
     """All columns of ``df`` and the columns that ``fn`` makes of column ``read``, batch by batch.
 
