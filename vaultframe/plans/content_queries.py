@@ -415,3 +415,20 @@ def write_if_new(v):
 @query("src2_listing")
 def file_listing(v):
     return sources.listing(v.spark, v.sf_dir, "*.parquet").select("name", "size")
+
+
+@query("src1_file_tree")
+def file_tree(v):
+    return sources.tree(v.spark, v.sf_dir).select("name", "is_directory", "size")
+
+
+@query("scl3_sub_keys")
+def sub_keys(v):
+    rows = [(label, crypto.sub_key(MASTER, label).hex()) for label in crypto.SUB_KEYS]
+    return v.spark.createDataFrame(rows, "label string, key string")
+
+
+@query("udf2_gear_table")
+def gear(v):
+    rows = [(i, f"{int(x):016x}") for i, x in enumerate(chunking.gear_table(MASTER))]
+    return v.spark.createDataFrame(rows, "byte int, value string")

@@ -224,3 +224,26 @@ def seal_round_trip(v):
     got = P.opened(made, P.headers(made, MASTER), MASTER)
     both = got.join(_payloads(v).select("blob_id", F.col("payload").alias("expected")), "blob_id")
     return both.groupBy("pack_id").agg(F.count(F.lit(1)).alias("blobs"), F.count_if(F.col("payload") == F.col("expected")).alias("equal"))
+
+
+@query("udf4_pack_layout", "select cast(p_partkey % 40 as varchar) as pack_id, count(*) as blobs, cast(16 + sum(octet_length(encode(concat_ws(' ', p_name, p_brand, p_type))) + 16) + 4 + 50 * count(*) + 16 + 4 as bigint) as bytes from part group by all")
+def pack_layout(v):
+    sizes = P.encoded(_payloads(v), MASTER).select("pack_id", F.length("content").cast("bigint").alias("bytes"))
+    n = _payloads(v).groupBy("pack_id").agg(F.count(F.lit(1)).alias("blobs"))
+    return n.join(sizes, "pack_id")
+
+
+@query("snk2_rotated_packs", "select writer, pack_no, count(*) as blobs, cast(max(used) as bigint) as bytes from f group by all", ROTATE, recursive=True)
+def rotated(v):
+    k = F.col("c_custkey")
+    sizes = v.table("customer").select(F.col("c_nationkey").alias("w"), k.alias("s"), (F.lit(1000) + k * 37 % 4000).alias("size"))
+    r = rotation(v)
+    joined = r.join(sizes, (r["writer"] == sizes["w"]) & (r["seq"] == sizes["s"]))
+    return joined.groupBy("writer", "pack_no").agg(F.count(F.lit(1)).alias("blobs"), F.sum("size").alias("bytes"))
+
+
+@query("agg8_newest_in_buckets", f"select plan_id, count(*) filter (where m) as months, count(*) filter (where y) as years from (select *, {_rule('month', 2)} as m, {_rule('year', 2)} as y from snapshots) group by all")
+def newest_in_buckets(v):
+    flag = lambda unit: R.newest_per_bucket(F.date_trunc(unit, "started_at"), 2, ("plan_id",))
+    marked = v.snapshots.select("plan_id", flag("month").alias("m"), flag("year").alias("y"))
+    return marked.groupBy("plan_id").agg(F.count_if("m").alias("months"), F.count_if("y").alias("years"))
