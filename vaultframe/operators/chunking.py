@@ -43,23 +43,28 @@ BLOCK = 1 << 18
 
 def _places(data: bytes, gear: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
     """Where the hash of the last bytes passes the strict and the loose mask, ascending."""
-    bits = max(sizes.strict_bits, sizes.loose_bits)
-    first = np.uint8((1 << min(8, sizes.strict_bits, sizes.loose_bits)) - 1)
+    bits, least = max(sizes.strict_bits, sizes.loose_bits), min(sizes.strict_bits, sizes.loose_bits)
+    raw, wide, two = np.frombuffer(data, np.uint8), gear.astype(np.uint32), gear.astype(np.uint16)
     low = np.frombuffer(data.translate((gear & np.uint64(255)).astype(np.uint8).tobytes()), np.uint8)
-    found = []
+    shifted, found = np.empty(BLOCK + 16, np.uint8), []
     for at in range(0, len(data), BLOCK):
-        lo = max(0, at - 7)
-        w = low[lo : at + BLOCK]
+        lo = max(0, at - 15)
+        w = low[lo : at + BLOCK].copy()
         for step in (1, 2, 4):  # w[i] covers the 2 * step bytes up to i
             if len(w) > step:
-                wider = w.copy()
-                wider[step:] += w[:-step] << np.uint8(step)
-                w = wider
-        hit = np.flatnonzero((w & first) == 0) + lo
-        found.append(hit[hit >= at])
+                part = shifted[: len(w) - step]
+                np.left_shift(w[:-step], step, out=part)
+                w[step:] += part
+        hit = np.flatnonzero(w == 0 if least >= 8 else (w & np.uint8((1 << least) - 1)) == 0)
+        if least >= 16:  # 16 bits of 16 bytes: those of the last 8, and the 8-bit sum before
+            hit = hit[hit >= 15]
+            h = w[hit - 8].astype(np.uint16) << np.uint16(8)
+            for j in range(8):
+                h += two[raw[hit + (lo - j)]] << np.uint16(j)
+            hit = hit[h == 0]
+        found.append(hit[hit >= at - lo] + lo)
     at = np.concatenate(found)
     at = at[at >= bits - 1]
-    raw, wide = np.frombuffer(data, np.uint8), gear.astype(np.uint32)
     h = np.zeros(len(at), np.uint32)
     for j in range(bits):
         h += wide[raw[at - j]] << np.uint32(j)
@@ -77,7 +82,8 @@ def cuts(data: bytes, gear: np.ndarray, sizes: Sizes = Sizes()) -> list[int]:
     warm_up = max(sizes.strict_bits, sizes.loose_bits) - 1
     out, start = [], 0
     while n - start > sizes.least:
-        begin, middle, end = start + sizes.least, min(start + sizes.normal, n), min(start + sizes.most, n)
+        begin, end = start + sizes.least, min(start + sizes.most, n)
+        middle = min(start + sizes.normal, end)
         cut, h, warm = 0, 0, min(begin + warm_up, end)
         for i in range(begin, warm):  # the hash holds bytes from begin on only
             h = (h << 1) + table[data[i]]
