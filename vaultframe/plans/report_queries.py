@@ -212,14 +212,14 @@ def overall(v):
 CAL = "dd as (select cast(d as date) as day from range(date '2024-01-31' - interval 39 day, date '2024-02-01', interval 1 day) t(d)), fd as (select cast(started_at as date) as day, bool_or(status = 'Failed') as failed from jobs where started_at is not null group by all), rd as (select repo, cast(started_at as date) as day, bool_or(status = 'Failed') as failed from jobs where started_at is not null group by all)"
 
 
-@query("agg7_day_health", "select day, case when failed then 'Err' when not failed then 'Ok' else 'None' end as health from dd left join fd using (day)", CAL)
+@query("agg7_day_health", "select cast(day as varchar) as day, case when failed then 'Err' when not failed then 'Ok' else 'None' end as health from dd left join fd using (day)", CAL)
 def day_health(v):
-    return report.day_health(v.jobs, JOB_NOW, 40)
+    return report.day_health(v.jobs, JOB_NOW, 40).withColumn("day", F.col("day").cast("string"))
 
 
-@query("win4_day_spine", "select repo, day, case when failed then 'Err' when not failed then 'Ok' else 'None' end as health from (select distinct repo from jobs) cross join dd left join rd using (repo, day)", CAL)
+@query("win4_day_spine", "select repo, cast(day as varchar) as day, case when failed then 'Err' when not failed then 'Ok' else 'None' end as health from (select distinct repo from jobs) cross join dd left join rd using (repo, day)", CAL)
 def day_spine(v):
-    return report.day_health(v.jobs, JOB_NOW, 40, ("repo",))
+    return report.day_health(v.jobs, JOB_NOW, 40, ("repo",)).withColumn("day", F.col("day").cast("string"))
 
 
 @query("agg15_distinct_names", "select count(distinct lower(c_mktsegment)) as n, min(lower(c_mktsegment)) as first from customer")
