@@ -31,7 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_batches(df: DataFrame, read: str, fn: Callable[[list], Sequence[pa.Array]], fields: Sequence[T.StructField]) -> DataFrame:
     """All columns of ``df`` and the columns that ``fn`` makes of column ``read``, batch by batch.
 
-    A column of ``df`` that has one of the new names is replaced.
+    ``fn`` gets a string column as UTF-8 bytes. A column of ``df`` that has one of the new
+    names is replaced.
     """
     fields = list(fields)
     new = {f.name.lower() for f in fields}
@@ -45,7 +46,12 @@ def with_batches(df: DataFrame, read: str, fn: Callable[[list], Sequence[pa.Arra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *fn(batch.column(at).to_pylist())], names=names)
+            cells = batch.column(at)
+            if pa.types.is_string(cells.type) or pa.types.is_large_string(cells.type):
+                cells = cells.view(pa.binary() if pa.types.is_string(cells.type) else pa.large_binary())
+            made = [fn(cells.slice(i, 1000).to_pylist()) for i in range(0, max(1, len(cells)), 1000)]
+            new = made[0] if len(made) == 1 else [pa.concat_arrays(c) for c in zip(*made, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
 
     return source.mapInArrow(run, schema)
 

@@ -191,7 +191,7 @@ def _joined(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
 
     from .common import with_batches
 
-    hashed = with_batches(docs.withColumn("_bytes", as_bytes()), "_bytes", lambda texts: [pa.array([version(t or b"") for t in texts], pa.int64())], [T.StructField("_version", T.LongType())])
+    hashed = with_batches(docs, "text", lambda texts: [pa.array([version(t or b"") for t in texts], pa.int64())], [T.StructField("_version", T.LongType())])
     gone = keep_bitmaps(docs, least_chars, least_docs).withColumnsRenamed({"doc": "_doc", "version": "_v"})
     on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_doc")) & (F.col("_version") == F.col("_v"))
     return hashed.join(gone, on, "left")
@@ -199,7 +199,7 @@ def _joined(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
 
 def digests(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> DataFrame:
     """For each row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256."""
-    joined = _joined(docs.select("doc_id", "text"), least_chars, least_docs).select("doc_id", "_bytes", "drop_bitmap")
+    joined = _joined(docs.select("doc_id", "text"), least_chars, least_docs).select("doc_id", as_bytes(), "drop_bitmap")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +217,8 @@ def filtered(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> Dat
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     text, doc = names[docs.columns.index("text")], names[docs.columns.index("doc_id")]
-    plain = docs.toDF(*names).withColumn("text", F.col(text)).withColumn("doc_id", F.col(doc))
+    plain = docs.toDF(*names).withColumnsRenamed({text: "text", doc: "doc_id"})
+    own = {text: "text", doc: "doc_id"}
     joined = _joined(plain, least_chars, least_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +228,8 @@ def filtered(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> Dat
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(texts, pa.string())], names=[*others, text])
 
     others = [n for n in names if n != text]
-    schema = ", ".join(f"`{n}` {plain.schema[n].dataType.simpleString()}" for n in others) + f", `{text}` string"
-    out = joined.select("_bytes", "drop_bitmap", *others).mapInArrow(run, schema).select(*names)
+    schema = ", ".join(f"`{n}` {plain.schema[own.get(n, n)].dataType.simpleString()}" for n in others) + f", `{text}` string"
+    out = joined.select(as_bytes(), "drop_bitmap", *[F.col(own.get(n, n)) for n in others]).mapInArrow(run, schema).select(*names)
     if "n_chars" in docs.columns:
         n = names[docs.columns.index("n_chars")]
         out = out.withColumn(n, F.when(F.col(text).isNotNull(), F.char_length(text)).cast(docs.schema["n_chars"].dataType))

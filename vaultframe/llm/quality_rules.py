@@ -20,9 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text_stats
-from .common import as_bytes, table, with_batches, written
+from .common import table, with_batches, written
 
-BYTES = "_quality_bytes"
 #: The rules' bad thresholds are set so far out that at most so few good documents cross one.
 LEAST_ON_GOOD = 0.998
 
@@ -120,7 +119,7 @@ def judge(voted: DataFrame, model: LabelModel, least_words: int = 50, threshold:
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
-def score(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+def score(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """Every column of ``docs`` with statistics, votes, posterior and ``kept``.
 
     Null or empty text: no words, so it fails. A repeated row is judged like its original.
@@ -128,24 +127,23 @@ def score(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     an empty table.
     """
     def of(df: DataFrame) -> DataFrame:
-        return votes(with_batches(df.withColumn(BYTES, as_bytes()), BYTES, text_stats.batch, text_stats.SCHEMA), rules)
+        return votes(with_batches(df, text, text_stats.batch, text_stats.SCHEMA), rules)
 
-    model = estimate(of(docs.select("text")), len(rules))
-    return judge(of(docs), model).drop(BYTES)
+    model = estimate(of(docs.select(text)), len(rules))
+    return judge(of(docs), model)
 
 
 def filtered(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns alone."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
-    kept = score(plain).where("kept").select(*names)
+    kept = score(docs.toDF(*names), text=names[docs.columns.index("text")]).where("kept").select(*names)
     return kept.toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: statistics are written once without texts; model and result read that table."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", as_bytes().alias(BYTES))
-    stats = with_batches(docs, BYTES, text_stats.batch, text_stats.SCHEMA).drop(BYTES)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = with_batches(docs, "text", text_stats.batch, text_stats.SCHEMA).drop("text")
     voted = written(votes(stats), "votes")
     out = judge(voted, estimate(voted))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
