@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from vaultframe.sources.scratch import clear as clear_scratch
 from vaultframe.sources.scratch import shared_dir, written
 
-__all__ = ["LOWER", "SPACES", "as_bytes", "clear_scratch", "shared_dir", "table", "two_level_position", "with_batches", "written"]
+__all__ = ["LOWER", "SPACES", "as_bytes", "clear_scratch", "shared_dir", "slices", "table", "two_level_position", "with_batches", "written"]
 
 #: Bytes that separate words; identical for bytes.split() without an argument.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -56,6 +56,13 @@ def with_batches(df: DataFrame, read: str, fn: Callable[[list], Sequence[pa.Arra
     return source.mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that what is made of one part is gone before the next."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
 def as_bytes(column: str = "text") -> F.Column:
     return F.col(column).cast("string").cast("binary")
 

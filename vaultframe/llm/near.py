@@ -2,7 +2,7 @@
 
 An item is a distinct shingle set with a bigint id; equal sets are one item before this
 begins. Items that share a key form a bucket. No bucket is gathered or paired off. First
-its least member leads: every other is held against it, which resolves a group of near
+a few members lead: all others are held against them, which resolves a group of near
 copies however large. In buckets whose members are then still in several components, the
 members outside the largest one are held against all others of other components, in blocks
 of signatures that give out close pairs only. Every pair that shares a key is so compared,
@@ -21,10 +21,17 @@ from pyspark.sql import functions as F
 from .common import written
 from .shingles import overlap
 
+#: Keys (bigint) and marks (int) of rows of symbols, in order of the keys.
+Keys = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 #: As many ids, at 8 bytes each, may be broadcast; above that, a shuffle join is used.
 MAX_BROADCAST_IDS = 1_000_000
+#: Members of a bucket that are compared with all others: its least and greatest id, and the
+#: least by hashes. Buckets of one group share them, so they make few distinct pairs.
+LEADERS = 4
 #: Sizes of the blocks in which signatures are compared.
 LEADERS_A_BLOCK, MEMBERS_A_BLOCK = 256, 4096
+#: Rows of an Arrow batch where each holds a document's whole set.
+LARGE_ROWS = 500
 #: Pairs that one leader's set serves in one task.
 PAIRS_A_SALT = 500
 
@@ -70,7 +77,7 @@ def _confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perc
     pairs; a task streams them past the leader's set.
     """
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    sets = written(sets_of(ids), "sets")
+    sets = written(sets_of(ids), "sets", LARGE_ROWS)
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     salted = pairs.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.expr(f"n div {PAIRS_A_SALT} + 1"))).drop("n")
     salted = written(salted, "pairs")
@@ -102,7 +109,7 @@ def bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
-def _blocks(rows: DataFrame, signatures: DataFrame, max_errors: int, keys_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def _blocks(rows: DataFrame, signatures: DataFrame, max_errors: int, keys_of: Keys) -> DataFrame:
     """Tiles of close pairs of rows (key, id, label) that share a key and not a label.
 
     All members of a key but those of its most frequent label lead; at least one of any
@@ -152,7 +159,7 @@ def _blocks(rows: DataFrame, signatures: DataFrame, max_errors: int, keys_of: Ca
                         x, y = np.nonzero((errors <= max_errors) & (held[1][:, None] != labels[at:end]) & once)
                         if not len(x):
                             continue
-                        own, other = keys_of(held[2][np.unique(x)]), keys_of(signs[at:end][np.unique(y)])
+                        own, other = keys_of(held[2][np.unique(x)])[0], keys_of(signs[at:end][np.unique(y)])[0]
                         same = own[np.searchsorted(np.unique(x), x)] == other[np.searchsorted(np.unique(y), y)]
                         first = own[np.searchsorted(np.unique(x), x), same.argmax(1)] == here[0]
                         x, y = x[first], y[first]
@@ -176,7 +183,7 @@ def _tile_links(tiles: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per
     a tile gives fewer links than it has rows.
     """
     ids = written(tiles.select("id").distinct(), "ids")
-    sets = written(sets_of(ids), "sets")
+    sets = written(sets_of(ids), "sets", LARGE_ROWS)
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tiles.join(sets, "id").select("key", "i", "j", "member", "number", "id", "label", "bits", "set").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "member", "number", "id")
 
@@ -212,36 +219,46 @@ def _tile_links(tiles: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def keyed(signatures: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(key, id): a row for each key of each (id, signature)."""
+def keyed(signatures: DataFrame, keys_of: Keys) -> DataFrame:
+    """(key, id, mark): a row for each key of each (id, signature)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), -1)
             for at in range(0, len(ids), 1024):
-                keys = keys_of(raw[at : at + 1024])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[at : at + 1024], keys.shape[1]))], names=["key", "id"])
+                keys, marks = keys_of(raw[at : at + 1024])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[at : at + 1024], keys.shape[1])), pa.array(marks.ravel())], names=["key", "id", "mark"])
 
-    return signatures.mapInArrow(run, "key long, id long")
+    return signatures.mapInArrow(run, "key long, id long, mark int")
 
 
-def groups(signatures: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], max_errors: int, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def groups(signatures: DataFrame, keys_of: Keys, max_errors: int, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """``id, label`` for all items that link to another; label is the least id of the group.
 
     ``signatures``: (id, signature of 16-bit symbols); ``keys_of`` gives the keys, a row of
-    bigints, of each row of symbols. ``sets_of`` gives (id, set) for a table of ids; a set
+    bigints, of each row of symbols, and a mark for each: two items with equal marks under
+    one key share an earlier key too, unless the mark is -1. A key whose marks are all equal
+    is left out, as it brings no new pair. ``sets_of`` gives (id, set) for a table of ids; a set
     is its sorted 64-bit hashes as bytes. Two items link if they share a key, their
     signatures differ in ``max_errors`` symbols at most, and 100 * intersection >=
     ``percent`` * union.
     """
     keys = written(keyed(signatures, keys_of), "keys")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo")).where("n > 1")
-    buckets = written(keys.join(sizes, "key"), "buckets")
-    pairs = buckets.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct()
-    links = written(_confirmed(written(_close(pairs, signatures, max_errors), "close"), sets_of, percent), "links")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.min("mark").alias("m0"), F.max("mark").alias("m1")).where("n > 1 and (m0 = -1 or m0 <> m1)").drop("m0", "m1")
+    buckets = written(keys.drop("mark").join(sizes, "key"), "buckets")
+    pairs = None
+    others = [F.max("id").alias("l1"), *[F.min_by("id", F.xxhash64("id", F.lit(i))).alias(f"l{i}") for i in range(2, LEADERS)]]
+    buckets = written(buckets.join(buckets.groupBy("key").agg(*others), "key").withColumnRenamed("lo", "l0"), "led")
+    leading = F.lit(False)
+    for i in range(LEADERS):
+        own = F.col(f"l{i}")
+        led = buckets.where(F.col("id") != own).select(F.least(own, "id").alias("a"), F.greatest(own, "id").alias("b"))
+        pairs, leading = led if pairs is None else pairs.union(led), leading | (F.col("id") == own)
+    pairs = pairs.distinct()
+    links = written(_confirmed(written(_close(pairs, signatures, max_errors), "close"), sets_of, percent), "links", LARGE_ROWS)
     labels = components(links)
-    rest = buckets.where("id <> lo and n > 2").select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    rest = buckets.where(~leading & (F.col("n") > 2)).select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     tiles = written(_blocks(written(rest, "rest"), signatures, max_errors, keys_of), "tiles")
     if not tiles.limit(1).count():
         return labels
-    return components(links.union(written(_tile_links(tiles, sets_of, percent), "links")))
+    return components(links.union(written(_tile_links(tiles, sets_of, percent), "links", LARGE_ROWS)))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near
-from .common import as_bytes, table, written
+from .common import as_bytes, slices, table, written
 from .shingles import Signer, mixed, set_digest, shingle_set
 
 CHUNKS, CHUNK = 14, 5
@@ -31,7 +31,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     sign = Signer(CHUNKS * CHUNK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, d1, d2, signatures = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text or b"", width)
@@ -45,8 +45,12 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), as_bytes()).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, signature binary")
 
 
-def chunk_keys(signatures: np.ndarray) -> np.ndarray:
-    """CHUNKS * CHUNK keys for each row of symbols: a chunk without one of its symbols."""
+def chunk_keys(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """CHUNKS * CHUNK keys for each row of symbols: a chunk without one of its symbols.
+
+    The mark is the symbol left out: with equal ones the whole chunk is equal, so the
+    chunk's first key is shared too. The first key's mark is -1.
+    """
     x = signatures.reshape(len(signatures), CHUNKS, CHUNK).astype(np.uint64)
     out = np.empty((len(x), CHUNKS, CHUNK), np.uint64)
     kind = np.arange(CHUNKS, dtype=np.uint64) * np.uint64(CHUNK)
@@ -56,7 +60,9 @@ def chunk_keys(signatures: np.ndarray) -> np.ndarray:
             if j != gap:
                 key = key << np.uint64(16) | x[:, :, j]
         out[:, :, gap] = mixed(key + mixed(kind + np.uint64(gap + 1)))
-    return out.reshape(len(x), -1).view(np.int64)
+    marks = x.astype(np.int32)
+    marks[:, :, 0] = -1
+    return out.reshape(len(x), -1).view(np.int64), marks.reshape(len(x), -1)
 
 
 def set_table(docs: DataFrame, width: int, ids: DataFrame) -> DataFrame:
@@ -64,7 +70,7 @@ def set_table(docs: DataFrame, width: int, ids: DataFrame) -> DataFrame:
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), as_bytes().alias("text")).join(near.bounded(ids), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t or b"", width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "set"])
 
     return wanted.mapInArrow(run, "id long, set binary")

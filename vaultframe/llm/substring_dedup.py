@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import near
-from .common import LOWER, as_bytes, table, written
+from .common import LOWER, as_bytes, slices, table, written
 from .shingles import Signer, mixed, set_digest
 
 WIDTH, LEAST_WORDS = 5, 40
@@ -89,7 +89,7 @@ def _units(docs: DataFrame, kind: str) -> DataFrame:
     base = ["doc", "at", "words", "start", "end", "d1", "d2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in base]
             signatures: list[bytes] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -116,13 +116,13 @@ def _units(docs: DataFrame, kind: str) -> DataFrame:
     return docs.select(ids, as_bytes()).mapInArrow(run, schema)
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """BANDS keys of ROWS symbols for each row of symbols."""
+def band_keys(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS keys of ROWS symbols for each row of symbols; none makes another idle."""
     x = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
     key = np.zeros((len(x), BANDS), np.uint64)
     for j in range(ROWS):
         key = key << np.uint64(16) | x[:, :, j]
-    return mixed(key + mixed(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
+    return mixed(key + mixed(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64), np.full(key.shape, -1, np.int32)
 
 
 def _sets(docs: DataFrame, holders: DataFrame, ids: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def _sets(docs: DataFrame, holders: DataFrame, ids: DataFrame) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), as_bytes().alias("text")).join(near.bounded(wanted), "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids_, sets = [], []
             for text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 w = Words(text or b"")
