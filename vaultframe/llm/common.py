@@ -17,8 +17,11 @@ from pyspark.sql import types as T
 from vaultframe.sources.scratch import clear as clear_scratch
 from vaultframe.sources.scratch import shared_dir, written
 
-__all__ = ["LOWER", "SPACES", "as_bytes", "clear_scratch", "shared_dir", "slices", "table", "two_level_position", "with_batches", "written"]
+__all__ = ["LOWER", "SPACES", "TEXT_ROWS", "as_bytes", "clear_scratch", "shared_dir", "slices", "table", "two_level_position", "with_batches", "written"]
 
+#: Rows of an Arrow batch of whole texts, where the operator runs the job itself. Batches lie
+#: outside the JVM's heap, twice while they grow.
+TEXT_ROWS = 1000
 #: Bytes that separate words; identical for bytes.split() without an argument.
 SPACES = b" \t\n\x0b\x0c\r"
 #: A-Z to a-z on UTF-8 bytes; every other byte, so every other character, stays.

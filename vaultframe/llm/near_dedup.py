@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near
-from .common import as_bytes, slices, table, written
+from .common import TEXT_ROWS, as_bytes, slices, table, written
 from .shingles import Signer, mixed, set_digest, shingle_set
 
 CHUNKS, CHUNK = 14, 5
@@ -88,7 +88,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     result; rows with one id and several texts are expected not to occur: each text is
     judged, and all are kept or not by the id. An empty table gives an empty table.
     """
-    rows = written(signed(docs, width), "signed")
+    rows = written(signed(docs, width), "signed", TEXT_ROWS)
     items = rows.where("doc_id is not null and n_shingles > 0")
     classes = written(items.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.first("signature").alias("signature")), "classes")
     # a smaller set differs from any other by more than the threshold

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import TEXT_ROWS, table, written
 
 SEQUENCE, WINDOW_SEQUENCES, END_ID = 2048, 32, 1
 #: More sources than this share so many queues by a hash of their names.
@@ -300,7 +300,7 @@ def packed(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer:
     again. An empty table gives no pieces.
     """
     tokenizer = tokenizer or default_tokenizer()
-    rows = written(tokenized(docs, tokenizer, end), "tokens")
+    rows = written(tokenized(docs, tokenizer, end), "tokens", TEXT_ROWS)
     spark = docs.sparkSession
     several = rows.select("source_hash").distinct().count() > MAX_QUEUES
     queue = F.pmod("source_hash", F.lit(MAX_QUEUES)).cast("long") if several else F.col("source_hash")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text_stats
-from .common import table, with_batches, written
+from .common import TEXT_ROWS, table, with_batches, written
 
 #: The rules' bad thresholds are set so far out that at most so few good documents cross one.
 LEAST_ON_GOOD = 0.998
@@ -144,6 +144,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: statistics are written once without texts; model and result read that table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stats = with_batches(docs, "text", text_stats.batch, text_stats.SCHEMA).drop("text")
-    voted = written(votes(stats), "votes")
+    voted = written(votes(stats), "votes", TEXT_ROWS)
     out = judge(voted, estimate(voted))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import near
-from .common import LOWER, as_bytes, slices, table, written
+from .common import LOWER, TEXT_ROWS, as_bytes, slices, table, written
 from .shingles import Signer, mixed, set_digest
 
 WIDTH, LEAST_WORDS = 5, 40
@@ -146,7 +146,7 @@ def _sets(docs: DataFrame, holders: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _paragraph_matches(docs: DataFrame, percent: int) -> DataFrame:
     """(doc, at, words, start, end, cluster, first): paragraphs that other documents have."""
-    units = written(_units(docs, "paragraphs"), "paragraphs")
+    units = written(_units(docs, "paragraphs"), "paragraphs", TEXT_ROWS)
     item = F.xxhash64("d1", "d2")
     classes = written(units.groupBy("d1", "d2").agg(F.min(F.struct("doc", "at", "words")).alias("holder"), F.max("doc").alias("last"), F.first("signature").alias("signature")).withColumn("id", item), "classes")
     holders = classes.select("id", "holder.doc", "holder.at", "holder.words")
@@ -160,7 +160,7 @@ def _paragraph_matches(docs: DataFrame, percent: int) -> DataFrame:
 
 def _window_matches(docs: DataFrame) -> DataFrame:
     """The same of windows."""
-    units = written(_units(docs, "windows"), "windows")
+    units = written(_units(docs, "windows"), "windows", TEXT_ROWS)
     hot = units.groupBy("d1").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("d1")
     units = written(units.join(hot, "d1"), "repeated")
     classes = units.groupBy("d1", "d2").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last")).where("first.doc <> last")
