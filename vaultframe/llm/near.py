@@ -117,8 +117,8 @@ def _blocks(rows: DataFrame, signatures: DataFrame, max_errors: int, keys_of: Ke
     any size is spread over tasks; a task holds one block of leaders. A pair counts only
     under the first of the keys that it shares, so no pair is looked at twice.
 
-    Gives (key, i, j, member, number, id, label, bits): the leaders of each tile and the
-    members close to any of them, whose ``bits`` tell to which by their ``number``.
+    Gives (key, i, j, member, number, id, label, bits): the leaders of each tile that are
+    close to a member, and those members, whose ``bits`` tell to which by their ``number``.
     """
     counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("labels"))
     several = counts.where("labels > 1").select("key", F.col("top.label").alias("top"), F.expr(f"cast((n - top.c) div {LEADERS_A_BLOCK} + 1 as int)").alias("lead_blocks"), F.expr(f"cast(n div {MEMBERS_A_BLOCK} + 1 as int)").alias("member_blocks"))
@@ -133,7 +133,7 @@ def _blocks(rows: DataFrame, signatures: DataFrame, max_errors: int, keys_of: Ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        block, told = None, False
+        block, told = None, set()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -147,7 +147,7 @@ def _blocks(rows: DataFrame, signatures: DataFrame, max_errors: int, keys_of: Ke
                 if not member[lo]:
                     part = [ids[lo:hi], labels[lo:hi], signs[lo:hi]]
                     held = [np.concatenate([x, y]) for x, y in zip(held, part, strict=True)] if here == block else part
-                    block, told = here, told and here == block
+                    block, told = here, set()
                 elif here == block:
                     for at in range(lo, hi, 256):
                         end = min(at + 256, hi)
@@ -163,9 +163,9 @@ def _blocks(rows: DataFrame, signatures: DataFrame, max_errors: int, keys_of: Ke
                         same = own[np.searchsorted(np.unique(x), x)] == other[np.searchsorted(np.unique(y), y)]
                         first = own[np.searchsorted(np.unique(x), x), same.argmax(1)] == here[0]
                         x, y = x[first], y[first]
-                        if len(x) and not told:
-                            told = True
-                            out += [(*here, 0, k, a, b, b"") for k, (a, b) in enumerate(zip(held[0].tolist(), held[1].tolist(), strict=True))]
+                        fresh = set(x.tolist()) - told
+                        told |= fresh
+                        out += [(*here, 0, k, int(held[0][k]), int(held[1][k]), b"") for k in sorted(fresh)]
                         for m in np.unique(y).tolist():
                             bits = np.zeros(len(held[0]), np.uint8)
                             bits[x[y == m]] = 1
