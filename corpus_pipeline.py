@@ -29,13 +29,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, in the order of the Pfair schedule; packing keeps each source's order."""
+    """Every document, in the order of the Pfair schedule to the default targets; packing
+    keeps each source's order and deals the sources by the same targets."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens; every window holds the sources' token shares."""
-    return packing.packed(docs).drop("queue")
+    """Pieces of sequences of 2048 tokens; each window's tokens are in proportion to the
+    mixing targets of the sources that still have tokens."""
+    return packing.packed(docs, targets=mixing.targets(docs)).drop("queue")
 
 
 STAGES = [

@@ -567,6 +567,27 @@ def test_pipeline_equals_plain_stages(spark, docs, rows, empty, tmp_path):
         assert stage(spark, df, str(tmp_path)).count() == 0
 
 
+def test_pipeline_windows_follow_the_mixing_targets(spark, tmp_path):
+    import corpus_pipeline
+
+    of = {i: ("hot", "small", None)[0 if i < 80 else 1 if i < 90 else 2] for i in range(96)}
+    docs = spark.createDataFrame([(i, "the sea and the sun " * 1000, "en", s) for i, s in of.items()], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    mix = corpus_pipeline.mix_sources(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+    mix.write.parquet(str(tmp_path / "mixed"))
+    by = defaultdict(Counter)
+    for p in corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect():
+        by[p["sequence_id"] // 32][of[p["doc_id"]]] += p["length"]
+    size = Counter()
+    for s in of.values():
+        size[s] += 20_001
+    target = {s: (-(-n // mixing.BLOCK_CHARS)) ** mixing.EXPONENT for s, n in size.items()}
+    for k in (0, 1):
+        assert sum(by[k].values()) == 65536
+        for s, w in target.items():
+            assert abs(by[k][s] - 65536 * w / sum(target.values())) <= 3
+
+
 def test_shingle_sets_hold_the_words_shingles():
     assert len(shingle_set(b"", 2)) == 0 and len(shingle_set(b" \n", 2)) == 0
     assert len(shingle_set(b"one", 2)) == 1 and len(shingle_set(b"a b a b", 2)) == 2

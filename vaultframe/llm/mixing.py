@@ -82,6 +82,21 @@ def phases(blocks: Sequence[int], weights: Sequence[float], period: int) -> list
     return out
 
 
+def _size() -> F.Column:
+    """Characters of a text and its end."""
+    return F.coalesce(F.char_length(F.col("text").cast("string")), F.lit(0)).cast("long") + 1
+
+
+def _by_source(docs: DataFrame) -> DataFrame:
+    """(h, n, rows): size and rows of each source, by the hash of its name."""
+    return docs.groupBy(F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("\0"))).alias("h")).agg(F.sum(_size()).alias("n"), F.count(F.lit(1)).alias("rows"))
+
+
+def targets(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> dict[int, float]:
+    """The default target weights, by the hash of the source's name: those of ``scheduled``."""
+    return {r["h"]: (-(-r["n"] // block_chars)) ** EXPONENT for r in _by_source(docs).collect()}
+
+
 def _queue(docs: DataFrame, several: bool) -> F.Column:
     h = F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("\0")))
     return F.pmod(h, F.lit(MAX_QUEUES)).cast("long") if several else h
@@ -101,9 +116,8 @@ def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, block
         raise ValueError("targets must be positive")
     spark, new = docs.sparkSession, ("block", "release", "deadline", "slot", "block_offset")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
-    size = F.coalesce(F.char_length(F.col("text").cast("string")), F.lit(0)).cast("long") + 1
-    by_source = docs.groupBy(F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("\0"))).alias("h")).agg(F.sum(size).alias("n"), F.count(F.lit(1)).alias("rows"))
-    by_source = written(by_source, "sources")
+    size = _size()
+    by_source = written(_by_source(docs), "sources")
     several = by_source.count() > MAX_QUEUES
     q = F.pmod("h", F.lit(MAX_QUEUES)).cast("long") if several else F.col("h")
     totals = by_source.groupBy(q.alias("q")).agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).orderBy("q").collect()  # MAX_QUEUES rows at most

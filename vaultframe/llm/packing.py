@@ -287,7 +287,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END_ID) -> DataFrame:
     return placed.mapInArrow(run, f"doc_id {kind}, source_hash long, part int, slot int, file string, block long, before long, n_tokens long, ids binary")
 
 
-def packed(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer: str | None = None, window: int = WINDOW_SEQUENCES, sequence: int = SEQUENCE, end: int = END_ID) -> DataFrame:
+def packed(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer: str | None = None, window: int = WINDOW_SEQUENCES, sequence: int = SEQUENCE, end: int = END_ID, targets: dict[int, float] | None = None) -> DataFrame:
     """Pieces of all documents in sequences of ``sequence`` tokens.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue. Each
@@ -295,7 +295,9 @@ def packed(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer:
     last are full, the last is shorter.
 
     ``weights``: target share by source; sources that it doesn't name come when those are
-    used up. By default the sources' own token shares, which every window then holds.
+    used up. ``targets``: the same by the xxhash64 of the source's name, as
+    ``mixing.targets`` gives it. By default the sources' own token shares, which every
+    window then holds.
     Null texts are the ``end`` id alone; null sources are a source. Repeated rows are packed
     again. An empty table gives no pieces.
     """
@@ -309,15 +311,17 @@ def packed(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer:
     bases = parts.select("source_hash", "part", "slot", "queue", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES rows at most
     queues = sorted(totals)
-    if weights is None:
-        parts_of = [totals[q] for q in queues]
-    else:
+    if weights is not None:
         names = sorted(weights)
         hashes = spark.range(1).select(*[F.xxhash64(F.lit(s)).alias(f"h{i}") for i, s in enumerate(names)]).first() if names else ()
+        targets = {h: weights[s] for s, h in zip(names, hashes, strict=True)}
+    if targets is None:
+        parts_of = [totals[q] for q in queues]
+    else:
         wanted: dict[int, int] = {}
-        for s, h in zip(names, hashes, strict=True):
+        for h, w in targets.items():
             q = h % MAX_QUEUES if several else h
-            wanted[q] = wanted.get(q, 0) + round(weights[s] * 1_000_000)
+            wanted[q] = wanted.get(q, 0) + round(w * 1_000_000)
         parts_of = [wanted.get(q, 0) for q in queues]
     spans = schedule([totals[q] for q in queues], parts_of, window * sequence)
     index = {q: i for i, q in enumerate(queues)}
