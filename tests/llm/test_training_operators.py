@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -244,6 +245,27 @@ def test_pfair_deviates_by_less_than_a_block(blocks, weights, period):
             assert abs(given_[j] - base[j] - (t + 1 - begun) * s["n"] / period) < 1
 
 
+@pytest.mark.parametrize(("blocks", "weights"), [([4000] * 3, [1.0] * 3), ([900] * 6 + [2700], [1.0] * 6 + [3.0]), ([9000, 5], [1.0, 0.0004]), ([300, 7, 40, 1], [40.2, 3.3, 11.7, 1.0])])
+def test_exact_schedule_deviates_by_less_than_a_block_from_given_weights(blocks, weights):
+    plan = mixing.exact(blocks, weights)
+    at = {t: i for i, columns in enumerate(plan) for t in columns[0]}
+    assert sorted(at) == list(range(sum(blocks))) and [len(c[0]) for c in plan] == blocks
+    assert all(r <= t < d for columns in plan for t, r, d in zip(*columns, strict=True))
+    w, n = [Fraction(x) for x in weights], [0] * len(blocks)
+    for t in range(min(c[0][-1] for c in plan) + 1):  # while all sources last
+        n[at[t]] += 1
+        assert all(abs(n[i] - (t + 1) * w[i] / sum(w)) < 1 for i in range(len(w)))
+
+
+def test_mixing_follows_the_given_weights(spark):
+    docs = spark.createDataFrame([(i, "abc", "xyz"[i % 3]) for i in range(9000)], "doc_id long, text string, source string")
+    got = mixing.scheduled(docs, {"x": 1.0, "y": 1.0, "z": 1.0}, block_chars=4).select("slot", "source").collect()
+    n = Counter()
+    for t, s in sorted((r["slot"], r["source"]) for r in got):
+        n[s] += 1
+        assert all(abs(n[x] - (t + 1) / 3) < 1 for x in "xyz")
+
+
 def test_mixing_keeps_every_row(docs, rows, empty):
     done = mixing.scheduled(docs, block_chars=500, period=50)
     got = done.collect()

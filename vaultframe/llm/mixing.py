@@ -6,23 +6,29 @@ ceil((i + 1) / w); in each slot the released block with the earliest deadline ru
 weights sum to 1, every block meets its window, so at any slot each source has had its
 share to within less than one block.
 
-Weights are whole parts of a period, so the schedule repeats with it: the driver lays out
-one period, at most PERIOD rows for each phase, and every block looks its slot up. When a
-source is used up, a new phase begins in which the others keep their proportions.
+The driver runs this once for all blocks, with the weights as exact fractions, and writes
+down each block's slot: a row for a run of blocks, three numbers for each block of
+BLOCK_CHARS characters, so about a thousandth of the corpus. When a source is used up, a
+new phase begins in which the others keep their proportions.
 """
 
 from __future__ import annotations
 
-import json
+import heapq
 import math
-from collections.abc import Mapping, Sequence
+from array import array
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, two_level_position, written
 
-BLOCK_CHARS, PERIOD, MAX_QUEUES = 32_768, 1000, 256
+BLOCK_CHARS, MAX_QUEUES = 32_768, 256
+#: Blocks whose slots stand in one row, and as many as are broadcast at most.
+RUN_BLOCKS, MAX_BROADCAST = 1024, 4_000_000
 #: Without weights, a source's target is its size to this power: below 1 lifts small ones.
 EXPONENT = 0.7
 
@@ -82,6 +88,53 @@ def phases(blocks: Sequence[int], weights: Sequence[float], period: int) -> list
     return out
 
 
+def exact(blocks: Sequence[int], weights: Sequence[float]) -> list[tuple[array, array, array]]:
+    """Slot, release and deadline of each block of each source, by the weights as they are."""
+    parts = [Fraction(w) for w in weights]
+    scale = math.lcm(*[f.denominator for f in parts])
+    n = [int(f * scale) for f in parts]
+    left, begin, out = list(blocks), 0, [(array("q"), array("q"), array("q")) for _ in blocks]
+    while live := [i for i, b in enumerate(left) if b]:
+        total, done, t = sum(n[i] for i in live), dict.fromkeys(live, 0), 0
+        later: list[tuple[int, int]] = []  # (release, source) and (deadline, source) of next blocks
+        ready = [(-(-total // n[i]), i) for i in live]
+        heapq.heapify(ready)
+        while True:
+            while later and later[0][0] <= t:
+                i = heapq.heappop(later)[1]
+                heapq.heappush(ready, (-(-(done[i] + 1) * total // n[i]), i))
+            if not left[ready[0][1]]:
+                break
+            due, i = heapq.heappop(ready)
+            for column, x in zip(out[i], (t, done[i] * total // n[i], due), strict=True):
+                column.append(begin + x)
+            done[i] += 1
+            left[i] -= 1
+            heapq.heappush(later, (done[i] * total // n[i], i))
+            t += 1
+        begin += t
+    return out
+
+
+def periodic(blocks: Sequence[int], weights: Sequence[float], period: int) -> list[tuple[array, array, array]]:
+    """The same by weights in whole parts of ``period``."""
+    out = [(array("q"), array("q"), array("q")) for _ in blocks]
+    for p in phases(blocks, weights, period):
+        for i, s in p["sources"].items():
+            n = s["n"]
+            for b in range(s["end"] - s["start"]):
+                turn, j = p["slot"] + b // n * period, b % n
+                for column, x in zip(out[i], (s["at"][j], j * period // n, -(-(j + 1) * period // n)), strict=True):
+                    column.append(turn + x)
+    return out
+
+
+def _runs(queues: Sequence[int], plan: Sequence[tuple[array, array, array]]) -> Iterator[dict]:
+    for q, columns in zip(queues, plan, strict=True):
+        for k, lo in enumerate(range(0, len(columns[0]), RUN_BLOCKS)):
+            yield {"pq": q, "prun": k} | {c: x[lo : lo + RUN_BLOCKS].tolist() for c, x in zip(("pslot", "prelease", "pdeadline"), columns, strict=True)}
+
+
 def _size() -> F.Column:
     """Characters of a text and its end."""
     return F.coalesce(F.char_length(F.col("text").cast("string")), F.lit(0)).cast("long") + 1
@@ -102,12 +155,13 @@ def _queue(docs: DataFrame, several: bool) -> F.Column:
     return F.pmod(h, F.lit(MAX_QUEUES)).cast("long") if several else h
 
 
-def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
+def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int | None = None) -> DataFrame:
     """``docs`` with block, release, deadline, slot and block_offset; order by slot, then by
     block_offset, is the mix. A document belongs to the block in which it begins.
 
     Every row stays. ``weights``: target by source; a source that it doesn't name has the
-    least weight that is named. Null sources are a source; more than MAX_QUEUES sources
+    least weight that is named. ``period``: round targets to whole parts of a period, at
+    least 1 each; the bound then holds for the rounded ones. Null sources are a source; more than MAX_QUEUES sources
     share as many queues by a hash of their names. Null or empty texts count one character,
     as does the end of each text. Rows of a source are ordered by a hash of id and text, so
     repeated rows stand together and are interchangeable. Columns of ``docs`` with a result's name are replaced.
@@ -132,23 +186,24 @@ def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, block
             k = h % MAX_QUEUES if several else h
             of[k] = of.get(k, 0.0) + weights[s]
         target = [of.get(r["q"], min(weights.values())) for r in totals]
-    plan = phases(blocks, target, max(period, len(totals)))
-    period = max(period, len(totals))
-    rows = [{"pq": totals[i]["q"], "phase": k, "pslot": p["slot"], "pstart": s["start"], "pend": s["end"], "pn": s["n"], "at": s["at"]} for k, p in enumerate(plan) for i, s in p["sources"].items()]
-    table_ = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<pq:long,phase:int,pslot:long,pstart:long,pend:long,pn:long,at:array<int>>>")).alias("p")).select("p.*")
+    plan = periodic(blocks, target, max(period, len(totals))) if period else exact(blocks, target)
+    lists = [(c, pa.list_(pa.int64())) for c in ("pslot", "prelease", "pdeadline")]
+    rows = pa.Table.from_pylist(list(_runs([r["q"] for r in totals], plan)), schema=pa.schema([("pq", pa.int64()), ("prun", pa.int64()), *lists]))
+    slots = written(spark.createDataFrame(rows), "slots")
+    if sum(blocks) <= MAX_BROADCAST:
+        slots = F.broadcast(slots)
     buckets = max(1, math.isqrt(sum(r["rows"] for r in totals)))
     key = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text").cast("string")).cast("binary"))
     bucket = F.expr(f"cast(conv(substring(_key, 1, 8), 16, 10) as bigint) * {buckets} div 4294967296")
     keyed = docs.withColumn("_q", _queue(docs, several)).withColumn("_key", key).withColumn("_bucket", bucket)
     at = two_level_position(keyed, ["_q"], "_bucket", [F.col("_key")], size, "_at")
     block = F.expr(f"_at div {block_chars}")
-    # at most MAX_QUEUES sources in as many phases, whatever the corpus
-    placed = at.withColumn("block", block).join(F.broadcast(table_), (F.col("_q") == F.col("pq")) & (F.col("block") >= F.col("pstart")) & (F.col("block") < F.col("pend")))
-    turn, i = F.expr(f"pslot + (block - pstart) div pn * {period}"), "(block - pstart) % pn"
+    placed = at.withColumn("block", block).join(slots, (F.col("_q") == F.col("pq")) & (F.expr(f"block div {RUN_BLOCKS}") == F.col("prun")))
+    of = lambda c: F.expr(f"{c}[cast(block % {RUN_BLOCKS} as int)]")
     return (
-        placed.withColumn("release", turn + F.expr(f"{i} * {period} div pn"))
-        .withColumn("deadline", turn + F.expr(f"(({i} + 1) * {period} + pn - 1) div pn"))
-        .withColumn("slot", turn + F.expr(f"at[cast({i} as int)]"))
+        placed.withColumn("release", of("prelease"))
+        .withColumn("deadline", of("pdeadline"))
+        .withColumn("slot", of("pslot"))
         .withColumn("block_offset", F.expr(f"_at % {block_chars}"))
         .select(*docs.columns, *new)
     )
