@@ -197,6 +197,29 @@ def test_equal_passages_share_a_window(seed):
     assert set(map(tuple, a.windows()[1].tolist())) & set(map(tuple, b.windows()[1].tolist()))
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_shared_passages_are_reported_to_their_ends(spark, seed):
+    r = random.Random(seed)
+    unique = (f"u{i}" for i in itertools.count())
+    w = lambda n: [next(unique) for _ in range(n)]
+    spans, texts = {}, []
+    for n in (51, 60, 75, 200):
+        passage = w(n)
+        for _ in range(3):
+            lo = r.randrange(90)
+            spans[len(texts)] = (lo, n)
+            texts.append([*w(lo), *passage, *w(r.randrange(90))])
+    long = w(160)  # copies of different lengths: 12 has all, 13 its beginning, 14 its end
+    spans |= {12: (20, 160), 13: (5, 100), 14: (9, 80)}
+    texts += [[*w(20), *long, *w(30)], [*w(5), *long[:100], *w(40)], [*w(9), *long[80:], *w(3)]]
+    found = substring_dedup.passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    want = set()
+    for d, (lo, n) in spans.items():
+        start = len(" ".join(texts[d][:lo])) + (lo > 0)
+        want.add((d, start, start + len(" ".join(texts[d][lo : lo + n])), n, d % 3 > 0))
+    assert {(x["doc_id"], x["start"], x["end"], x["n_words"], x["removed"]) for x in found} == want and len(found) == len(want)
+
+
 # --- op4
 
 

@@ -8,7 +8,9 @@ similarity 0.8 collides with probability 0.9998.
 A passage set into a longer paragraph leaves that paragraph's similarity low, which no
 banding of paragraphs can find. So each text also gives windows of WINDOW words that begin
 where a hash has its least value among REACH neighbouring words: equal passages of
-WINDOW + REACH - 1 words, 51, share such a window wherever they stand.
+WINDOW + REACH - 1 words, 51, share such a window wherever they stand. Where the windows next to a repeated
+one differ between its copies, or there is none, an equal run may end; there, all windows
+that begin within REACH - 1 words of it are compared too, so runs are covered to their ends.
 """
 
 from __future__ import annotations
@@ -78,15 +80,30 @@ class Words:
         # the rightmost least of each reach; a text with fewer places has one reach
         order = np.lib.stride_tricks.sliding_window_view(self.shingle[:places][::-1], min(REACH, places))
         at = np.unique(places - 1 - (np.arange(len(order)) + order.argmin(1)))
+        return at, self.at_digests(at)
+
+
+    def at_digests(self, at: np.ndarray) -> np.ndarray:
         own = self.hash[at[:, None] + np.arange(WINDOW)]
-        digests = np.stack([mixed((own * _ODD[k]).sum(1, dtype=np.uint64)) for k in range(2)], axis=1)
-        return at, digests.view(np.int64)
+        return np.stack([mixed((own * _ODD[k]).sum(1, dtype=np.uint64)) for k in range(2)], axis=1).view(np.int64)
+
+
+def links(at: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands before and after each window of a text: a hash of the neighbouring window
+    and its distance, 0 for none."""
+    before, after = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    if len(at) > 1:
+        d, gap = digests[:, 0].view(np.uint64) * _M, np.diff(at).astype(np.uint64)
+        before[1:], after[:-1] = mixed(d[:-1] + gap), mixed(d[1:] + gap)
+    return before.view(np.int64), after.view(np.int64)
 
 
 def _units(docs: DataFrame, kind: str) -> DataFrame:
     """Windows or signed paragraphs of whole texts: a row for each, with its place."""
     sign = Signer(BANDS * ROWS, seed=2)
     base = ["doc", "at", "words", "start", "end", "d1", "d2"]
+    if kind == "windows":
+        base = ["doc", "at", "start", "end", "d1", "d2", "before", "after"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -96,7 +113,7 @@ def _units(docs: DataFrame, kind: str) -> DataFrame:
                 w = Words(text or b"")
                 if kind == "windows":
                     at, digests = w.windows()
-                    cols = [[doc] * len(at), at, [WINDOW] * len(at), w.start[at], w.end[at + WINDOW - 1], digests[:, 0], digests[:, 1]]
+                    cols = [[doc] * len(at), at, w.start[at], w.end[at + WINDOW - 1], digests[:, 0], digests[:, 1], *links(at, digests)]
                 else:
                     found = list(w.paragraphs())
                     sets = [w.shingles(lo, n) for lo, n in found]
@@ -158,13 +175,59 @@ def _paragraph_matches(docs: DataFrame, percent: int) -> DataFrame:
     return units.drop("signature").join(hot, ["d1", "d2"]).drop("d1", "d2")
 
 
+def _near_windows(docs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """All windows within reach of an open side of the anchors (doc, at, removed, left, right).
+    ``inside``: what the text's removed anchors cover."""
+    code = F.col("at") * 8 + F.when(F.col("removed"), 4).otherwise(0) + F.when(F.col("left"), 2).otherwise(0) + F.when(F.col("right"), 1).otherwise(0)
+    lists = anchors.groupBy("doc").agg(F.collect_set(code).alias("anchors"), F.max(F.col("left") | F.col("right")).alias("open")).where("open").select("doc", "anchors")
+    lists = written(lists, "anchors")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), as_bytes().alias("text")).join(near.bounded(lists), "doc")
+    names = ["doc", "at", "start", "end", "d1", "d2", "inside"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: list[list] = [[] for _ in names]
+            for doc, text, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                w = Words(text or b"")
+                places, codes = len(w.hash) - WINDOW + 1, codes.values.to_numpy()
+                if places < 1:
+                    continue
+                codes = codes[codes >> 3 < places]  # rows of one doc_id share their anchors
+                wanted, gone = np.zeros(places + 1, np.int64), np.zeros(len(w.hash) + 1, np.int64)
+                for side, lo, hi in ((2, 1 - REACH, 0), (1, 1, REACH)):
+                    p = codes[codes & side > 0] >> 3
+                    np.add.at(wanted, np.clip(p + lo, 0, places), 1)
+                    np.add.at(wanted, np.clip(p + hi, 0, places), -1)
+                p = codes[codes & 4 > 0] >> 3
+                np.add.at(gone, p, 1)
+                np.add.at(gone, p + WINDOW, -1)
+                at = np.flatnonzero(np.cumsum(wanted)[:places] > 0)
+                covered = np.concatenate([[0], np.cumsum(np.cumsum(gone)[:-1] > 0)])
+                digests = w.at_digests(at)
+                cols = [[doc] * len(at), at, w.start[at], w.end[at + WINDOW - 1], digests[:, 0], digests[:, 1], covered[at + WINDOW] - covered[at] == WINDOW]
+                for o, c in zip(out, cols, strict=True):
+                    o.append(np.asarray(c, np.int64))
+            arrays = [pa.array(np.concatenate(o) if o else np.empty(0, np.int64)) for o in out]
+            yield pa.RecordBatch.from_arrays([*arrays[:-1], arrays[-1].cast(pa.bool_())], names=names)
+
+    return texts.select("doc", "text", "anchors").mapInArrow(run, "doc long, at long, start long, end long, d1 long, d2 long, inside boolean")
+
+
 def _window_matches(docs: DataFrame) -> DataFrame:
-    """The same of windows."""
+    """The same of windows; ``near`` for those that are no anchors."""
     units = written(_units(docs, "windows"), "windows", TEXT_ROWS)
     hot = units.groupBy("d1").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("d1")
     units = written(units.join(hot, "d1"), "repeated")
-    classes = units.groupBy("d1", "d2").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last")).where("first.doc <> last")
-    return units.join(classes.select("d1", "d2", "first"), ["d1", "d2"]).withColumn("cluster", F.xxhash64("d1", "d2")).drop("d1", "d2")
+    same = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
+    first = F.min(F.struct("doc", "at")).alias("first")
+    classes = units.groupBy("d1", "d2").agg(first, F.max("doc").alias("last"), (~same("before")).alias("left"), (~same("after")).alias("right")).where("first.doc <> last")
+    found = written(units.drop("before", "after").join(classes.drop("last"), ["d1", "d2"]), "anchors")
+    removed = (F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at"))
+    more = written(_near_windows(docs, found.select("doc", "at", "left", "right", removed.alias("removed"))), "near", TEXT_ROWS)
+    # with those near, as a window that is an anchor here may be none in an earlier text
+    every = found.select("doc", "at", "start", "end", "d1", "d2", F.lit(False).alias("inside"), F.lit(False).alias("near")).unionByName(more.withColumn("near", F.lit(True)))
+    classes = every.groupBy("d1", "d2").agg(first, F.max("doc").alias("last")).where("first.doc <> last").drop("last")
+    return every.where("not inside").drop("inside").join(classes, ["d1", "d2"]).withColumn("words", F.lit(WINDOW).cast("long")).withColumn("cluster", F.xxhash64("d1", "d2")).drop("d1", "d2")
 
 
 def passages(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -173,18 +236,18 @@ def passages(docs: DataFrame, percent: int = 80) -> DataFrame:
     start and end are code points of the whole text, end excluded. Of each repeated window,
     and of each group of near-equal paragraphs, the copy with the least doc_id, and there
     the first, stays (``removed`` false); overlapping parts with the same fate are one
-    passage. ``cluster_id`` is the least of its parts' groups; copies of a passage share one.
+    passage, and one of 51 words or more is reported to its ends. ``cluster_id`` is the least of its parts' groups; copies of a passage share one.
 
     Text repeated within one document alone isn't reported. Null and empty texts have no
     passage; rows without doc_id count as one document with the least id and are reported
     with a null one. Rows that repeat a doc_id are one document. An empty table gives none.
     """
-    matches = _paragraph_matches(docs, percent).unionByName(_window_matches(docs))
+    matches = _paragraph_matches(docs, percent).withColumn("near", F.lit(False)).unionByName(_window_matches(docs))
     fate = matches.withColumn("removed", (F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at"))).drop("first")
     by = W.partitionBy("doc", "removed").orderBy("start", "end")
     gap = fate.withColumn("reached", F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1)))
     run = gap.withColumn("run", F.sum(F.when(F.col("start") <= F.col("reached"), 0).otherwise(1)).over(by))
-    out = run.groupBy("doc", "removed", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("at") + F.col("words")) - F.min("at")).alias("n_words"), F.min("cluster").alias("cluster_id"))
+    out = run.groupBy("doc", "removed", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max(F.col("at") + F.col("words")) - F.min("at")).alias("n_words"), F.coalesce(F.min(F.when(~F.col("near"), F.col("cluster"))), F.min("cluster")).alias("cluster_id"))
     return out.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "start", "end", "n_words", "removed", "cluster_id")
 
 
