@@ -65,6 +65,21 @@ def test_pii_query(docs, rows, empty):
     assert pii.found(empty).count() == 0
 
 
+def test_spelled_out_addresses_need_no_other_trigger(spark):
+    forms = ["contact {} [at] {} [dot] com about it", "contact {} (at) {} (dot) org about it", "contact {} at {} dot net about it", "contact {} AT {} DOT com about it", "write to {} [AT] {} [dot] org", "mail {} (at) {} dot com"]
+    plain = [f.format(a, b) for f in forms for a, b in (("lletion", "oument"), ("schre", "ingbe"), ("é", "ö" * 50))]
+    rows = [(i, t) for i, t in enumerate(plain)] + [(100 + i, t + "\n7") for i, t in enumerate(plain)]
+    got = {r["doc_id"]: r["spans"] for r in pii.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == got[100 + i] for i in range(len(plain)))
+    assert all("obfuscated_email" in got[3 * i] for i in (0, 1, 2))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["at", "AT", "dot", "Dot", " ", " ", "[", "]", "(", ")", "é", "x", "\u00a0", "7", "-"]), max_size=14).map("".join))
+def test_prefilter_lets_through_what_lines_match(text):
+    assert not pii._LINE.search(text) or pii._TRIGGER.search(text.encode())
+
+
 def test_semi_markov_decoding_is_exact():
     model = pii.trained()
     for text, _ in pii.training_set(12, seed=31):

@@ -33,7 +33,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(rb"[0-9@]| at |[A-Za-z0-9+/_-]{20}")
+#: Whatever base_spans or _LINE can match, in bytes; 60 characters are 240 bytes at most.
+_TRIGGER = re.compile(rb"[0-9@]|[A-Za-z0-9+/_-]{20}|\b[Aa][Tt]\b[\])]? [^\s]{1,240}? [\[(]?[Dd][Oo][Tt]\b")
 _TOKEN = re.compile(r"[^\W_]+|\s+|[^\w\s]|_")
 
 
