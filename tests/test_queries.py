@@ -90,3 +90,22 @@ def test_plans_push_filters_and_prune_columns(spark):
     assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,7)" in plan
     scan = next(x for x in plan.splitlines() if x.startswith("ReadSchema"))
     assert "props" not in scan and "value" not in scan
+
+
+def test_throttle_folds_every_stream(spark, tmp_path):
+    import datetime
+
+    base, rows = datetime.datetime(2024, 1, 1), []
+    for u in (3, 19, 20, 21, 1400):
+        rows += [(u * 10 + i, base + datetime.timedelta(seconds=i * (u % 7 + 1) * 1000), u, 30.0 + u % 5) for i in range(6)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for _, ts, u, n in rows:
+        avail, last, waited = want.get(u, (100.0, 0.0, 0.0))
+        at = (ts - base).total_seconds()
+        avail = min(100.0, avail + max(at - last, 0.0) * 0.001) - n
+        want[u] = (avail, max(at, last), waited + max(0.0, -avail / 0.001))
+    got = {r["stream"]: (r["requests"], r["available"], r["waited"]) for r in QUERIES["udf5_throttle"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want)
+    for u, (avail, _, waited) in want.items():
+        assert got[u] == pytest.approx((6, avail, waited), abs=1e-3)

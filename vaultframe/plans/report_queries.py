@@ -479,5 +479,5 @@ def plan_rows(v):
 
 @query("udf5_throttle")
 def throttle(v):
-    rows = v.table("events").where("user_id < 20").select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200).alias("at"), F.col("value").alias("n"))
+    rows = v.table("events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200).alias("at"), F.col("value").alias("n"))
     return report.throttle(rows, rate=0.001, burst=100.0)
