@@ -304,6 +304,16 @@ def test_mixing_follows_the_given_weights(spark):
         assert all(abs(n[x] - (t + 1) / 3) < 1 for x in "xyz")
 
 
+def test_mixing_keeps_more_than_256_sources_apart(spark):
+    docs = spark.createDataFrame([(i, "abc", f"s{i % 300}") for i in range(1500)], "doc_id long, text string, source string")
+    got = mixing.scheduled(docs, block_chars=4).select("slot", "source").collect()
+    assert sorted(r["slot"] for r in got) == list(range(1500))
+    n = Counter()
+    for t, s in sorted((r["slot"], r["source"]) for r in got):
+        n[s] += 1
+        assert all(abs(n[f"s{i}"] - (t + 1) / 300) < 1 for i in range(300))
+
+
 def test_mixing_keeps_every_row(docs, rows, empty):
     done = mixing.scheduled(docs, block_chars=500, period=50)
     got = done.collect()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import table, two_level_position, written
 
-BLOCK_CHARS, MAX_QUEUES = 32_768, 256
+BLOCK_CHARS = 32_768
 #: Blocks whose slots stand in one row, and as many as are broadcast at most.
 RUN_BLOCKS, MAX_BROADCAST = 1024, 4_000_000
 #: Without weights, a source's target is its size to this power: below 1 lifts small ones.
@@ -150,19 +150,13 @@ def targets(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> dict[int, float]
     return {r["h"]: (-(-r["n"] // block_chars)) ** EXPONENT for r in _by_source(docs).collect()}
 
 
-def _queue(docs: DataFrame, several: bool) -> F.Column:
-    h = F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("\0")))
-    return F.pmod(h, F.lit(MAX_QUEUES)).cast("long") if several else h
-
-
 def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, block_chars: int = BLOCK_CHARS, period: int | None = None) -> DataFrame:
     """``docs`` with block, release, deadline, slot and block_offset; order by slot, then by
     block_offset, is the mix. A document belongs to the block in which it begins.
 
     Every row stays. ``weights``: target by source; a source that it doesn't name has the
     least weight that is named. ``period``: round targets to whole parts of a period, at
-    least 1 each; the bound then holds for the rounded ones. Null sources are a source; more than MAX_QUEUES sources
-    share as many queues by a hash of their names. Null or empty texts count one character,
+    least 1 each; the bound then holds for the rounded ones. Null sources are a source. Null or empty texts count one character,
     as does the end of each text. Rows of a source are ordered by a hash of id and text, so
     repeated rows stand together and are interchangeable. Columns of ``docs`` with a result's name are replaced.
     """
@@ -171,31 +165,25 @@ def scheduled(docs: DataFrame, weights: Mapping[str, float] | None = None, block
     spark, new = docs.sparkSession, ("block", "release", "deadline", "slot", "block_offset")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
     size = _size()
-    by_source = written(_by_source(docs), "sources")
-    several = by_source.count() > MAX_QUEUES
-    q = F.pmod("h", F.lit(MAX_QUEUES)).cast("long") if several else F.col("h")
-    totals = by_source.groupBy(q.alias("q")).agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).orderBy("q").collect()  # MAX_QUEUES rows at most
+    totals = sorted(_by_source(docs).collect(), key=lambda r: r["h"])  # each has a block at least
     blocks = [-(-r["n"] // block_chars) for r in totals]
     if weights is None:
         target = [b**EXPONENT for b in blocks]
     else:
         names = sorted(weights)
         found = spark.range(1).select(*[F.xxhash64(F.lit(s)).alias(f"h{i}") for i, s in enumerate(names)]).first()
-        of: dict[int, float] = {}
-        for s, h in zip(names, found, strict=True):
-            k = h % MAX_QUEUES if several else h
-            of[k] = of.get(k, 0.0) + weights[s]
-        target = [of.get(r["q"], min(weights.values())) for r in totals]
+        of = {h: weights[s] for s, h in zip(names, found, strict=True)}
+        target = [of.get(r["h"], min(weights.values())) for r in totals]
     plan = periodic(blocks, target, max(period, len(totals))) if period else exact(blocks, target)
     lists = [(c, pa.list_(pa.int64())) for c in ("pslot", "prelease", "pdeadline")]
-    rows = pa.Table.from_pylist(list(_runs([r["q"] for r in totals], plan)), schema=pa.schema([("pq", pa.int64()), ("prun", pa.int64()), *lists]))
+    rows = pa.Table.from_pylist(list(_runs([r["h"] for r in totals], plan)), schema=pa.schema([("pq", pa.int64()), ("prun", pa.int64()), *lists]))
     slots = written(spark.createDataFrame(rows), "slots")
     if sum(blocks) <= MAX_BROADCAST:
         slots = F.broadcast(slots)
     buckets = max(1, math.isqrt(sum(r["rows"] for r in totals)))
     key = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text").cast("string")).cast("binary"))
     bucket = F.expr(f"cast(conv(substring(_key, 1, 8), 16, 10) as bigint) * {buckets} div 4294967296")
-    keyed = docs.withColumn("_q", _queue(docs, several)).withColumn("_key", key).withColumn("_bucket", bucket)
+    keyed = docs.withColumn("_q", F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("\0")))).withColumn("_key", key).withColumn("_bucket", bucket)
     at = two_level_position(keyed, ["_q"], "_bucket", [F.col("_key")], size, "_at")
     block = F.expr(f"_at div {block_chars}")
     placed = at.withColumn("block", block).join(slots, (F.col("_q") == F.col("pq")) & (F.expr(f"block div {RUN_BLOCKS}") == F.col("prun")))
