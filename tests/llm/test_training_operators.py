@@ -471,6 +471,26 @@ def test_large_groups_of_near_copies_are_exact(spark):
     assert len(set(want.values())) > 1 and got == want
 
 
+@pytest.mark.parametrize("leaders", [1, 2])
+def test_groups_do_not_depend_on_leaders(spark, monkeypatch, leaders):
+    """Families around the threshold that share passages, so buckets hold several components."""
+    monkeypatch.setattr(near, "LEADERS", leaders)
+    monkeypatch.setattr(near, "LEADERS_A_BLOCK", 3)
+    monkeypatch.setattr(near, "MEMBERS_A_BLOCK", 5)
+    monkeypatch.setattr(near, "PAIRS_A_SALT", 4)
+    r = random.Random(11)
+    shared = [[f"s{k}_{i}" for i in range(45)] for k in range(3)]
+    rows = []
+    for i in range(150):
+        family, words = i % 15, []
+        for j in range(60):
+            words.append(f"f{family}_{j}" if r.random() > 0.03 else f"x{i}_{j}")
+        rows.append((i, " ".join(shared[family % 3] + words)))
+    got = {x["doc_id"]: x["component_id"] for x in near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    want = plain_components(plain_sets(rows, 2))
+    assert len(set(want.values())) > 15 and got == want
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10**6), st.integers(0, near_dedup.MAX_ERRORS))
 def test_pigeonhole_misses_no_pair_within_the_threshold(seed, errors):

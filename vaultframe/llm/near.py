@@ -34,6 +34,8 @@ LEADERS_A_BLOCK, MEMBERS_A_BLOCK = 256, 4096
 LARGE_ROWS = 500
 #: Pairs that one leader's set serves in one task.
 PAIRS_A_SALT = 500
+#: Codes of a key: marks are below 2 ** 16, and -1.
+MARKS = 1 << 17
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -56,52 +58,68 @@ def components(links: DataFrame) -> DataFrame:
         labels = written(spread.join(far, F.col("label") == F.col("root"), "left").select("id", F.coalesce("far", "label").alias("label")), "labels")
 
 
-def _close(pairs: DataFrame, signatures: DataFrame, max_errors: int) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in ``max_errors`` symbols or fewer."""
-    of = lambda side: signatures.select(F.col("id").alias(side), F.col("signature").alias(f"s{side}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb")
+def _salted(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) and ``salt``: a leader with many pairs has a salt for each PAIRS_A_SALT.
+
+    Only such leaders are counted out and joined; they are few and counted before they are
+    broadcast, so no join deals all pairs of one leader to one task.
+    """
+    heavy = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PAIRS_A_SALT)
+    heavy = bounded(written(heavy, "heavy"))
+    return pairs.join(heavy, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.expr(f"coalesce(n, 0) div {PAIRS_A_SALT} + 1"))).select("a", "b", "salt")
+
+
+def _streamed(pairs: DataFrame, values: DataFrame, test: Callable[[memoryview, list[memoryview]], np.ndarray]) -> DataFrame:
+    """The rows of ``pairs`` (a, b, salt) whose ``values`` (id, value) pass ``test``.
+
+    The value of a leader ``a`` goes once to each of its salts, that of a member ``b`` once
+    to each of its pairs; a task streams the members past the leader.
+    """
+    heads = pairs.select("a", "salt").distinct().join(values, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "value")
+    members = pairs.join(values, F.col("b") == F.col("id")).select("a", "salt", "b", "value")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = heads.unionByName(members).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = b""
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(1) <= max_errors))
+            heads = np.flatnonzero(batch.column(2).is_null().to_numpy(zero_copy_only=False))
+            raw, good = [memoryview(x.as_buffer()) for x in batch.column(3)], np.zeros(batch.num_rows, bool)
+            edges = [-1, *heads.tolist(), batch.num_rows]
+            for at, end in zip(edges, edges[1:], strict=False):
+                if at >= 0:
+                    own = bytes(raw[at])
+                if end - at > 1:
+                    good[at + 1 : end] = test(own, raw[at + 1 : end])
+            yield batch.select(["a", "b", "salt"]).filter(pa.array(good))
 
-    return both.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, salt long")
 
 
-def _confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union.
+def _close(pairs: DataFrame, signatures: DataFrame, max_errors: int) -> DataFrame:
+    """The pairs whose signatures differ in ``max_errors`` symbols or fewer."""
+    def test(own: memoryview, others: list[memoryview]) -> np.ndarray:
+        x = np.frombuffer(own, np.uint16)
+        return (np.frombuffer(b"".join(others), np.uint16).reshape(len(others), -1) != x).sum(1) <= max_errors
 
-    A leader's set goes once to each of its salts, a member's set once to each of its
-    pairs; a task streams them past the leader's set.
-    """
+    return _streamed(pairs, signatures.select("id", F.col("signature").alias("value")), test)
+
+
+def _confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     sets = written(sets_of(ids), "sets", LARGE_ROWS)
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    salted = pairs.join(degree, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.expr(f"n div {PAIRS_A_SALT} + 1"))).drop("n")
-    salted = written(salted, "pairs")
-    leaders = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "set")
-    members = salted.join(sets, F.col("b") == F.col("id")).select("a", "salt", "b", "set")
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = leaders.unionByName(members).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.empty(0, np.uint64)
-        for batch in batches:
-            found_a, found_b = [], []
-            for a, b, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                s = np.frombuffer(raw.as_buffer(), np.uint64)
-                if b is None:
-                    own = s.copy()
-                    continue
-                common = overlap(own, s)
-                if 100 * common >= percent * (len(own) + len(s) - common):
-                    found_a.append(a)
-                    found_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+    def test(own: memoryview, others: list[memoryview]) -> np.ndarray:
+        x = np.frombuffer(own, np.uint64)
+        return np.array([alike(x, np.frombuffer(o, np.uint64), percent) for o in others], bool)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return _streamed(pairs, sets.withColumnRenamed("set", "value"), test).drop("salt")
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = overlap(x, y)
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def bounded(ids: DataFrame) -> DataFrame:
@@ -121,13 +139,15 @@ def _blocks(rows: DataFrame, signatures: DataFrame, max_errors: int, keys_of: Ke
     close to a member, and those members, whose ``bits`` tell to which by their ``number``.
     """
     counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("labels"))
-    several = counts.where("labels > 1").select("key", F.col("top.label").alias("top"), F.expr(f"cast((n - top.c) div {LEADERS_A_BLOCK} + 1 as int)").alias("lead_blocks"), F.expr(f"cast(n div {MEMBERS_A_BLOCK} + 1 as int)").alias("member_blocks"))
-    signed = rows.join(several, "key").join(signatures, "id")
-    h, leads = F.xxhash64("id"), F.col("label") != F.col("top")
-    lead = signed.where(leads).select("key", F.pmod(h, F.col("lead_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("j"), F.lit(0).cast("byte").alias("member"), "id", "label", leads.alias("leads"), "signature")
-    every = signed.select("key", F.explode(F.sequence(F.lit(0), F.col("lead_blocks") - 1)).alias("i"), F.pmod(h, F.col("member_blocks")).cast("int").alias("j"), F.lit(1).cast("byte").alias("member"), "id", "label", leads.alias("leads"), "signature")
+    several = counts.where("labels > 1").select("key", F.col("top.label").alias("top"), F.expr(f"cast((n - top.c) div {LEADERS_A_BLOCK} + 1 as int)").alias("leads"), F.expr(f"cast(n div {MEMBERS_A_BLOCK} + 1 as int)").alias("members"))
+    places = F.expr("""concat(
+        if(label <> top, transform(sequence(0, members - 1), x -> struct(key, cast(pmod(xxhash64(id), leads) as int) as i, x as j, 0Y as member, true as leads)), array()),
+        transform(sequence(0, leads - 1), x -> struct(key, x as i, cast(pmod(xxhash64(id), members) as int) as j, 1Y as member, label <> top as leads)))""")
+    # a member's places are brought together first, so its signature is joined once
+    own = rows.join(several, "key").select("id", "label", places.alias("places")).groupBy("id").agg(F.first("label").alias("label"), F.flatten(F.collect_list("places")).alias("places"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lead.unionByName(every).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "member", "id")
+    dealt = own.join(signatures, "id").select("id", "label", "signature", F.inline("places")).select("key", "i", "j", "member", "id", "label", "leads", "signature")
+    dealt = dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "member", "id")
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int8(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     names = ["key", "i", "j", "member", "number", "id", "label", "bits"]
 
@@ -185,7 +205,9 @@ def _tile_links(tiles: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per
     ids = written(tiles.select("id").distinct(), "ids")
     sets = written(sets_of(ids), "sets", LARGE_ROWS)
     n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tiles.join(sets, "id").select("key", "i", "j", "member", "number", "id", "label", "bits", "set").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "member", "number", "id")
+    own = tiles.groupBy("id").agg(F.first("label").alias("label"), F.collect_list(F.struct("key", "i", "j", "member", "number", "bits")).alias("places"))
+    dealt = own.join(sets, "id").select("id", "label", "set", F.inline("places")).select("key", "i", "j", "member", "number", "id", "label", "bits", "set")
+    dealt = dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "member", "number", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, leaders, root = None, [], {}
@@ -210,8 +232,7 @@ def _tile_links(tiles: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per
                     x, y = find(label), find(other_label)
                     if x == y:
                         continue
-                    common = overlap(theirs, own)
-                    if 100 * common >= percent * (len(theirs) + len(own) - common):
+                    if alike(theirs, own, percent):
                         root[max(x, y)] = min(x, y)
                         found.append((min(id_, other), max(id_, other)))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(2)], names=["a", "b"])
@@ -220,16 +241,29 @@ def _tile_links(tiles: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per
 
 
 def keyed(signatures: DataFrame, keys_of: Keys) -> DataFrame:
-    """(key, id, mark): a row for each key of each (id, signature)."""
+    """(key, id, code): a row for each key of each (id, signature). The code is the key's
+    place in the row of keys, by MARKS, and its mark."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(len(ids), -1)
             for at in range(0, len(ids), 1024):
                 keys, marks = keys_of(raw[at : at + 1024])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[at : at + 1024], keys.shape[1])), pa.array(marks.ravel())], names=["key", "id", "mark"])
+                codes = np.arange(keys.shape[1], dtype=np.int32) * MARKS + marks + 1
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids[at : at + 1024], keys.shape[1])), pa.array(codes.ravel())], names=["key", "id", "code"])
+
+    return signatures.mapInArrow(run, "key long, id long, code int")
 
-    return signatures.mapInArrow(run, "key long, id long, mark int")
+
+def _buckets(signatures: DataFrame, keys_of: Keys) -> DataFrame:
+    """(key, id, n, lo): the members of each key that has several, and that could bring a
+    new pair. Of keys with the same members, which similar items have dozens of, the first
+    by place stands for all: it is the first key that any pair of them shares."""
+    keys = written(keyed(signatures, keys_of), "keys")
+    x = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.min("code").alias("c0"), F.max("code").alias("c1"), *x).where(f"n > 1 and (c0 % {MARKS} = 0 or c0 <> c1)")
+    one = sizes.groupBy("n", "lo", "x0", "x1").agg(F.min_by("key", "c0").alias("key")).select("key", "n", "lo")
+    return written(keys.drop("code").join(one, "key"), "buckets")
 
 
 def groups(signatures: DataFrame, keys_of: Keys, max_errors: int, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -243,19 +277,16 @@ def groups(signatures: DataFrame, keys_of: Keys, max_errors: int, sets_of: Calla
     signatures differ in ``max_errors`` symbols at most, and 100 * intersection >=
     ``percent`` * union.
     """
-    keys = written(keyed(signatures, keys_of), "keys")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.min("mark").alias("m0"), F.max("mark").alias("m1")).where("n > 1 and (m0 = -1 or m0 <> m1)").drop("m0", "m1")
-    buckets = written(keys.drop("mark").join(sizes, "key"), "buckets")
-    pairs = None
+    buckets = _buckets(signatures, keys_of)
     others = [F.max("id").alias("l1"), *[F.min_by("id", F.xxhash64("id", F.lit(i))).alias(f"l{i}") for i in range(2, LEADERS)]]
     buckets = written(buckets.join(buckets.groupBy("key").agg(*others), "key").withColumnRenamed("lo", "l0"), "led")
-    leading = F.lit(False)
+    pairs, leading = None, F.lit(False)
     for i in range(LEADERS):
         own = F.col(f"l{i}")
-        led = buckets.where(F.col("id") != own).select(F.least(own, "id").alias("a"), F.greatest(own, "id").alias("b"))
+        led = buckets.where(F.col("id") != own).select(own.alias("a"), F.col("id").alias("b"))
         pairs, leading = led if pairs is None else pairs.union(led), leading | (F.col("id") == own)
-    pairs = pairs.distinct()
-    links = written(_confirmed(written(_close(pairs, signatures, max_errors), "close"), sets_of, percent), "links", LARGE_ROWS)
+    pairs = written(pairs.distinct(), "pairs")
+    links = written(_confirmed(written(_close(_salted(pairs), signatures, max_errors), "close"), sets_of, percent), "links", LARGE_ROWS)
     labels = components(links)
     rest = buckets.where(~leading & (F.col("n") > 2)).select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     tiles = written(_blocks(written(rest, "rest"), signatures, max_errors, keys_of), "tiles")
