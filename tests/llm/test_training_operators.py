@@ -612,21 +612,77 @@ def test_rules(docs, rows, empty):
     assert quality_rules.score(empty).count() == 0
 
 
-def test_expectation_maximisation_finds_the_accuracies():
-    r = random.Random(2)
-    right, patterns = [0.999, 0.999, 0.999], Counter()
-    wrong = [0.8, 0.6, 0.3]
-    for _ in range(20000):
-        good = r.random() < 0.85
+def simulated(rules, share, right, wrong, n, seed=2):
+    """Counts of vote patterns of good documents and of one kind each for the rest."""
+    r, patterns, names = random.Random(seed), Counter(), quality_rules.kinds(rules)
+    for _ in range(n):
+        kind = None if r.random() < share else r.choice(names)
         votes = []
-        for g, b in zip(right, wrong, strict=True):
-            ok = r.random() < (g if good else b)
-            votes.append(0 if r.random() < 0.1 else (1 if ok == good else -1))
+        for g, rule in zip(right, rules, strict=True):
+            ok = r.random() < (g if kind is None else wrong[kind in rule.kinds])
+            votes.append(0 if r.random() < 0.1 else (1 if ok == (kind is None) else -1))
         patterns[tuple(votes)] += 1
-    model = quality_rules.fit(patterns, 3)
-    assert model.prior == pytest.approx(0.85, abs=0.04)
-    assert model.on_bad[0] == pytest.approx(0.8, abs=0.1) and model.on_bad[1] == pytest.approx(0.6, abs=0.1)
-    assert quality_rules.fit({}, 3).prior == 0.8
+    return patterns
+
+
+RULES_OF_TWO_KINDS = [quality_rules.Rule(f"r{i}", "0", "true", "false", ("a",) if i < 4 else ("b",)) for i in range(8)]
+
+
+def test_expectation_maximisation_finds_the_accuracies():
+    rules, right = RULES_OF_TWO_KINDS, [0.97, 0.93, 0.9, 0.85, 0.97, 0.93, 0.9, 0.8]
+    model = quality_rules.fit(simulated(rules, 0.8, right, (0.05, 0.75), 30000), rules)
+    assert model.shares[0] == pytest.approx(0.8, abs=0.03)
+    assert list(model.on_good) == pytest.approx(right, abs=0.02)
+    for k, bad in zip(quality_rules.kinds(rules), model.on_bad, strict=True):
+        assert list(bad) == pytest.approx([0.75 if k in r.kinds else 0.05 for r in rules], abs=0.06)
+    assert quality_rules.fit({}, rules).shares[0] == pytest.approx(0.8)
+
+
+def plain_em(docs, rules):
+    """The same model, document by document, in plain loops."""
+    names = quality_rules.kinds(rules)
+    classes = [None, *names]
+    prior = lambda c, r: quality_rules.ON_GOOD if c is None else quality_rules.ON_OWN if c in r.kinds else quality_rules.ON_OTHER
+    before = [8.0, *[2.0 / len(names)] * len(names)]
+    share = [x / 10 for x in before]
+    acc = [[prior(c, r)[0] / sum(prior(c, r)) for r in rules] for c in classes]
+    for _ in range(300):
+        weights = []
+        for v in docs:
+            p = []
+            for c in range(len(classes)):
+                x = share[c]
+                for a, vote in zip(acc[c], v, strict=True):
+                    x *= 1 if vote == 0 else a if (vote > 0) == (c == 0) else 1 - a
+                p.append(x)
+            weights.append([x / sum(p) for x in p])
+        share = [(sum(w[c] for w in weights) + before[c]) / (len(docs) + 10) for c in range(len(classes))]
+        for c, name in enumerate(classes):
+            for i, r in enumerate(rules):
+                hit = sum(w[c] for w, v in zip(weights, docs, strict=True) if v[i] and (v[i] > 0) == (c == 0))
+                acc[c][i] = (hit + prior(name, r)[0]) / (sum(w[c] for w, v in zip(weights, docs, strict=True) if v[i]) + sum(prior(name, r)))
+    return weights
+
+
+def test_verdicts_are_those_of_plain_expectation_maximisation(spark):
+    rules = RULES_OF_TWO_KINDS
+    patterns = simulated(rules, 0.8, [0.97, 0.93, 0.9, 0.7, 0.97, 0.93, 0.9, 0.9], (0.05, 0.75), 300)
+    docs = [v for v, n in sorted(patterns.items()) for _ in range(n)]
+    want = [w[0] for w in plain_em(docs, rules)]
+    voted = spark.createDataFrame([(i, 100, 0, list(v)) for i, v in enumerate(docs)], "id int, n_words long, n_repeat_words long, votes array<tinyint>")
+    got = quality_rules.judge(voted, quality_rules.estimate(voted, rules)).orderBy("id").collect()
+    assert [r["posterior"] for r in got] == pytest.approx(want, abs=1e-3)
+    assert [r["kept"] for r in got] == [w >= 0.5 for w in want]
+
+
+def test_a_weak_bad_vote_is_outvoted_and_a_strong_one_is_not(spark):
+    rules = RULES_OF_TWO_KINDS  # the first is always right, the fourth errs on every fifth good document
+    patterns = simulated(rules, 0.8, [0.9999, 0.95, 0.95, 0.8, 0.95, 0.95, 0.95, 0.95], (0.03, 0.7), 20000)
+    model = quality_rules.fit(patterns, rules)
+    assert model.on_good[3] < 0.85
+    one = lambda i: [-1 if j == i else 1 for j in range(8)]
+    voted = spark.createDataFrame([(i, 100, 0, one(i)) for i in (0, 3)], "id int, n_words long, n_repeat_words long, votes array<tinyint>")
+    assert {r["id"]: r["kept"] for r in quality_rules.judge(voted, model).collect()} == {0: False, 3: True}
 
 
 # --- pipeline

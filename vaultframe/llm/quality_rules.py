@@ -1,12 +1,14 @@
 """Quality rules as weak supervision.
 
-Each rule votes good (1), bad (-1) or abstains (0). Expectation-maximisation over the
-counts of vote patterns, of which there are at most 3 ** rules whatever the corpus, gives
-each rule's accuracy and the share of good documents without any label; the posterior
-probability of "good" replaces "passes every rule".
-
-The corpus is read twice: once for the patterns' counts, once for the documents' own
-posteriors. Neither pass shuffles texts; only pattern counts are exchanged.
+Each rule votes good (1), bad (-1) or abstains (0). Bad text is of several kinds, and a rule
+that is sure of one kind says nothing of another, so votes depend on the kind. The label
+model has a class for good text and one for each kind; expectation-maximisation over the
+counts of vote patterns gives each rule's accuracy on each class and the classes' shares
+without any label. The posterior probability of "good" replaces "passes every rule": rules
+that speak of the same kind outvote one of them that errs, and a rule that is always right
+needs no second.
+
+Texts are read once. What is counted are vote patterns; only these are exchanged.
 """
 
 from __future__ import annotations
@@ -22,84 +24,112 @@ from pyspark.sql import functions as F
 from . import text_stats
 from .common import TEXT_ROWS, table, with_batches, written
 
-#: The rules' bad thresholds are set so far out that at most so few good documents cross one.
-LEAST_ON_GOOD = 0.998
-
 
 @dataclass(frozen=True)
 class Rule:
-    """``value`` is a SQL expression over the statistics; null abstains."""
+    """``value`` is a SQL expression over the statistics; null abstains. ``kinds``: the kinds
+    of bad text that it is meant to see."""
 
     name: str
     value: str
     good: str
     bad: str
+    kinds: tuple[str, ...]
 
 
 RULES = (
-    Rule("symbols", "n_symbols / n_words", "v < 0.02", "v > 0.15"),
-    Rule("repetition", "n_repeat_words / n_words", "v < 0.15", "v > 0.4"),
-    Rule("capitals", "n_upper / nullif(n_upper + n_lower, 0)", "v < 0.15", "v > 0.35"),
-    Rule("exclamations", "n_exclaim / n_words", "v < 0.05", "v > 0.3"),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", "v < 0.05 and n_lines > 2", "v > 0.3"),
-    Rule("word_length", "word_chars / n_words", "v between 3 and 9", "v < 2 or v > 16"),
-    Rule("variety", "n_distinct_words / n_words", "v > 0.35", "v < 0.1"),
-    Rule("digits", "n_digits / nullif(word_chars, 0)", "v < 0.05", "v > 0.3"),
+    Rule("symbols", "n_symbols / n_words", "v < 0.02", "v > 0.1", ("noise", "menus")),
+    Rule("letters", "(n_upper + n_lower) / nullif(word_chars - n_digits, 0)", "v > 0.8", "v < 0.65", ("noise",)),
+    Rule("letter_words", "n_letter_words / n_words", "v > 0.85", "v < 0.7", ("menus",)),
+    Rule("repetition", "n_repeat_words / n_words", "v < 0.1", "v > 0.3", ("repetition",)),
+    Rule("windows", "n_distinct_windows / nullif(n_words - 2, 0)", "v > 0.9", "v < 0.7", ("repetition",)),
+    Rule("variety", "n_distinct_words / n_words", "v > 0.45", "v < 0.25", ("repetition",)),
+    Rule("duplicate_lines", "n_dup_lines / n_lines", "v < 0.05 and n_lines > 2", "v > 0.3", ("repetition",)),
+    Rule("capitals", "n_upper / nullif(n_upper + n_lower, 0)", "v < 0.1", "v > 0.3", ("shouting",)),
+    Rule("exclamations", "n_exclaim / n_words", "v < 0.02", "v > 0.2", ("shouting",)),
+    Rule("stops", "n_stops / n_words", "v between 0.02 and 0.2", "v < 0.005 or v > 0.4", ("shouting", "form")),
+    Rule("line_ends", "n_stop_lines / n_lines", "v > 0.6", "v < 0.3", ("form",)),
+    Rule("word_length", "word_chars / n_words", "v between 3.5 and 8", "v < 3 or v > 11", ("form",)),
+    Rule("longest_word", "if(n_words > 0, longest_word, null)", "v < 40", "v > 100", ("form",)),
+    Rule("digits", "n_digits / nullif(word_chars, 0)", "v < 0.05", "v > 0.25", ("form",)),
+    Rule("line_length", "n_words / n_lines", "v > 8", "v < 3", ("form",)),
 )
+#: Votes that a prior counts for: (right, wrong) of a rule on good text, on a kind that it is
+#: meant to see, and on another kind; and documents, good and bad. Data soon outweigh them.
+ON_GOOD, ON_OWN, ON_OTHER, DOCUMENTS = (19.0, 1.0), (7.0, 3.0), (1.0, 9.0), (8.0, 2.0)
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of good documents; each rule's accuracy on good and on bad ones, when it votes."""
+    """Shares of good text and of each kind of bad text; each rule's accuracy, when it
+    votes, on good text and on each kind."""
 
-    prior: float
+    shares: tuple[float, ...]
     on_good: tuple[float, ...]
-    on_bad: tuple[float, ...]
+    on_bad: tuple[tuple[float, ...], ...]
 
-    def log_odds(self) -> tuple[float, list[tuple[float, float]]]:
-        """Of the prior, and what a good and a bad vote of each rule add."""
-        each = [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in zip(self.on_good, self.on_bad, strict=True)]
-        return math.log(self.prior / (1 - self.prior)), each
+    def log_odds(self) -> list[tuple[float, list[tuple[float, float]]]]:
+        """Of each kind against good text: by its share, and by a good and a bad vote of each rule."""
+        return [
+            (math.log(share / self.shares[0]), [(math.log((1 - b) / g), math.log(b / (1 - g))) for g, b in zip(self.on_good, bad, strict=True)])
+            for share, bad in zip(self.shares[1:], self.on_bad, strict=True)
+        ]
 
 
 def votes(stats: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Adds ``votes``, an array of -1, 0 or 1, one for each rule. No words: all abstain."""
     def vote(r: Rule):
         value = f"({r.value.replace('n_words', 'nullif(n_words, 0)')})"
-        good, bad = (x.replace("v ", f"{value} ") for x in (r.good, r.bad))
-        return F.expr(f"cast(case when {bad} then -1 when {good} then 1 else 0 end as tinyint)")
+        good, bad = (f" {x}".replace(" v ", f" {value} ") for x in (r.good, r.bad))
+        return F.expr(f"cast(case when n_words = 0 then 0 when {bad} then -1 when {good} then 1 else 0 end as tinyint)")
 
     return stats.withColumn("votes", F.array(*[vote(r) for r in rules]))
 
 
-def fit(patterns: Mapping[tuple[int, ...], int], rules: int, rounds: int = 100) -> LabelModel:
+def kinds(rules: Sequence[Rule]) -> list[str]:
+    return sorted({k for r in rules for k in r.kinds})
+
+
+def fit(patterns: Mapping[tuple[int, ...], int], rules: Sequence[Rule] = RULES, rounds: int = 500) -> LabelModel:
     """Expectation-maximisation over counted vote patterns.
 
-    It starts from "bad if any rule says so". A rule has two accuracies, as one that is
-    silent on most kinds of bad text is still certain when it speaks; their Beta priors,
-    (98, 2) on good and (3, 7) on bad documents, fix which class is "good", and so does
-    LEAST_ON_GOOD. Without patterns the start is returned.
+    It starts from the priors, which say what kinds a rule is meant to see and that most
+    votes on good text are right; they count for a few votes each, so on a corpus of any
+    size the accuracies are those of the data. Without patterns the priors are returned.
     """
-    prior, good_acc, bad_acc = 0.8, np.full(rules, LEAST_ON_GOOD), np.full(rules, 0.3)
+    names = kinds(rules)
+    own = np.array([[k in r.kinds for r in rules] for k in names])
+    right, wrong = (np.where(own, ON_OWN[i], ON_OTHER[i]) for i in range(2))
+    before = np.array([DOCUMENTS[0], *[DOCUMENTS[1] / len(names)] * len(names)])
+    shares, good, bad = before / before.sum(), np.full(len(rules), ON_GOOD[0] / sum(ON_GOOD)), right / (right + wrong)
     if patterns:
         keys = sorted(patterns)
-        v = np.array(keys, float).reshape(len(keys), rules)
+        v = np.array(keys, float).reshape(len(keys), len(rules))
         n = np.array([patterns[k] for k in keys], float)
-        yes, no = v > 0, v < 0
-        good = np.where(no.any(1), 0.1, 0.9)
+        yes, no = (v > 0).astype(float), (v < 0).astype(float)
+        last = -math.inf
         for _ in range(rounds):
-            g, b = n * good, n * (1 - good)
-            prior = float(np.clip((g.sum() + 8) / (n.sum() + 10), 0.05, 0.95))
-            good_acc = np.clip((g @ yes + 98) / (g @ (yes | no) + 100), LEAST_ON_GOOD, 0.9999)
-            bad_acc = (b @ no + 3) / (b @ (yes | no) + 10)
-            bad_acc = np.maximum(bad_acc, 1.05 * (1 - good_acc))  # a bad vote always speaks against
-            odds = math.log(prior / (1 - prior)) + yes @ np.log(good_acc / (1 - bad_acc)) + no @ np.log((1 - good_acc) / bad_acc)
-            good = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-    return LabelModel(round(prior, 12), *(tuple(float(round(a, 12)) for a in x) for x in (good_acc, bad_acc)))
-
-
-def estimate(voted: DataFrame, rules: int = len(RULES)) -> LabelModel:
-    """Fits the label model to all rows; what reaches the driver is one row per pattern."""
+            log = np.empty((len(v), len(names) + 1))
+            log[:, 0] = math.log(shares[0]) + yes @ np.log(good) + no @ np.log(1 - good)
+            log[:, 1:] = np.log(shares[1:]) + yes @ np.log(1 - bad).T + no @ np.log(bad).T
+            top = log.max(1, keepdims=True)
+            each = np.exp(log - top)
+            total = each.sum(1, keepdims=True)
+            likelihood = float(n @ (top + np.log(total)).ravel())
+            w = each / total * n[:, None]
+            shares = (w.sum(0) + before) / (n.sum() + before.sum())
+            good = (w[:, 0] @ yes + ON_GOOD[0]) / (w[:, 0] @ (yes + no) + sum(ON_GOOD))
+            bad = (w[:, 1:].T @ no + right) / (w[:, 1:].T @ (yes + no) + right + wrong)
+            if abs(likelihood - last) <= 1e-10 * abs(likelihood):
+                break
+            last = likelihood
+    plain = lambda x: tuple(float(round(a, 12)) for a in x)
+    return LabelModel(plain(shares), plain(good), tuple(plain(x) for x in bad))
+
+
+def estimate(voted: DataFrame, rules: Sequence[Rule] = RULES) -> LabelModel:
+    """Fits the label model to all rows; what reaches the driver is one row per pattern, at
+    most 3 ** rules and in practice some hundreds."""
     counts = voted.groupBy("votes").count().collect()
     return fit({tuple(int(x) for x in r["votes"]): r["count"] for r in counts}, rules)
 
@@ -110,12 +140,14 @@ def judge(voted: DataFrame, model: LabelModel, least_words: int = 50, threshold:
     A document fails the base rules with fewer than ``least_words`` words, or if more than
     half of its words lie in repeated windows.
     """
-    bias, weights = model.log_odds()
-    odds = F.lit(bias)
-    for i, (yes, no) in enumerate(weights):
-        odds = odds + F.when(F.col("votes")[i] > 0, yes).when(F.col("votes")[i] < 0, no).otherwise(0.0)
+    against = F.lit(0.0)
+    for bias, weights in model.log_odds():
+        odds = F.lit(bias)
+        for i, (yes, no) in enumerate(weights):
+            odds = odds + F.when(F.col("votes")[i] > 0, yes).when(F.col("votes")[i] < 0, no).otherwise(0.0)
+        against = against + F.exp(odds)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = voted.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + F.exp(-odds)))
+    out = voted.withColumn("base_failed", failed).withColumn("posterior", 1 / (1 + against))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
@@ -124,17 +156,15 @@ def score(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") ->
 
     Null or empty text: no words, so it fails. A repeated row is judged like its original.
     Columns of ``docs`` that share a name with a result are replaced. An empty table gives
-    an empty table.
+    an empty table. Texts of any length count whole; a task holds one batch of them. The
+    rows are written once with their statistics; model and result read that table.
     """
-    def of(df: DataFrame) -> DataFrame:
-        return votes(with_batches(df, text, text_stats.batch, text_stats.SCHEMA), rules)
-
-    model = estimate(of(docs.select(text)), len(rules))
-    return judge(of(docs), model)
+    voted = written(votes(with_batches(docs, text, text_stats.batch, text_stats.SCHEMA), rules), "votes", TEXT_ROWS)
+    return judge(voted, estimate(voted, rules))
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns alone."""
+    """The documents that the rules keep, with their own columns alone; as ``score``."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     kept = score(docs.toDF(*names), text=names[docs.columns.index("text")]).where("kept").select(*names)
     return kept.toDF(*docs.columns)

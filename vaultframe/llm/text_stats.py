@@ -21,12 +21,14 @@ CLASSES = {
     "n_other_punct": b"-_=+/\\@^~`",
     "n_spaces": b" \t\x0b\x0c\r",
 }
-FIELDS = ["n_words", "word_chars", "n_dup_lines", "n_repeat_words", "n_chars_seen", "n_lines", "n_distinct_words", "n_distinct_windows", "longest_word", "longest_line", "n_stop_lines", *CLASSES]
+FIELDS = ["n_words", "word_chars", "n_dup_lines", "n_repeat_words", "n_chars_seen", "n_lines", "n_distinct_words", "n_distinct_windows", "longest_word", "longest_line", "n_stop_lines", "n_letter_words", *CLASSES]
 SCHEMA = [T.StructField(n, T.LongType()) for n in FIELDS]
 
 _counts = np.zeros((256, len(CLASSES)), np.int64)
 for _i, _set in enumerate(CLASSES.values()):
     _counts[list(_set), _i] = 1
+#: All but letters, bytes of characters beyond ASCII, and what separates words.
+_no_letters = bytes(b for b in range(128) if not chr(b).isalpha() and b not in b" \t\n\x0b\x0c\r")
 _starts = np.ones(256, np.int64)  # bytes that begin a code point
 _starts[0x80:0xC0] = 0
 _blank = np.zeros(256, np.int64)
@@ -76,7 +78,7 @@ def statistics(text: bytes) -> list[int]:
             cover[2:] |= twice
             repeated = int(cover.sum())
             windows -= int(same.sum())
-    return [n, chars - int(seen @ _blank), dup, repeated, chars, len(lines), len(set(words)), windows, max(map(len, words), default=0), longest, stops, *(seen @ _counts).tolist()]
+    return [n, chars - int(seen @ _blank), dup, repeated, chars, len(lines), len(set(words)), windows, max(map(len, words), default=0), longest, stops, len(text.translate(None, _no_letters).split()), *(seen @ _counts).tolist()]
 
 
 def batch(texts: Sequence[bytes | None]) -> list[pa.Array]:
