@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vaultframe.llm import line_dedup, mixing, near_dedup, packing, quality_rules
-from vaultframe.llm.common import table, written
+from vaultframe.llm.common import table
+from vaultframe.sources import scratch
 
 
 def reject_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; what a stage wrote for itself goes when its result is stored, and a
+    stage's result when the next one's is. The last stage's tables stay for the caller to
+    read; ``scratch.clear`` deletes them."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = scratch.scratch_path(spark, name)
+        with scratch.scope(spark):
+            docs = scratch.written(stage(spark, docs, sf_dir), name, path=path)
+        if before is not None:
+            scratch.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -109,3 +109,25 @@ def test_throttle_folds_every_stream(spark, tmp_path):
     assert set(got) == set(want)
     for u, (avail, _, waited) in want.items():
         assert got[u] == pytest.approx((6, avail, waited), abs=1e-3)
+
+
+def test_scratch_tables_go_with_their_scope_and_application(spark, tmp_path):
+    from vaultframe.sources import scratch
+
+    files = lambda df: sorted(x.removeprefix("file://") for x in df.inputFiles())
+    kept = scratch.written(spark.range(10).groupBy("id").count(), "kept", 3)
+    with scratch.scope(spark):
+        inner = scratch.written(kept, "inner")
+        assert inner.count() == 10 and all(map(os.path.exists, files(inner)))
+        gone = files(inner)
+    assert not any(map(os.path.exists, gone)) and kept.count() == 10
+    other = tmp_path / "neighbour"
+    other.mkdir()
+    dropped = files(once := scratch.written(kept, "once"))
+    scratch.discard(once)
+    assert not any(map(os.path.exists, dropped))
+    mine = files(kept)
+    assert all(spark.sparkContext.applicationId in f for f in mine)
+    scratch.clear(spark)
+    assert not any(map(os.path.exists, mine)) and other.exists()
+    assert spark.conf.get(scratch.BATCH_ROWS) == "10000"
