@@ -83,12 +83,15 @@ def test_protections_and_manual_deletes(spark):
 
 def test_packs_are_judged_by_their_share_of_live_blobs(spark):
     blobs = spark.createDataFrame([(f"{p}{i}", p, 10) for p, n in (("a", 10), ("b", 10), ("c", 10), ("d", 10)) for i in range(n)], "blob_id string, pack_id string, len_stored int")
+    files = spark.createDataFrame([(p, 900 if p in "abcd" else 40) for p in "abcde"], "pack_id string, size_bytes long")
     live = spark.createDataFrame([(f"a{i}",) for i in range(7)] + [(f"b{i}",) for i in range(6)] + [(f"d{i}",) for i in range(10)], "blob_id string")
-    packs = prune.classify_packs(blobs, live)
-    assert {r["pack_id"]: r["action"] for r in packs.collect()} == {"a": "keep", "b": "repack", "c": "delete", "d": "keep"}
-    assert prune.freed(packs).first()["bytes_freed"] == 200 and prune.freed(packs, True).first()["bytes_freed"] == 0
+    packs = prune.classify_packs(files, blobs, live)
+    assert {r["pack_id"]: (r["action"], r["total"]) for r in packs.collect()} == {"a": ("keep", 10), "b": ("repack", 10), "c": ("delete", 10), "d": ("keep", 10), "e": ("delete", 0)}
+    assert prune.freed(packs).first()["bytes_freed"] == 1840 and prune.freed(packs, True).first()["bytes_freed"] == 0
     assert {r["pack_id"] for r in prune.carried(blobs, packs, live).collect()} == {"b"}
-    assert prune.swept(blobs, packs).count() == 30
+    assert prune.swept(blobs, packs).count() == 30 and {r["pack_id"] for r in prune.swept(files, packs).collect()} == set("abd")
+    nothing = prune.classify_packs(files, blobs, live.limit(0))
+    assert {r["action"] for r in nothing.collect()} == {"delete"}
 
 
 def test_mark_walks_shared_subtrees_and_cycles_once(spark):
@@ -129,6 +132,9 @@ def test_packs_round_trip_and_show_damage(spark):
     flipped = made.withColumn("content", F.expr("concat(substring(content, 1, 20), X'00', substring(content, 22, length(content)))"))
     payloads = P.opened(flipped, P.headers(flipped, MASTER), MASTER)
     assert payloads.where("payload is null").count() == 3
+    other = P.encoded(df.withColumn("payload", F.concat("payload", F.lit(b"!"))), MASTER)  # the same ids, another key
+    salt = lambda packs: {r["pack_id"]: bytes(r["content"][:16]) for r in packs.collect()}
+    assert salt(made) == salt(P.encoded(df, MASTER)) and not set(salt(made).values()) & set(salt(other).values())
     index, twice = P.rebuilt_index(entries.unionByName(entries.withColumn("pack_id", F.lit("z"))))
     assert index.count() == 12 and twice.count() == 12 and index.where("pack_id = 'z'").count() == 0
 
@@ -262,12 +268,20 @@ def test_walk_prunes_and_merkle_ids_follow_content(spark):
     rows = [("root", "a", "dir", "A"), ("root", "e.dat", "file", None), ("A", "b", "dir", "B"), ("B", "ü.xlsx", "file", None), ("A", "skip", "dir", "S"), ("S", "x", "file", None)]
     edges = spark.createDataFrame(rows, "parent string, name string, kind string, sub string")
     roots = spark.createDataFrame([("root", "")], "id string, prefix string")
-    assert sorted(r["path"] for r in tree.walk(edges, roots).collect()) == ["a", "a/b", "a/b/ü.xlsx", "a/skip", "a/skip/x", "e.dat"]
-    assert sorted(r["path"] for r in tree.walk(edges, roots, visit="name <> 'skip'").collect()) == ["a", "a/b", "a/b/ü.xlsx", "e.dat"]
-    assert [(r["mark"], r["name"]) for r in tree.listing(tree.walk(edges, roots), "a").collect()] == [("d", "b"), ("d", "skip")]
+    walk = lambda **how: tree.walk(edges, roots, lambda df: written(df, "level"), **how)
+    assert sorted(r["path"] for r in walk().collect()) == ["a", "a/b", "a/b/ü.xlsx", "a/skip", "a/skip/x", "e.dat"]
+    assert sorted(r["path"] for r in walk(visit="name <> 'skip'").collect()) == ["a", "a/b", "a/b/ü.xlsx", "e.dat"]
+    assert sorted(r["path"] for r in walk(descend="depth < 2").collect()) == ["a", "a/b", "a/skip", "e.dat"]
+    assert [(r["mark"], r["name"]) for r in tree.listing(walk(), "a").collect()] == [("d", "b"), ("d", "skip")]
+    merkle = lambda df: {r["parent"]: r["tree_id"] for r in tree.merkle(df, bytes(32), F.col("name"), lambda d: written(d, "merkle")).collect()}
     twin = spark.createDataFrame([(p, n, "file", None) for p in ("P", "Q") for n in ("1", "2")] + [("R", "1", "file", None)], edges.schema)
-    ids = {r["parent"]: r["tree_id"] for r in tree.merkle(twin, bytes(32), F.col("name"), 1).collect()}
+    ids = merkle(twin)
     assert ids["P"] == ids["Q"] != ids["R"]
+    deep = [(f"d{i}", "x", "dir", f"d{i + 1}") for i in range(12)] + [("d12", "f", "file", None), ("d0", "empty", "dir", "E"), ("loop", "x", "dir", "loop")]
+    before = merkle(spark.createDataFrame(deep, edges.schema))
+    assert set(before) == {f"d{i}" for i in range(13)} | {"E"}  # up to the root, and no further round a loop
+    after = merkle(spark.createDataFrame([*deep[:12], ("d12", "g", "file", None), *deep[13:]], edges.schema))
+    assert before["E"] == after["E"] and all(before[f"d{i}"] != after[f"d{i}"] for i in range(13))
 
 
 # --- restore
@@ -368,10 +382,47 @@ def test_cron_text(spark):
 
 def test_next_slots(spark):
     now = datetime(2026, 8, 6, 12)
-    crons = ["30 3 * * *", "0 2 * * SUN", "0 * * * *", "0 0 13 * FRI"]
-    rows = spark.createDataFrame([(c, now) for c in crons], "cron string, at timestamp_ntz")
-    got = {r["cron"]: r["next_slot"] for r in cron.next_after(rows, cron.slots(spark, crons, "2026-08-01", "2026-09-01"), "at").collect()}
-    assert got == {"30 3 * * *": datetime(2026, 8, 7, 3, 30), "0 2 * * SUN": datetime(2026, 8, 9, 2), "0 * * * *": datetime(2026, 8, 6, 13), "0 0 13 * FRI": datetime(2026, 8, 7)}
+    want = {
+        "30 3 * * *": datetime(2026, 8, 7, 3, 30), "0 2 * * SUN": datetime(2026, 8, 9, 2), "0 * * * *": datetime(2026, 8, 6, 13), "0 0 13 * FRI": datetime(2026, 11, 13), "59 23 31 12 *": datetime(2026, 12, 31, 23, 59),
+        "0 0 29 2 *": datetime(2028, 2, 29), "0 0 29 2 1": datetime(2044, 2, 29), "0 0 30 2 *": None, "61 * * * *": None, "0 12 * * *": datetime(2026, 8, 7, 12), None: None,
+    }
+    rows = spark.createDataFrame([(c, now) for c in want] + [("0 3 * * *", None)], "cron string, at timestamp_ntz")
+    got = cron.with_next(rows, "cron", "at").collect()
+    assert {r["cron"]: r["next_slot"] for r in got if r["at"]} == want and [r["next_slot"] for r in got if r["at"] is None] == [None]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.datetimes(datetime(2023, 1, 1), datetime(2025, 1, 1)), st.sampled_from(["*/20 1-3 * * *", "5 4 1,15 * *", "0 0 * 3-5 MON", "7 7 7 * 2", "0 6 1-7 * 1"]))
+def test_next_slot_is_the_first_minute_that_fits(after, text_):
+    f = cron.fields(text_)
+    t = after.replace(second=0, microsecond=0) + timedelta(minutes=1)
+    while not (t.month in f["month"] and t.day in f["day"] and t.isoweekday() % 7 in f["weekday"]):
+        t = (t + timedelta(days=1)).replace(hour=0, minute=0)
+    while not (t.minute in f["minute"] and t.hour in f["hour"] and t.month in f["month"] and t.day in f["day"] and t.isoweekday() % 7 in f["weekday"]):
+        t += timedelta(minutes=1) if t.day in f["day"] and t.month in f["month"] and t.isoweekday() % 7 in f["weekday"] else timedelta(days=1) - timedelta(hours=t.hour, minutes=t.minute)
+    assert cron.next_occurrence(text_, after) == t
+
+
+def test_overdue_counts_the_last_success_of_all_plans(spark):
+    jobs = spark.createDataFrame([("a", "Succeeded", datetime(2026, 8, 5, 4)), ("a", "Failed", datetime(2026, 8, 6, 4)), ("b", "Succeeded", datetime(2026, 8, 6, 4)), ("c", "Failed", NOW), ("d", "Succeeded", NOW)], "repo string, status string, started_at timestamp_ntz")
+    crons = spark.createDataFrame([("a", "0 3 * * *"), ("b", "0 3 * * *"), ("b", "0 2 * * SUN"), ("c", "0 2 * * SUN"), ("d", "0 0 30 2 *")], "repo string, cron string")
+    assert {r["repo"] for r in report.overdue(jobs, crons, datetime(2026, 8, 6, 12)).collect()} == {"a", "c"}
+
+
+def test_one_job_of_a_plan_is_let_in_over_many_batches(spark, tmp_path):
+    from vaultframe.streaming import jobs as streams
+
+    schema = "plan_id string, kind string, job_id long, event string, at timestamp_ntz"
+    events = [("p", "backup", 1, "ask"), ("p", "backup", 2, "ask"), ("p", "verify", 3, "ask"), ("p", "backup", 1, "end"), ("p", "backup", 4, "ask"), ("q", "backup", 5, "end"), ("q", "backup", 6, "ask"), ("p", "backup", 7, "ask"), ("p", "verify", 3, "end"), ("p", "verify", 8, "ask")]
+    for i in range(0, len(events), 2):  # days may lie between them
+        rows = [(*e, datetime(2026, 1, 1) + timedelta(days=i + k)) for k, e in enumerate(events[i : i + 2])]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = streams.feed(spark, str(tmp_path / "in"), schema, "*.parquet", 1)
+    got = streams.drained(streams.once_queued(live), "admitted").collect()
+    assert sorted(r["job_id"] for r in got) == [1, 3, 4, 6, 8]
+
+
+def test_schedules_that_are_none(spark):
     for bad in ("not a cron expression", "* * * *", "61 * * * *"):
         with pytest.raises(ValueError):
             cron.fields(bad)

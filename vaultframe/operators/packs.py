@@ -123,11 +123,15 @@ def encoded(blobs: DataFrame, master: bytes) -> DataFrame:
     """``pack_id, content``: a sealed file for each pack of (pack_id, kind, blob_id hex,
     payload, len_plain, codec): salt, sealed blobs, sealed header, header length.
 
-    The salt is derived from the pack's id, so the same rows give the same file. Sealing is
-    AES-256-GCM in the JVM; a pack closes near TARGET_BYTES, so one row holds it.
+    The salt is a hash of the pack's id and of everything that is sealed in it: the same
+    rows give the same file, and other rows another key, so no nonce is used twice with one
+    key. Sealing is AES-256-GCM in the JVM; a pack closes near TARGET_BYTES, so one row
+    holds it.
     """
     blobs = blobs.withColumn("pack_id", F.col("pack_id").cast("string"))
-    salts = blobs.select("pack_id").distinct().withColumn("salt", F.substring(F.unhex(F.sha2(F.col("pack_id").cast("binary"), 256)), 1, SALT_BYTES))
+    entry = F.concat_ws(":", "blob_id", "kind", "len_plain", "codec", F.sha2("payload", 256))
+    sealed_text = F.concat_ws("|", "pack_id", F.array_join(F.array_sort(F.collect_list(entry)), "|"))
+    salts = blobs.groupBy("pack_id").agg(F.substring(F.unhex(F.sha2(sealed_text, 256)), 1, SALT_BYTES).alias("salt"))
     keys = _keyed(salts, master)
     numbered = blobs.withColumn("ordinal", F.row_number().over(W.partitionBy("pack_id").orderBy("blob_id")) - 1).join(keys, "pack_id")
     sealed = numbered.withColumn("payload", F.substring(F.aes_encrypt("payload", F.col("pack_key"), F.lit("GCM"), F.lit("DEFAULT"), nonce(F.col("ordinal"))), 13, 2**31 - 1))

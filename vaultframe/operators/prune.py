@@ -32,16 +32,18 @@ def reachable(edges: DataFrame, roots: DataFrame, store: Callable[[DataFrame], D
     return seen
 
 
-def classify_packs(blobs: DataFrame, live: DataFrame, threshold: float = LIVENESS) -> DataFrame:
-    """``pack_id, total, live, size_bytes, action`` for each pack of ``blobs``.
+def classify_packs(packs: DataFrame, blobs: DataFrame, live: DataFrame, threshold: float = LIVENESS) -> DataFrame:
+    """``pack_id, total, live, size_bytes, action`` for each of ``packs`` (pack_id, size_bytes).
 
-    Liveness is a share of blobs, not bytes: none live is deleted, below the threshold is
-    repacked, at or above it stays.
+    Liveness is a share of blobs, not bytes: none live is deleted, which a pack without
+    blobs is too; below the threshold is repacked, at or above it stays. The size is that
+    of the file, with its salt, header and tags.
     """
-    marked = blobs.join(live.select("blob_id").withColumn("_live", F.lit(True)), "blob_id", "left")
-    per = marked.groupBy("pack_id").agg(F.count(F.lit(1)).alias("total"), F.count("_live").alias("live"), F.sum("len_stored").alias("size_bytes"))
+    marked = blobs.select("pack_id", "blob_id").join(live.select("blob_id").withColumn("_live", F.lit(True)), "blob_id", "left")
+    per = marked.groupBy("pack_id").agg(F.count(F.lit(1)).alias("total"), F.count("_live").alias("live"))
+    each = packs.select("pack_id", "size_bytes").join(per, "pack_id", "left").select("pack_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("live", F.lit(0)).alias("live"), "size_bytes")
     action = F.when(F.col("live") == 0, "delete").when(F.col("live") / F.col("total") < threshold, "repack").otherwise("keep")
-    return per.withColumn("action", action)
+    return each.withColumn("action", action)
 
 
 def freed(packs: DataFrame, dry_run: bool = False) -> DataFrame:
@@ -53,9 +55,9 @@ def freed(packs: DataFrame, dry_run: bool = False) -> DataFrame:
     )
 
 
-def swept(blobs: DataFrame, packs: DataFrame) -> DataFrame:
-    """Blob rows of packs that aren't deleted."""
-    return blobs.join(packs.where("action = 'delete'").select("pack_id"), "pack_id", "left_anti")
+def swept(rows: DataFrame, packs: DataFrame) -> DataFrame:
+    """``rows``, blobs or packs, without those of packs that are deleted."""
+    return rows.join(packs.where("action = 'delete'").select("pack_id"), "pack_id", "left_anti")
 
 
 def carried(blobs: DataFrame, packs: DataFrame, live: DataFrame) -> DataFrame:

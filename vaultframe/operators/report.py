@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultframe.functions import cron as schedules
 from vaultframe.functions import text
 
 
@@ -41,6 +42,14 @@ def band(last: DataFrame, overdue: DataFrame, by: str = "repo") -> DataFrame:
     return last.join(late, by, "left").select(by, state.alias("state"))
 
 
+def overdue(jobs: DataFrame, crons: DataFrame, now: datetime, by: str = "repo") -> DataFrame:
+    """Repositories in which any schedule of ``crons`` (by, cron) is due: no job succeeded
+    yet, or the first slot after the start of the last one that did has come."""
+    last = jobs.groupBy(by).agg(F.max(F.when(F.col("status") == "Succeeded", F.col("started_at"))).alias("last"))
+    timed = schedules.with_next(crons.select(by, "cron").distinct().join(last, by), "cron", "last")
+    return timed.where(F.col("last").isNull() | (F.col("next_slot") <= F.lit(now).cast("timestamp_ntz"))).select(by).distinct()
+
+
 def overall(bands: DataFrame) -> DataFrame:
     """One row: worst state, repositories, and those without an error."""
     level = F.when(F.col("state") == "Err", 2).when(F.col("state") == "Warn", 1).otherwise(0)

@@ -9,69 +9,55 @@ from pyspark.sql import functions as F
 
 from vaultframe.functions.crypto import hmac_sha256
 
-#: Levels that a walk may take; deeper trees are refused by the engine, not cut.
-MAX_DEPTH = 100
 
-
-def walk(edges: DataFrame, roots: DataFrame, descend: str = "true", visit: str = "true") -> DataFrame:
-    """``path, node, kind, depth, sub`` of everything below ``roots`` (id, prefix).
+def walk(edges: DataFrame, roots: DataFrame, store: Callable[[DataFrame], DataFrame], descend: str = "true", visit: str = "true") -> DataFrame:
+    """``path, name, kind, depth, sub`` of everything below ``roots`` (id, prefix), level by
+    level, for trees of any size and depth.
 
     ``edges``: (parent, name, kind, sub); ``sub`` names a directory's own tree. ``visit``
-    and ``descend`` are SQL conditions on the columns of an entry (path, name, kind, sub):
-    what isn't visited is left out with all below it, so pruning happens inside the
-    recursion.
-    """
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_walk_edges")
-    roots.createOrReplaceTempView("_walk_roots")
-    return spark.sql(f"""
-        with recursive w(path, name, kind, sub, depth) as (
-          select path, name, kind, sub, depth from (select case when r.prefix = '' then e.name else concat(r.prefix, '/', e.name) end as path, e.name, e.kind, e.sub, 1 as depth from _walk_roots r join _walk_edges e on e.parent = r.id) where {visit}
-          union all
-          select path, name, kind, sub, depth from (select concat(w.path, '/', e.name) as path, e.name, e.kind, e.sub, w.depth + 1 as depth from (select * from w where sub is not null and {descend}) w join _walk_edges e on e.parent = w.sub) where {visit})
-        select path, name, kind, depth, sub from w""")
-
-
-def walk_levels(edges: DataFrame, roots: DataFrame, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``path, name, kind, depth, sub`` like ``walk``, level by level, for trees of any size.
-
-    The recursive query keeps all levels in one plan and is limited in rows; here each level
-    is one join whose result ``store`` writes, so a lost executor costs part of a level.
+    and ``descend`` are SQL conditions on the columns of an entry: what isn't visited is
+    left out with all below it, so pruning happens before the next level is read. Each
+    level is one join whose result ``store`` writes, so a lost executor costs part of a
+    level, and no plan holds more than one.
     """
     start = roots.select(F.col("id").alias("_id"), F.col("prefix").alias("_prefix"))
     depth, out = 1, None
     while True:
         path = F.when(F.col("_prefix") == "", F.col("name")).otherwise(F.concat_ws("/", "_prefix", "name"))
-        level = store(edges.join(start, edges["parent"] == start["_id"]).select(path.alias("path"), "name", "kind", F.lit(depth).alias("depth"), "sub"))
+        level = store(edges.join(start, edges["parent"] == start["_id"]).select(path.alias("path"), "name", "kind", F.lit(depth).alias("depth"), "sub").where(visit))
         out = level if out is None else out.unionByName(level)
-        start = level.where("sub is not null").select(F.col("sub").alias("_id"), F.col("path").alias("_prefix"))
+        start = level.where("sub is not null").where(descend).select(F.col("sub").alias("_id"), F.col("path").alias("_prefix"))
         if not start.limit(1).count():
             return out
         depth += 1
 
 
-def merkle(edges: DataFrame, key: bytes, leaf: Column, levels: int, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """``parent, tree_id``: keyed hash of a directory's entries, from the leaves up.
+def merkle(edges: DataFrame, key: bytes, leaf: Column, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``parent, tree_id`` of every directory: a keyed hash of its entries, from the leaves
+    up to the roots.
 
     An entry is its name, kind and either ``leaf`` (an expression over ``edges``) or its
-    subtree's id; entries are ordered by name, so equal directories get equal ids. One join
-    and one aggregation for each of the ``levels``, after which ``store`` may cut the lineage.
+    subtree's id; entries are ordered by name, so equal directories get equal ids, and one
+    without entries that of none. A level takes a join and an aggregation over the
+    directories that are still open; ``store`` writes what it leaves. Directories that
+    contain themselves never get an id.
     """
-    known = None
-    for _ in range(levels):
-        if known is None:
-            entries = edges.where("sub is null").withColumn("value", leaf)
-            own = edges.join(edges.where("sub is not null").select("parent").distinct(), "parent", "left_anti").select("parent").distinct()
-            entries = entries.join(own, "parent", "left_semi")
-        else:
-            below = known.select(F.col("parent").alias("_sub"), "tree_id")
-            entries = edges.join(below, F.col("sub") == F.col("_sub"), "left").withColumn("value", F.coalesce("tree_id", F.when(F.col("sub").isNull(), leaf))).drop("_sub", "tree_id")
-            ready = entries.groupBy("parent").agg(F.count_if(F.col("value").isNull()).alias("missing")).where("missing = 0").select("parent")
-            entries = entries.join(ready, "parent", "left_semi")
-        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "kind", "value"))), lambda x: F.concat_ws("|", x["name"], x["kind"], x["value"])), "\n")
-        now = entries.groupBy("parent").agg(hmac_sha256(text.cast("binary"), key).alias("tree_id"))
-        known = store(now)
-    return known
+    kept = [c for c in edges.columns if c in ("parent", "name", "kind", "sub")]
+    open_ = store(edges.select(*kept, F.when(F.col("sub").isNull(), leaf).alias("value")))
+    empty = edges.where("sub is not null").select(F.col("sub").alias("parent")).distinct().join(edges.select("parent"), "parent", "left_anti")
+    new = store(empty.select("parent", hmac_sha256(F.lit("").cast("binary"), key).alias("tree_id")))
+    out = new
+    while True:
+        below = new.select(F.col("parent").alias("_sub"), "tree_id")
+        open_ = store(open_.join(below, F.col("sub") == F.col("_sub"), "left").withColumn("value", F.coalesce("value", "tree_id")).select(*kept, "value"))
+        line = F.concat_ws("|", F.col("name"), F.col("kind"), F.col("value"))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", line.alias("line")))), lambda x: x["line"]), "\n")
+        ready = open_.groupBy("parent").agg(text.alias("text"), F.count_if(F.col("value").isNull()).alias("missing")).where("missing = 0")
+        new = store(ready.select("parent", hmac_sha256(F.col("text").cast("binary"), key).alias("tree_id")))
+        if not new.limit(1).count():
+            return out
+        out = out.unionByName(new)
+        open_ = open_.join(new.select("parent"), "parent", "left_anti")
 
 
 def listing(walked: DataFrame, path: str = "") -> DataFrame:

@@ -180,7 +180,7 @@ WALK = "wk as (select name as path, name, kind, sub, 1 as depth from tree_edges
 
 def _walk(v, **how):
     roots = v.spark.range(1).select(F.lit("root").alias("id"), F.lit("").alias("prefix"))
-    return tree.walk(v.tree_edges, roots, **how)
+    return tree.walk(v.tree_edges, roots, lambda df: written(df, "level"), **how)
 
 
 @query("jn5_tree_walk", "select path, kind, cast(depth as int) as depth from wk", WALK, recursive=True)
@@ -188,10 +188,9 @@ def tree_walk(v):
     return _walk(v).select("path", "kind", "depth")
 
 
-@query("jn5_tree_levels", "select path, kind, cast(depth as int) as depth from wk", WALK, recursive=True)
+@query("jn5_tree_levels", "select cast(depth as int) as depth, kind, count(*) as n from wk group by all", WALK, recursive=True)
 def tree_levels(v):
-    roots = v.spark.range(1).select(F.lit("root").alias("id"), F.lit("").alias("prefix"))
-    return tree.walk_levels(v.tree_edges, roots, lambda df: written(df, "level")).select("path", "kind", "depth")
+    return _walk(v).groupBy("depth", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src4_recursive_scan", "select path, kind from wk where not regexp_matches(path, '^AS')", WALK, recursive=True)
@@ -227,19 +226,30 @@ def _hmac(text: str, inner: str = _inner, outer: str = _outer) -> str:
     return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({text}))))"
 
 
-MERKLE = f"""l0 as (select parent, {_hmac("string_agg(name || '|' || kind || '|' || name, chr(10) order by name)")} as id from tree_edges where parent in (select 'c' || o_custkey from orders) group by parent),
- l1 as (select e.parent, count(*) as n, count(l0.id) as known, {_hmac("string_agg(e.name || '|' || e.kind || '|' || coalesce(l0.id, ''), chr(10) order by e.name)")} as id from tree_edges e left join l0 on l0.parent = e.sub where e.parent like 'n%' group by e.parent)"""
+def _level(table: str, tag: str, column: str, below: str) -> str:
+    """Ids of all directories of one level; those without entries are there too."""
+    value = "e.name" if below == "" else f"{below}.tree_id"
+    joined = f" left join {below} on {below}.id = e.sub" if below else ""
+    lines = "coalesce(string_agg(e.name || '|' || e.kind || '|' || " + value + ", chr(10) order by e.name), '')"
+    return f"select '{tag}' || {column} as id, {_hmac(lines)} as tree_id from {table} left join tree_edges e on e.parent = '{tag}' || {column}{joined} group by all"
+
+
+MERKLE = f"""l0 as ({_level("customer", "c", "c_custkey", "")}), l1 as ({_level("nation", "n", "n_nationkey", "l0")}), l2 as ({_level("region", "r", "r_regionkey", "l1")}),
+ l3 as ({_level("(select '' as k)", "root", "k", "l2")})"""
+
+
+def _merkle(v):
+    return tree.merkle(v.tree_edges, KEY, F.col("name"), lambda df: written(df, "merkle")).select(F.col("parent").alias("id"), "tree_id")
 
 
-@query("agg17_merkle", "select parent as id, id as tree_id from l0", MERKLE)
+@query("agg17_merkle", "select * from l0 union all select * from l1 union all select * from l2 union all select * from l3", MERKLE)
 def merkle(v):
-    return tree.merkle(v.tree_edges.where("parent like 'c%'"), KEY, F.col("name"), 1).select(F.col("parent").alias("id"), "tree_id")
+    return _merkle(v)
 
 
-@query("eng14_tree_draft", "select parent as id, id as tree_id from l1 where n = known", MERKLE)
+@query("eng14_tree_draft", "select id as root, tree_id from l3", MERKLE)
 def tree_draft(v):
-    edges = v.tree_edges.where("parent like 'c%' or parent like 'n%'")
-    return tree.merkle(edges, KEY, F.col("name"), 2, lambda df: written(df, "merkle")).select(F.col("parent").alias("id"), "tree_id").where("id like 'n%'")
+    return _merkle(v).where("id = 'root'").select(F.col("id").alias("root"), "tree_id")
 
 
 @query("prj7_tree_nodes", "select parent, count(*) as nodes, min(name) as first, max(name) as last from tree_edges group by all")
@@ -248,10 +258,10 @@ def tree_nodes(v):
     return nodes.select("parent", F.size("nodes").cast("bigint").alias("nodes"), F.get("nodes", F.lit(0))["n"].alias("first"), F.element_at("nodes", -1)["n"].alias("last"))
 
 
-@query("scl20_tree_json", "select parent, count(*) as n, count(sub) as subs from tree_edges where parent like 'n%' or parent like 'r%' group by all")
+@query("scl20_tree_json", "select parent, count(*) as n, count(sub) as subs from tree_edges group by all")
 def tree_json(v):
     nodes = F.array_sort(F.collect_list(F.struct(F.col("name").alias("n"), F.col("kind").alias("t"), "sub")))
-    text = v.tree_edges.where("parent like 'n%' or parent like 'r%'").groupBy("parent").agg(F.to_json(F.struct(nodes.alias("nodes")), {"ignoreNullFields": "false"}).alias("json"))
+    text = v.tree_edges.groupBy("parent").agg(F.to_json(F.struct(nodes.alias("nodes")), {"ignoreNullFields": "false"}).alias("json"))
     back = text.select("parent", F.from_json("json", "nodes array<struct<n:string,t:string,sub:string>>")["nodes"].alias("nodes"))
     return back.select("parent", F.size("nodes").cast("bigint").alias("n"), F.size(F.filter("nodes", lambda x: x["sub"].isNotNull())).cast("bigint").alias("subs"))
 
@@ -271,10 +281,10 @@ def sha(v):
     return v.table("documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query("scl23_hex_base64", "select doc_id, lower(hex(encode(text[1:20]))) as hex, base64(encode(text[1:20])) as b64 from documents")
+@query("scl23_hex_base64", "select doc_id, lower(hex(encode(text))) as hex, base64(encode(text)) as b64 from documents")
 def codecs(v):
-    head = F.substring("text", 1, 20).cast("binary")
-    return v.table("documents").select("doc_id", F.lower(F.hex(head)).alias("hex"), F.base64(head).alias("b64"))
+    raw = F.col("text").cast("binary")
+    return v.table("documents").select("doc_id", F.lower(F.hex(raw)).alias("hex"), F.regexp_replace(F.base64(raw), "\\s", "").alias("b64"))
 
 
 @query("scl5_nonce", "select l_linenumber as n, lower(lpad(hex(l_linenumber), 24, '0')) as nonce from (select distinct l_linenumber from lineitem)")

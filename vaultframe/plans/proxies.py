@@ -21,7 +21,7 @@ SQL = {
     "snapshots": "select o_orderkey as snapshot_id, o_custkey as plan_id, o_orderdate as started_at, [lower(o_orderpriority)] as tags from orders",
     "blob_refs": "select l_orderkey as snapshot_id, l_partkey * 10000 + l_suppkey as blob_id, l_linenumber as seq from lineitem",
     "blobs": "select l_partkey * 10000 + l_suppkey as blob_id, l_partkey * 10 + l_suppkey % 10 as pack_id, cast(max(l_quantity) as int) as len_stored from lineitem group by all",
-    "packs": "select pack_id, cast(sum(len_stored) as bigint) as size_bytes from blobs group by all",
+    "packs": "select pack_id, cast(40 + sum(len_stored) + 66 * count(*) as bigint) as size_bytes from blobs group by all union all select -s_suppkey, 40 from supplier where s_suppkey % 5 = 0",
     "jobs": """select event_id as job_id, user_id as plan_id, 'repo' || (user_id % 5) as repo, case when event_id % 5 = 0 then 'verify' else 'backup' end as kind,
       case event_type when 'error' then 'Failed' when 'purchase' then 'Succeeded' when 'click' then 'Running' when 'signup' then 'Pending' else 'Cancelled' end as status,
       case when event_type <> 'signup' then ts end as started_at, case when event_type in ('error', 'purchase', 'view') then ts + to_seconds(cast(floor(value) as bigint)) end as finished_at,
@@ -35,7 +35,8 @@ SQL = {
       union all select 'c' || o_custkey, 'o' || o_orderkey, 'file', null from orders""",
     "logs": "select conv_id as job_id, turn as logged, role as level, text as message from conversations",
     "plans": """select c_custkey as plan_id, c_name as name, '["C:\\Data\\' || c_mktsegment || '","D:\\Mail"]' as source_paths_json,
-      case c_custkey % 5 when 0 then '0 3 * * *' when 1 then '0 8-20/2 * * 1,2,3,4,5' when 2 then '0 22 * * 0,6' when 3 then '30 3 * * *' end as cron_schedule,
+      case c_custkey % 5 when 0 then '0 3 * * *' when 1 then '0 8-20/2 * * 1,2,3,4,5' when 2 then '0 22 * * 0,6' when 3 then '30 3 * * *'
+        else case c_custkey % 25 when 4 then '0 6 1-7 * 1' when 9 then '15 4 31 * *' when 14 then '0 0 29 2 *' when 19 then '0 0 30 2 *' end end as cron_schedule,
       case c_custkey % 4 when 0 then '{"KeepDaily":7,"KeepWeekly":4,"KeepMonthly":12}' when 1 then '{"KeepLast":10}' when 2 then '{"KeepLast":3,"KeepYearly":2}' end as retention_policy_json,
       case c_custkey % 3 when 0 then 'Index' when 1 then 'Full' else 'odd' end as verify_level from customer""",
 }
@@ -80,7 +81,9 @@ class Views:
 
     @cached_property
     def packs(self) -> DataFrame:
-        return self.blobs.groupBy("pack_id").agg(F.sum("len_stored").alias("size_bytes"))
+        """Files with salt, tags and header; some hold no blob."""
+        full = self.blobs.groupBy("pack_id").agg((F.lit(40) + F.sum("len_stored") + 66 * F.count(F.lit(1))).alias("size_bytes"))
+        return full.unionByName(self.table("supplier").where("s_suppkey % 5 = 0").select((-F.col("s_suppkey")).alias("pack_id"), F.lit(40).cast("bigint").alias("size_bytes")))
 
     @cached_property
     def jobs(self) -> DataFrame:
@@ -127,7 +130,8 @@ class Views:
         c = F.col("c_custkey")
         return self.table("customer").select(
             c.alias("plan_id"), F.col("c_name").alias("name"), F.concat(F.lit('["C:\\\\Data\\\\'), F.col("c_mktsegment"), F.lit('","D:\\\\Mail"]')).alias("source_paths_json"),
-            F.when(c % 5 == 0, "0 3 * * *").when(c % 5 == 1, "0 8-20/2 * * 1,2,3,4,5").when(c % 5 == 2, "0 22 * * 0,6").when(c % 5 == 3, "30 3 * * *").alias("cron_schedule"),
+            F.when(c % 5 == 0, "0 3 * * *").when(c % 5 == 1, "0 8-20/2 * * 1,2,3,4,5").when(c % 5 == 2, "0 22 * * 0,6").when(c % 5 == 3, "30 3 * * *")
+            .when(c % 25 == 4, "0 6 1-7 * 1").when(c % 25 == 9, "15 4 31 * *").when(c % 25 == 14, "0 0 29 2 *").when(c % 25 == 19, "0 0 30 2 *").alias("cron_schedule"),
             F.when(c % 4 == 0, '{"KeepDaily":7,"KeepWeekly":4,"KeepMonthly":12}').when(c % 4 == 1, '{"KeepLast":10}').when(c % 4 == 2, '{"KeepLast":3,"KeepYearly":2}').alias("retention_policy_json"),
             F.when(c % 3 == 0, "Index").when(c % 3 == 1, "Full").otherwise("odd").alias("verify_level"),
         )

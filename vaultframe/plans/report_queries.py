@@ -27,11 +27,7 @@ def catalog_scan(v):
 
 @query("src6_multi_repo", "select repo, count(*) as jobs, count(distinct plan_id) as plans from jobs group by all")
 def multi_repo(v):
-    each = None
-    for i in range(5):
-        part = v.jobs.where(F.col("plan_id") % 5 == i).drop("repo").withColumn("repo", F.lit(f"repo{i}"))
-        each = part if each is None else each.unionByName(part)
-    return each.groupBy("repo").agg(F.count(F.lit(1)).alias("jobs"), F.count_distinct("plan_id").alias("plans"))
+    return v.jobs.groupBy("repo").agg(F.count(F.lit(1)).alias("jobs"), F.count_distinct("plan_id").alias("plans"))
 
 
 @query("src9_json_props", "select event_id, cast(json_extract(props, '$.k') as int) as k from events")
@@ -122,19 +118,19 @@ def valid(v):
 
 @query("jn13_snapshot_paths", "select snapshot_id, coalesce(p.paths, '—') as paths from snapshots left join (select l_orderkey as id, string_agg(cast(l_partkey as varchar), ', ' order by l_linenumber, l_partkey) as paths from lineitem where l_orderkey % 3 = 0 group by all) p on p.id = snapshot_id")
 def snapshot_paths(v):
-    per = _paths(v).withColumnRenamed("snapshot_id", "id")
+    per = _paths(v.table("lineitem").where("l_orderkey % 3 = 0")).withColumnRenamed("snapshot_id", "id")  # others have none
     return v.snapshots.join(per, F.col("snapshot_id") == F.col("id"), "left").select("snapshot_id", F.coalesce("paths", F.lit("—")).alias("paths"))
 
 
-def _paths(v):
+def _paths(rows):
     items = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
     joined = F.array_join(F.transform(items, lambda x: x["l_partkey"].cast("string")), ", ")
-    return v.table("lineitem").where("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("snapshot_id")).agg(joined.alias("paths"))
+    return rows.groupBy(F.col("l_orderkey").alias("snapshot_id")).agg(joined.alias("paths"))
 
 
-@query("agg6_paths_joined", "select l_orderkey as snapshot_id, string_agg(cast(l_partkey as varchar), ', ' order by l_linenumber, l_partkey) as paths from lineitem where l_orderkey % 3 = 0 group by all")
+@query("agg6_paths_joined", "select l_orderkey as snapshot_id, string_agg(cast(l_partkey as varchar), ', ' order by l_linenumber, l_partkey) as paths from lineitem group by all")
 def paths_joined(v):
-    return _paths(v)
+    return _paths(v.table("lineitem"))
 
 
 @query("jn14_job_logs", "select logged, level, message from logs where job_id = 3 order by logged")
@@ -179,7 +175,7 @@ def extremes(v):
     return v.jobs.groupBy("repo").agg(F.min("started_at").alias("oldest"), F.max(F.when(F.col("status") == "Succeeded", F.col("started_at"))).alias("last_success"))
 
 
-LAST = "lj as (select *, row_number() over (partition by repo order by started_at desc nulls last, job_id desc) as rn from jobs), od as (select distinct repo from jobs where plan_id % 5 = 1)"
+LAST = "lj as (select *, row_number() over (partition by repo order by started_at desc nulls last, job_id desc) as rn from jobs)"
 
 
 @query("agg4_latest_job", "select repo, job_id, status, started_at from lj where rn = 1", LAST)
@@ -192,11 +188,25 @@ def latest_success(v):
     return report.latest(v.jobs.where("status = 'Succeeded'"), ("plan_id", "kind")).select("plan_id", "kind", "job_id")
 
 
-def _band(v):
-    return report.band(report.latest(v.jobs, ("repo",)), v.jobs.where("plan_id % 5 = 1"))
+SLOTS = """dys as (select d from range(timestamp '2024-01-01', timestamp '2024-06-01', interval 1 day) t(d)), hrs as (select unnest(range(0, 24)) as h),
+ sl as (select '0 3 * * *' as cron, d + interval 3 hour as slot from dys union all select '0 8-20/2 * * 1,2,3,4,5', d + to_hours(h) from dys, hrs where h between 8 and 20 and h % 2 = 0 and dayofweek(d) between 1 and 5 union all select '0 22 * * 0,6', d + interval 22 hour from dys where dayofweek(d) in (0, 6) union all select '30 3 * * *', d + interval 210 minute from dys
+   union all select '0 6 1-7 * 1', d + interval 6 hour from dys where day(d) <= 7 and dayofweek(d) = 1 union all select '15 4 31 * *', d + interval 255 minute from dys where day(d) = 31 union all select '0 0 29 2 *', d from dys where month(d) = 2 and day(d) = 29),
+ ls as (select plan_id, max(finished_at) as last_success from jobs where status = 'Succeeded' and kind = 'backup' group by all),
+ pn as (select p.plan_id, p.cron_schedule as cron, ls.last_success, (select min(slot) from sl where sl.cron = p.cron_schedule and slot > coalesce(ls.last_success, timestamp '2024-01-01')) as next_slot from plans p left join ls using (plan_id) where p.cron_schedule is not null)"""
+BAND = LAST + ", " + SLOTS + """, lr as (select repo, max(started_at) filter (where status = 'Succeeded') as last from jobs group by all),
+ cr as (select distinct 'repo' || (plan_id % 5) as repo, cron_schedule as cron from plans where cron_schedule is not null),
+ od as (select distinct repo from (select repo, last, (select min(slot) from sl where sl.cron = cr.cron and slot > lr.last) as due from cr join lr using (repo)) where last is null or due <= timestamp '2024-01-31 12:00:00'),
+ bd as (select lj.repo, case when status = 'Failed' then 'Err' when od.repo is not null then 'Warn' else 'Ok' end as state from lj left join od on od.repo = lj.repo where rn = 1)"""
 
 
-BAND = LAST + ", bd as (select lj.repo, case when status = 'Failed' then 'Err' when od.repo is not null then 'Warn' else 'Ok' end as state from lj left join od on od.repo = lj.repo where rn = 1)"
+#: Noon, so that some schedules of the day have passed.
+BAND_NOW = JOB_NOW + timedelta(hours=12)
+
+
+def _band(v):
+    """Plans stand with the repository of their jobs; its last success counts for all."""
+    crons = v.plans.where("cron_schedule is not null").select(F.concat(F.lit("repo"), (F.col("plan_id") % 5).cast("string")).alias("repo"), F.col("cron_schedule").alias("cron")).distinct()
+    return report.band(report.latest(v.jobs, ("repo",)), report.overdue(v.jobs, crons, BAND_NOW))
 
 
 @query("agg18_band", "select repo, state from bd", BAND)
@@ -204,6 +214,12 @@ def band(v):
     return _band(v)
 
 
+@query("agg18_overdue", "select repo from od", BAND)
+def overdue(v):
+    crons = v.plans.where("cron_schedule is not null").select(F.concat(F.lit("repo"), (F.col("plan_id") % 5).cast("string")).alias("repo"), F.col("cron_schedule").alias("cron")).distinct()
+    return report.overdue(v.jobs, crons, BAND_NOW)
+
+
 @query("agg18_overall", "select case when count(*) filter (where state = 'Err') > 0 then 'Err' when count(*) filter (where state = 'Warn') > 0 then 'Warn' else 'Ok' end as state, count(*) as repositories, count(*) filter (where state <> 'Err') as protected from bd", BAND)
 def overall(v):
     return report.overall(_band(v))
@@ -331,23 +347,16 @@ def cron_parse(v):
     return v.plans.select("plan_id", F.when(p.isNotNull(), F.concat_ws(" ", F.array_join(p["days"], ","), p["start_hour"], p["end_hour"], p["interval_hours"])).alias("parsed"))
 
 
-@query("cron4_describe", "select plan_id, case plan_id % 5 when 0 then 'Her gün saat 03:00' when 1 then 'Hafta içi 08:00–20:00 arası 2 saatte bir' when 2 then 'Hafta sonu saat 22:00' when 3 then '30 3 * * *' else '—' end as words from plans")
+@query("cron4_describe", "select plan_id, case plan_id % 5 when 0 then 'Her gün saat 03:00' when 1 then 'Hafta içi 08:00–20:00 arası 2 saatte bir' when 2 then 'Hafta sonu saat 22:00' when 3 then '30 3 * * *' else coalesce(cron_schedule, '—') end as words from plans")
 def cron_describe(v):
     return v.plans.select("plan_id", cron.describe(F.col("cron_schedule")).alias("words"))
 
 
-SLOTS = """dys as (select d from range(timestamp '2024-01-01', timestamp '2024-02-05', interval 1 day) t(d)), hrs as (select unnest(range(0, 24)) as h),
- sl as (select '0 3 * * *' as cron, d + interval 3 hour as slot from dys union all select '0 8-20/2 * * 1,2,3,4,5', d + to_hours(h) from dys, hrs where h between 8 and 20 and h % 2 = 0 and dayofweek(d) between 1 and 5 union all select '0 22 * * 0,6', d + interval 22 hour from dys where dayofweek(d) in (0, 6) union all select '30 3 * * *', d + interval 210 minute from dys),
- ls as (select plan_id, max(finished_at) as last_success from jobs where status = 'Succeeded' and kind = 'backup' group by all),
- pn as (select p.plan_id, p.cron_schedule as cron, ls.last_success, (select min(slot) from sl where sl.cron = p.cron_schedule and slot > coalesce(ls.last_success, timestamp '2024-01-01')) as next_slot from plans p left join ls using (plan_id) where p.cron_schedule is not null)"""
-CRONS = ["0 3 * * *", "0 8-20/2 * * 1,2,3,4,5", "0 22 * * 0,6", "30 3 * * *"]
-
-
 def _next(v):
     last = report.last_success(v.jobs).where("kind = 'backup'").select("plan_id", "last_success")
     rows = v.plans.where("cron_schedule is not null").select("plan_id", F.col("cron_schedule").alias("cron")).join(last, "plan_id", "left")
     rows = rows.withColumn("_after", F.coalesce("last_success", F.lit("2024-01-01").cast("timestamp_ntz")))
-    return cron.next_after(rows, cron.slots(v.spark, CRONS, "2024-01-01", "2024-02-05"), "_after").drop("_after")
+    return cron.with_next(rows, "cron", "_after").drop("_after")
 
 
 @query("cron2_next_slot", "select plan_id, cron, last_success, next_slot from pn", SLOTS)
@@ -382,12 +391,14 @@ def hourly(v):
             return live
 
     timed = streams.hourly(Streamed(v.spark, v.sf_dir).jobs.where("started_at is not null"), "started_at")
-    done = streams.drained(timed, "hourly", "complete")
+    done = streams.drained(timed.select("w", "status", "n"), "hourly", "update", ("w", "status"))
     return done.select("status", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n")
 
 
-@query("str2_once_queued")
+@query("str2_once_queued", "select plan_id, kind, job_id from rq where status = 'Running' and (before is null or before <> 'Running')",
+       "rq as (select plan_id, kind, job_id, status, lag(status) over (partition by plan_id, kind order by started_at, job_id) as before from jobs where started_at is not null)")
 def once_queued(v):
+    """Each start of a job asks for a place, each end gives it back."""
     from vaultframe.plans.proxies import Views
 
     live = streams.feed(v.spark, v.sf_dir, v.table("events").schema, "events.parquet")
@@ -396,8 +407,8 @@ def once_queued(v):
         def table(self, name):
             return live
 
-    first = streams.once_queued(Streamed(v.spark, v.sf_dir).jobs.where("started_at is not null"), "started_at")
-    return streams.drained(first.select("plan_id", "kind", "day"), "queued")
+    asked = Streamed(v.spark, v.sf_dir).jobs.where("started_at is not null").select("plan_id", "kind", "job_id", F.when(F.col("status") == "Running", "ask").otherwise("end").alias("event"), F.col("started_at").alias("at"))
+    return streams.drained(streams.once_queued(asked), "queued").select("plan_id", "kind", "job_id")
 
 
 # --- formatters

@@ -24,7 +24,7 @@ def _rule(unit: str, n: int) -> str:
 
 LAST3 = "(row_number() over (partition by plan_id order by started_at desc, snapshot_id desc) <= 3)"
 KEPT = f"k as (select *, {_rule('month', 3)} as m, {_rule('year', 3)} as y from snapshots), kept as (select snapshot_id from k where m or y), live as (select distinct blob_id from blob_refs where snapshot_id in (select snapshot_id from kept))"
-CLASSES = KEPT + ", pk as (select b.pack_id, count(*) as total, count(l.blob_id) as live, cast(sum(b.len_stored) as bigint) as size_bytes from blobs b left join live l on l.blob_id = b.blob_id group by all), pc as (select *, case when live = 0 then 'delete' when cast(live as double) / total < cast(0.7 as double) then 'repack' else 'keep' end as action from pk)"
+CLASSES = KEPT + ", pk as (select p.pack_id, count(b.blob_id) as total, count(l.blob_id) as live, p.size_bytes from packs p left join blobs b on b.pack_id = p.pack_id left join live l on l.blob_id = b.blob_id group by p.pack_id, p.size_bytes), pc as (select *, case when live = 0 then 'delete' when cast(live as double) / total < cast(0.7 as double) then 'repack' else 'keep' end as action from pk)"
 
 
 def _kept(v):
@@ -32,7 +32,7 @@ def _kept(v):
 
 
 def _packs(v):
-    return prune.classify_packs(v.blobs, prune.live_blobs(v.blob_refs, _kept(v)))
+    return prune.classify_packs(v.packs, v.blobs, prune.live_blobs(v.blob_refs, _kept(v)))
 
 
 @query("eng2_prune_preview", "select action, count(*) as packs, cast(sum(total) as bigint) as blobs, cast(sum(live) as bigint) as live_blobs, cast(sum(size_bytes) as bigint) as bytes from pc group by all", CLASSES)
@@ -106,7 +106,7 @@ def manual_prune(v):
     asked = v.snapshots.where("snapshot_id % 2 = 0").select("snapshot_id")
     gone = R.manual_delete(asked, v.snapshots, R.Protection(), SNAPSHOT_NOW).where("outcome = 'deleted'")
     live = prune.live_blobs(v.blob_refs, prune.deleted(v.snapshots, gone, "snapshot_id"))
-    return prune.classify_packs(v.blobs, live).groupBy("action").agg(F.count(F.lit(1)).alias("packs"))
+    return prune.classify_packs(v.packs, v.blobs, live).groupBy("action").agg(F.count(F.lit(1)).alias("packs"))
 
 
 @query("jn6_live_blobs", "select blob_id from live", KEPT)
@@ -139,20 +139,32 @@ def cascade(v):
     return prune.swept(v.blobs, _packs(v)).select("blob_id", "pack_id")
 
 
+@query("snk5_packs_left", "select pack_id, size_bytes from pc where action <> 'delete'", CLASSES)
+def packs_left(v):
+    return prune.swept(v.packs, _packs(v))
+
+
+@query("snk5_paths_left", "select l_orderkey as snapshot_id, count(*) as paths from lineitem where l_orderkey in (select snapshot_id from kept) group by all", KEPT)
+def paths_left(v):
+    snapshot_paths = v.table("lineitem").select(F.col("l_orderkey").alias("snapshot_id"), "l_partkey")
+    gone = v.snapshots.join(_kept(v), "snapshot_id", "left_anti")
+    return prune.deleted(snapshot_paths, gone, "snapshot_id").groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("paths"))
+
+
 REPACK = CLASSES + ", rp as (select b.blob_id, b.pack_id, b.len_stored, row_number() over (order by b.pack_id, b.blob_id) as i from blobs b join pc on pc.pack_id = b.pack_id join live l on l.blob_id = b.blob_id where pc.action = 'repack')"
 
 
 @query("eng5_repack", "select pack_id, count(*) as carried, cast(sum(len_stored) as bigint) as bytes from rp group by all", REPACK)
 def repack(v):
-    alive = prune.live_blobs(v.blob_refs, _kept(v))
-    moved = prune.carried(v.blobs, prune.classify_packs(v.blobs, alive), alive)
+    alive = written(prune.live_blobs(v.blob_refs, _kept(v)), "live")  # it marks packs and picks what moves
+    moved = prune.carried(v.blobs, prune.classify_packs(v.packs, v.blobs, alive), alive)
     return moved.groupBy("pack_id").agg(F.count(F.lit(1)).alias("carried"), F.sum("len_stored").alias("bytes"))
 
 
 @query("snk3_upsert", "select blob_id, case when r.blob_id is null then b.pack_id else -b.pack_id - 1 end as pack_id, b.len_stored from blobs b left join rp r using (blob_id)", REPACK)
 def upsert(v):
-    alive = prune.live_blobs(v.blob_refs, _kept(v))
-    moved = prune.carried(v.blobs, prune.classify_packs(v.blobs, alive), alive)
+    alive = written(prune.live_blobs(v.blob_refs, _kept(v)), "live")  # it marks packs and picks what moves
+    moved = prune.carried(v.blobs, prune.classify_packs(v.packs, v.blobs, alive), alive)
     return prune.upserted(v.blobs, moved.withColumn("pack_id", -F.col("pack_id") - 1), "blob_id")
 
 
