@@ -513,6 +513,24 @@ def test_signatures_estimate_similarity():
     assert abs((sign(a) == sign(b)).mean() - j) < 0.04
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 5), max_size=40), st.integers(1, 6), st.integers(1, 7))
+def test_keys_of_one_row_go_wherever_rows_are_cut(counts, parts, batch):
+    import pyarrow as pa
+
+    rows = [(k, i) for k, n in enumerate(counts) for i in range(n)]
+    cut = sorted(random.Random(len(rows)).choices(range(len(rows) + 1), k=parts - 1))
+    left = []
+    for lo, hi in zip([0, *cut], [*cut, len(rows)], strict=True):
+        part = rows[lo:hi]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in part[a : a + batch]], pa.int64()) for i in range(2)], names=["key", "id"]) for a in range(0, len(part), batch)]
+        found = [(r["key"], r["id"]) for out in near._several(iter(batches)) for r in out.to_pylist()]
+        assert found == sorted(found)
+        assert sum(counts[k] == 1 for k, _ in found) <= 2
+        left += found
+    assert {r for r in rows if counts[r[0]] > 1} <= set(left) and len(left) == len(set(left))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 502)], "a long, b long")
     got = {r["id"]: r["label"] for r in near.components(links).collect()}

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vaultframe.sources.scratch import clear as clear_scratch
-from vaultframe.sources.scratch import shared_dir, written
+from vaultframe.sources.scratch import discard, shared_dir, written
 
-__all__ = ["LOWER", "SPACES", "TEXT_ROWS", "as_bytes", "clear_scratch", "shared_dir", "slices", "table", "two_level_position", "with_batches", "written"]
+__all__ = ["LOWER", "SPACES", "TEXT_ROWS", "as_bytes", "clear_scratch", "discard", "shared_dir", "slices", "table", "two_level_position", "with_batches", "written"]
 
 #: Rows of an Arrow batch of whole texts, where the operator runs the job itself. Batches lie
 #: outside the JVM's heap, twice while they grow.

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .shingles import overlap
 
 #: Keys (bigint) and marks (int) of rows of symbols, in order of the keys.
@@ -32,30 +32,65 @@ LEADERS = 4
 LEADERS_A_BLOCK, MEMBERS_A_BLOCK = 256, 4096
 #: Rows of an Arrow batch where each holds a document's whole set.
 LARGE_ROWS = 500
+#: Links that a task joins at a time before labels spread.
+LINKS_AT_ONCE = 200_000
 #: Pairs that one leader's set serves in one task.
 PAIRS_A_SALT = 500
 #: Codes of a key: marks are below 2 ** 16, and -1.
 MARKS = 1 << 17
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) as links of each node to the least that it reaches by LINKS_AT_ONCE of
+    them. What the links connect stays connected, over far fewer steps."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def joined() -> pa.RecordBatch:
+        nodes = list(root)
+        return pa.RecordBatch.from_arrays([pa.array([find(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], names=["a", "b"])
+
+    n = 0
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+        n += batch.num_rows
+        if n >= LINKS_AT_ONCE:
+            yield joined()
+            n = 0
+            root.clear()
+    yield joined()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, label`` for every node of ``links`` (a, b): the least id that it reaches.
 
-    Least labels spread along links and jump to their label's label until none changes.
+    Links are joined within tasks first. Then least labels spread along what is left and
+    jump to their label's label until none changes.
     """
+    links = links.select("a", "b").repartition("a").mapInArrow(_stars, "a long, b long").where("a <> b")
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("src", "dst"), "edges")
     labels = written(edges.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("id"), F.least("src", "m").alias("label")), "labels")
     total = None
     while True:
         now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if now is None or now == total:
+            discard(edges)
             return labels
         total = now
         near = edges.join(labels, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("label").alias("m"))
         spread = labels.join(near, F.col("id") == F.col("src")).select("id", F.least("label", "m").alias("label"))
         spread = written(spread, "labels")
         far = spread.select(F.col("id").alias("root"), F.col("label").alias("far"))
-        labels = written(spread.join(far, F.col("label") == F.col("root"), "left").select("id", F.coalesce("far", "label").alias("label")), "labels")
+        jumped = written(spread.join(far, F.col("label") == F.col("root"), "left").select("id", F.coalesce("far", "label").alias("label")), "labels")
+        discard(labels)
+        discard(spread)
+        labels = jumped
 
 
 def _salted(pairs: DataFrame) -> DataFrame:
@@ -77,8 +112,7 @@ def _streamed(pairs: DataFrame, values: DataFrame, test: Callable[[memoryview, l
     """
     heads = pairs.select("a", "salt").distinct().join(values, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "value")
     members = pairs.join(values, F.col("b") == F.col("id")).select("a", "salt", "b", "value")
-    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = heads.unionByName(members).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    dealt = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = b""
@@ -255,15 +289,48 @@ def keyed(signatures: DataFrame, keys_of: Keys) -> DataFrame:
     return signatures.mapInArrow(run, "key long, id long, code int")
 
 
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by key those whose key comes twice or more. Rows at either end of
+    the partition may have their like in the next one and stay."""
+    tail: pa.RecordBatch | None = None  # the open run while it has one row
+    open_key = None  # of the run that the last batch ended in, if it has more
+    first = True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if tail is not None:
+            batch = pa.concat_batches([tail, batch])
+        key = batch.column(0).to_numpy()
+        begin = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+        lengths = np.diff(np.append(begin, len(key)))
+        keep = lengths > 1
+        keep[0] |= first or key[0] == open_key
+        last_open = not keep[-1]
+        tail = batch.slice(int(begin[-1])) if last_open else None
+        open_key = None if last_open else int(key[-1])
+        first = False
+        yield batch.filter(pa.array(np.repeat(keep, lengths)))
+    if tail is not None:
+        yield tail
+
+
 def _buckets(signatures: DataFrame, keys_of: Keys) -> DataFrame:
     """(key, id, n, lo): the members of each key that has several, and that could bring a
     new pair. Of keys with the same members, which similar items have dozens of, the first
-    by place stands for all: it is the first key that any pair of them shares."""
-    keys = written(keyed(signatures, keys_of), "keys")
+    by place stands for all: it is the first key that any pair of them shares.
+
+    Most keys have one member. Rows are range-partitioned by key and id, so a key that very
+    many have spreads over tasks, and single ones go as the sorted rows stream past.
+    """
+    keys = written(keyed(signatures, keys_of), "keys", codec="lz4_raw")
+    rows = written(keys.repartitionByRange("key", "id").sortWithinPartitions("key").mapInArrow(_several, "key long, id long, code int"), "several")
+    discard(keys)
     x = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.min("code").alias("c0"), F.max("code").alias("c1"), *x).where(f"n > 1 and (c0 % {MARKS} = 0 or c0 <> c1)")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.min("code").alias("c0"), F.max("code").alias("c1"), *x).where(f"n > 1 and (c0 % {MARKS} = 0 or c0 <> c1)")
     one = sizes.groupBy("n", "lo", "x0", "x1").agg(F.min_by("key", "c0").alias("key")).select("key", "n", "lo")
-    return written(keys.drop("code").join(one, "key"), "buckets")
+    out = written(rows.drop("code").join(written(one, "one"), "key"), "buckets")
+    discard(rows)
+    return out
 
 
 def groups(signatures: DataFrame, keys_of: Keys, max_errors: int, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import xxhash
 
@@ -42,19 +44,39 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
 
 
 class Signer:
-    """``size`` symbols of 16 bits: each is cut from the least of the set's re-hashed values."""
+    """``size`` symbols of 16 bits: each is cut from the least of the set's re-hashed values.
+
+    Values are re-hashed in 32 bits, which processors multiply several at a time; two
+    shingles of one set share them once in 2 ** 32 pairs.
+    """
 
     def __init__(self, size: int, seed: int = 1):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.xor = rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.mul = rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.xor, self.mul = (rng.integers(0, 2**31, size, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
+
+    def _hashed(self, s: np.ndarray) -> np.ndarray:
+        x = ((s >> _S).astype(np.uint32)[:, None] ^ self.xor) * self.mul
+        x ^= x >> np.uint32(15)
+        return x
+
+    def _symbols(self, least: np.ndarray) -> np.ndarray:
+        return (mixed(least.astype(np.uint64) * _M1) >> np.uint64(48)).astype(np.uint16)
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
-        least = np.full(len(self.xor), np.iinfo(np.uint64).max, np.uint64)
+        least = np.full(len(self.xor), 2**32 - 1, np.uint32)
         for at in range(0, len(s), 2048):
-            x = (s[at : at + 2048, None] ^ self.xor) * self.mul
-            np.minimum(least, (x ^ (x >> _S)).min(0), out=least)
-        return (mixed(least) >> np.uint64(48)).astype(np.uint16)
+            np.minimum(least, self._hashed(s[at : at + 2048]).min(0), out=least)
+        return self._symbols(least)
+
+    def each(self, parts: Sequence[np.ndarray]) -> np.ndarray:
+        """A row of symbols for each of ``parts``, none of them empty, taken together."""
+        least = np.full((len(parts), len(self.xor)), 2**32 - 1, np.uint32)
+        every, of = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        for at in range(0, len(every), 2048):
+            begin = np.concatenate([[0], np.flatnonzero(np.diff(of[at : at + 2048])) + 1])
+            who = of[at + begin]
+            least[who] = np.minimum(least[who], np.minimum.reduceat(self._hashed(every[at : at + 2048]), begin))
+        return self._symbols(least)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
