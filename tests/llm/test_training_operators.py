@@ -127,18 +127,44 @@ def test_schedule_takes_every_token_once(totals, weights, size):
     given_ = [0] * len(totals)
     for s in spans:
         assert list(s.starts) == given_
-        previous = (0,) * (len(totals) + 1)
+        previous = [0] * len(totals)
         for k in range(1, s.windows + 1):
-            b = s.bounds(k)
-            take = [(b[q + 1] - b[q]) - (previous[q + 1] - previous[q]) for q in range(len(totals))]
+            own = [s.given(q, k) for q in range(len(totals))]
+            assert own == packing._shared(s.cum, k * s.size) and [s.place(q, k)[0] for q in range(len(totals))] == [sum(own[:q]) for q in range(len(totals))]
+            take = [x - y for x, y in zip(own, previous, strict=True)]
             assert min(take) >= 0 and sum(take) == s.size
             for q in range(len(totals)):  # the deficit that a queue carries
-                assert abs((b[q + 1] - b[q]) - k * s.size * (s.cum[q + 1] - s.cum[q]) / s.cum[-1]) < len(totals)
-            previous = b
+                assert abs(own[q] - k * s.size * (s.cum[q + 1] - s.cum[q]) / s.cum[-1]) <= 1.5
+            previous = own
         given_ = [g + s.given(q, s.windows) for q, g in enumerate(given_)]
     assert given_ == list(totals)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_windows_hold_the_targets_of_any_number_of_sources(seed):
+    r = random.Random(seed)
+    weights = [round(r.choice([1000.0, 1.0, 0.01]) / 1010 * packing.PARTS) for _ in range(300)]
+    totals = [r.randrange(1, 40_000) for _ in weights]
+    spans = packing.schedule(totals, weights, 65536)
+    assert sum(s.windows * s.size for s in spans) == sum(totals) and len(spans) <= 2 * len(totals) + 2
+    for s in spans[:40]:
+        for k in {1, s.windows}:
+            took = packing._shared(s.cum, k * s.size)
+            assert all(abs(x - k * s.size * (b - a) / s.cum[-1]) <= 2 for x, a, b in zip(took, s.cum, s.cum[1:], strict=False))
+
+
+def test_packing_keeps_more_than_256_sources_apart(spark):
+    docs = spark.createDataFrame([(i, "the sea " * 400, f"s{i % 300}") for i in range(900)], "doc_id long, text string, source string")
+    weights = {f"s{i}": 1000.0 if i == 0 else 1.0 if i < 299 else 0.01 for i in range(300)}
+    pieces = packing.packed(docs, weights, window=4, sequence=256).collect()
+    by = defaultdict(Counter)
+    for p in pieces:
+        by[p["sequence_id"] // 4][p["doc_id"] % 300] += p["length"]
+    whole = sum(weights.values())
+    assert sum(p["length"] for p in pieces) == 900 * 801 and len({p["queue"] for p in pieces}) == 300
+    assert all(abs(by[0][i] - 1024 * weights[f"s{i}"] / whole) <= 2 for i in range(300))
+
+
 def check_packing(pieces, rows, sequence):
     tok = packing.WordTokenizer(packing.default_tokenizer()).tokenizer
     ids = [np.array([*tok.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4") for r in rows]
@@ -165,10 +191,14 @@ def check_packing(pieces, rows, sequence):
 def test_packing(docs, rows, empty, weights):
     pieces = packing.packed(docs, weights, window=4, sequence=256).collect()
     check_packing(pieces, rows, 256)
-    if weights is None:  # full windows hold the same shares to within the number of queues
-        by = defaultdict(Counter)
-        for p in pieces:
-            by[p["sequence_id"] // 4][p["queue"]] += p["length"]
+    by = defaultdict(Counter)
+    for p in pieces:
+        by[p["sequence_id"] // 4][p["queue"]] += p["length"]
+    if weights:  # the first windows hold the targets, as long as no queue is dry
+        sources = {r[0]: r[3] for r in rows if r[0] is not None}
+        named = {p["queue"]: sources.get(p["doc_id"]) for p in pieces if p["doc_id"] is not None}
+        assert all(abs(n - 1024 * weights[named[q]] / 0.7) <= 2 for q, n in by[0].items()) and len(by[0]) == 2
+    else:  # full windows hold the same shares
         full = [c for c in by.values() if sum(c.values()) == 1024]
         assert all(abs(full[0][q] - c[q]) <= 4 for c in full for q in full[0])
     assert packing.packed(empty).count() == 0

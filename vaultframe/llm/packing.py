@@ -15,12 +15,14 @@ each document then computes its own pieces.
 from __future__ import annotations
 
 import functools
+import math
 import os
 import zlib
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import islice
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import TEXT_ROWS, table, written
 
 SEQUENCE, WINDOW_SEQUENCES, END_ID = 2048, 32, 1
-#: More sources than this share so many queues by a hash of their names.
-MAX_QUEUES = 256
+#: Weights are whole parts of so many.
+PARTS = 2**40
 #: Words whose ids a worker remembers, about 0.2 kB each.
 MAX_WORDS = 1_200_000
 
@@ -162,23 +164,31 @@ class Span:
     size: int
     cum: tuple[int, ...]
     starts: tuple[int, ...]
-    known: dict[int, tuple[int, ...]] = field(default_factory=dict, compare=False, repr=False)
+    known: dict[tuple[int, int], tuple[int, int]] = field(default_factory=dict, compare=False, repr=False)
 
-    def bounds(self, k: int) -> tuple[int, ...]:
-        """b with b[q + 1] - b[q] the tokens that queue q gives to the first k windows.
+    def place(self, q: int, k: int) -> tuple[int, int]:
+        """What the queues before q, and what q itself gives to the first k windows.
 
-        The total is halved off queue by queue from the last; each part grows by 0 or 1
-        with the total, so no window takes a negative amount.
+        The total is halved among the queues by their weights, down to one queue. Each part
+        grows by 0 or 1 with the total, so no window takes a negative amount; each halving
+        rounds to the nearest token, so a queue is off by less than one where weights are
+        alike, and by half a token for each halving at most.
         """
-        if (b := self.known.get(k)) is None:
-            if len(self.known) > 8192:
+        if (found := self.known.get((q, k))) is None:
+            if len(self.known) > 65536:
                 self.known.clear()
-            b = self.known[k] = _bounds(self.cum, k * self.size)
-        return b
+            cum, lo, hi, total, before = self.cum, 0, len(self.cum) - 1, k * self.size, 0
+            while hi - lo > 1:
+                m, left = _halved(cum, lo, hi, total)
+                if q < m:
+                    hi, total = m, left
+                else:
+                    lo, before, total = m, before + left, total - left
+            found = self.known[q, k] = (before, total)
+        return found
 
     def given(self, q: int, k: int) -> int:
-        b = self.bounds(k)
-        return b[q + 1] - b[q]
+        return self.place(q, k)[1]
 
     def window(self, q: int, at: int) -> int:
         """The window, counted from ``first``, that takes token ``at`` of queue q's span."""
@@ -190,44 +200,73 @@ class Span:
         return k
 
 
-def _bounds(cum: tuple[int, ...], total: int) -> tuple[int, ...]:
-    out = [total]
-    for q in range(len(cum) - 1, 0, -1):
-        out.append(out[-1] * cum[q - 1] // cum[q] if cum[q] else 0)
-    return tuple(out[::-1])
+def _halved(cum: Sequence[int], lo: int, hi: int, total: int) -> tuple[int, int]:
+    """Where queues lo to hi are parted, near half of their weight, and the first part's share."""
+    weight = cum[hi] - cum[lo]
+    if not weight:
+        return (lo + hi) // 2, 0
+    half = cum[lo] + weight // 2
+    m = bisect_left(cum, half, lo + 1, hi - 1)
+    if m > lo + 1 and half - cum[m - 1] < cum[m] - half:
+        m -= 1
+    return m, (2 * total * (cum[m] - cum[lo]) + weight) // (2 * weight)
+
+
+def _shared(cum: Sequence[int], total: int) -> list[int]:
+    """What each queue gives to the first ``total`` tokens: ``Span.place`` of all queues."""
+    out, todo = [0] * (len(cum) - 1), [(0, len(cum) - 1, total)]
+    while todo:
+        lo, hi, n = todo.pop()
+        if hi - lo == 1:
+            out[lo] = n
+        elif n:
+            m, left = _halved(cum, lo, hi, n)
+            todo += [(lo, m, left), (m, hi, n - left)]
+    return out
+
+
+def _enough(cum: Sequence[int], left: Sequence[int], size: int) -> int:
+    """The most full windows that no queue falls short in."""
+    def short(k: int) -> bool:
+        return any(x > n for x, n in zip(_shared(cum, k * size), left, strict=True))
+
+    slack = 2 * len(cum).bit_length() + 64  # tokens that halving may be off by, and more
+    bounds = [(n, cum[q + 1] - cum[q]) for q, n in enumerate(left) if cum[q + 1] > cum[q]]
+    hi = min(sum(left) // size, min((n + slack) * cum[-1] // (w * size) for n, w in bounds))
+    lo = min(hi, max(0, min((n - slack) * cum[-1] // (w * size) for n, w in bounds)))
+    while lo and short(lo):
+        lo //= 2
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (lo, mid - 1) if short(mid) else (mid, hi)
+    return lo
 
 
 def schedule(totals: Sequence[int], weights: Sequence[int], size: int) -> list[Span]:
     """Spans that together take all ``totals`` tokens; every window but the last is full.
 
-    While all queues with a weight last, each window holds their shares to within one token
-    for each queue. A queue of weight 0 is served when the others are dry.
+    While all queues with a weight last, windows hold their shares as ``Span.place`` tells. A
+    queue of weight 0 is served when the others are dry. There is a span or two for each
+    queue that runs dry, so the work grows with the square of the number of queues.
     """
     left, spans, first = list(totals), [], 0
     while sum(left):
         active = [w if n else 0 for w, n in zip(weights, left, strict=True)]
         if not sum(active):
             active = left[:]
-        cum = tuple(np.cumsum([0, *active], dtype=object).tolist())
+        cum = (0, *accumulate(active))
         starts = tuple(t - n for t, n in zip(totals, left, strict=True))
-        lo, hi = 0, sum(left) // size
-        while lo < hi:  # the most full windows that no queue falls short in
-            mid = (lo + hi + 1) // 2
-            b = _bounds(cum, mid * size)
-            lo, hi = (mid, hi) if all(b[q + 1] - b[q] <= n for q, n in enumerate(left)) else (lo, mid - 1)
-        if lo:
-            span = Span(first, lo, size, cum, starts)
-            take = [span.given(q, lo) for q in range(len(left))]
+        if lo := _enough(cum, left, size):
+            span, take = Span(first, lo, size, cum, starts), _shared(cum, lo * size)
         else:
             want = min(size, sum(left))
-            b = _bounds(cum, want)
-            take = [min(n, b[q + 1] - b[q]) for q, n in enumerate(left)]
+            take = [min(n, x) for n, x in zip(left, _shared(cum, want), strict=True)]
             while gap := want - sum(take):  # rounds over the queues that still have tokens
                 rooms = [q for q, n in enumerate(left) if n > take[q]]
                 for q in rooms:
                     more = min(left[q] - take[q], -(-gap // len(rooms)), want - sum(take))
                     take[q] += more
-            span = Span(first, 1, want, tuple(np.cumsum([0, *take], dtype=object).tolist()), starts)
+            span = Span(first, 1, want, (0, *accumulate(take)), starts)
         spans.append(span)
         left = [n - t for n, t in zip(left, take, strict=True)]
         first += span.windows
@@ -245,9 +284,9 @@ def pieces(spans: Sequence[Span], q: int, start: int, length: int, window: int =
         span = spans[s]
         rel = at - span.starts[q]
         k = span.window(q, rel)
-        a, b = span.bounds(k), span.bounds(k + 1)
-        before = b[q] - a[q] + rel - (a[q + 1] - a[q])  # tokens of this window ahead of ours
-        n = min(length - done, b[q + 1] - b[q] - rel)
+        (a, own), (b, end) = span.place(q, k), span.place(q, k + 1)
+        before = b - a + rel - own  # tokens of this window ahead of ours
+        n = min(length - done, end - rel)
         while n:
             offset = before % sequence
             part = min(n, sequence - offset)
@@ -298,18 +337,18 @@ def packed(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer:
     used up. ``targets``: the same by the xxhash64 of the source's name, as
     ``mixing.targets`` gives it. By default the sources' own token shares, which every
     window then holds.
-    Null texts are the ``end`` id alone; null sources are a source. Repeated rows are packed
-    again. An empty table gives no pieces.
+    Each source is a queue of its own at any count; the driver holds a row for each.
+    Null and empty texts are the ``end`` id alone; null sources are a source. Repeated rows
+    are packed again. Texts of any length count whole: a task holds the ids of one batch.
+    An empty table gives no pieces.
     """
     tokenizer = tokenizer or default_tokenizer()
     rows = written(tokenized(docs, tokenizer, end), "tokens", TEXT_ROWS)
     spark = docs.sparkSession
-    several = rows.select("source_hash").distinct().count() > MAX_QUEUES
-    queue = F.pmod("source_hash", F.lit(MAX_QUEUES)).cast("long") if several else F.col("source_hash")
-    parts = written(rows.groupBy("source_hash", "part", "slot").agg(F.sum("n_tokens").alias("n"), F.min("file").alias("file"), F.min("block").alias("block")).withColumn("queue", queue), "parts")
+    parts = written(rows.groupBy("source_hash", "part", "slot").agg(F.sum("n_tokens").alias("n"), F.min("file").alias("file"), F.min("block").alias("block")).withColumn("queue", F.col("source_hash")), "parts")
     ahead = W.partitionBy("queue").orderBy("file", "block", "part", "slot", "source_hash").rowsBetween(W.unboundedPreceding, -1)
     bases = parts.select("source_hash", "part", "slot", "queue", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES rows at most
+    totals = {r["queue"]: r["n"] for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # a row for each source
     queues = sorted(totals)
     if weights is not None:
         names = sorted(weights)
@@ -318,11 +357,8 @@ def packed(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer:
     if targets is None:
         parts_of = [totals[q] for q in queues]
     else:
-        wanted: dict[int, int] = {}
-        for h, w in targets.items():
-            q = h % MAX_QUEUES if several else h
-            wanted[q] = wanted.get(q, 0) + round(w * 1_000_000)
-        parts_of = [wanted.get(q, 0) for q in queues]
+        whole = math.fsum(targets.values()) or 1.0
+        parts_of = [max(1, round(w / whole * PARTS)) if (w := targets.get(q, 0)) > 0 else 0 for q in queues]
     spans = schedule([totals[q] for q in queues], parts_of, window * sequence)
     index = {q: i for i, q in enumerate(queues)}
     kind = docs.schema["doc_id"].dataType.simpleString()
