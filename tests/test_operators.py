@@ -12,6 +12,7 @@ from vaultframe.functions import cron, crypto, paths, text
 from vaultframe.operators import chunking, diff, prune, report, restore, tree
 from vaultframe.operators import packs as P
 from vaultframe.operators import retention as R
+from vaultframe.schemas import CATALOG
 from vaultframe.sources.scratch import written
 
 NOW = datetime(2026, 8, 6, 12)
@@ -426,3 +427,53 @@ def test_schedules_that_are_none(spark):
     for bad in ("not a cron expression", "* * * *", "61 * * * *"):
         with pytest.raises(ValueError):
             cron.fields(bad)
+
+
+# --- whole runs
+
+
+def test_backup_restore_and_verify(spark, tmp_path):
+    from vaultframe.operators import repository
+    from vaultframe.sources.catalog import Catalog
+
+    r, sizes = random.Random(4), chunking.Sizes(64, 256, 1024, 10, 6)
+    schema = "path string, name string, size long, mtime long, attributes int, content binary"
+    made = lambda contents, day: spark.createDataFrame([(p, p, len(c), day, 0, bytearray(c)) for p, c in contents.items()], schema)
+    contents = {f"f{i}": r.randbytes(6000) for i in range(4)} | {"empty": b"", "twin": b""}
+    contents["twin"] = contents["f0"]
+    none, unknown = spark.createDataFrame([], "path string, size long, mtime long, attributes int, seq long, blob_id string"), spark.createDataFrame([], "blob_id string")
+    run = lambda files, parent, blobs, day, **how: repository.backup(files, parent, blobs, MASTER, datetime(2026, 1, day), sizes=sizes, target=8000, writers=2, **how)
+    files = made(contents, 1)
+    first = run(files, none, unknown, 1)
+    counts = first["snapshot"].first()
+    assert counts["new_files"] == 6 and counts["new_blobs"] == first["chunks"].select("blob_id").distinct().count() == first["blobs"].count() > 20
+    assert first["packs"].count() > 2 and first["packs"].where("length(content) > 8000 + 1024 + 4000").count() == 0
+    parent = written(first["chunks"].join(files.drop("content", "name"), "path"), "parent")
+    again = run(files, parent, first["blobs"], 2)["snapshot"].first()
+    assert (again["unchanged_files"], again["new_blobs"], again["new_bytes"]) == (5, 0, 0)  # an empty file has no chunk to know it by
+    contents["f1"] = contents["f1"][:3000] + b"changed" + contents["f1"][3000:]
+    second = run(made(contents, 1), parent, first["blobs"], 3)
+    counts = second["snapshot"].first()
+    assert counts["changed_files"] == 1 and 0 < counts["new_blobs"] < 12
+    blobs, packs = first["blobs"].unionByName(second["blobs"]), written(first["packs"].unionByName(second["packs"]), "all")
+    writes = repository.restored(second["chunks"].withColumnRenamed("path", "file"), blobs, packs, MASTER)
+    got = {x["file"]: bytearray(x["bytes"]) for x in repository.file_digests(writes).collect()}
+    for w in writes.collect():
+        got[w["file"]][w["file_offset"] : w["file_offset"] + len(w["payload"])] = w["payload"]
+    assert {p: bytes(c) for p, c in got.items()} == {p: c for p, c in contents.items() if c}
+    with pytest.raises(Exception, match="can't be read"):
+        repository.restored(second["chunks"].withColumnRenamed("path", "file"), blobs, packs.limit(1), MASTER).collect()
+    with pytest.raises(repository.AnomalyError):
+        run(made({f"g{i}.locked": b"x" for i in range(3)}, 2), parent, first["blobs"], 4, policy=diff.AnomalyPolicy())
+    index = packs.select("pack_id", F.sha2("content", 256).alias("sha256"))
+    roots = spark.createDataFrame([("s", first["blobs"].first()["blob_id"])], "snapshot_id string, root string")
+    assert repository.verify("Full", blobs, index, roots, packs, MASTER).count() == 0
+    bad = packs.withColumn("content", F.expr("concat(substring(content, 1, 20), X'00ff', substring(content, 23, length(content)))"))
+    issues = lambda level, stored: {x["issue"] for x in repository.verify(level, blobs, index, roots, stored, MASTER).collect()}
+    assert issues("Index", bad) == set() and issues("Packs", bad) == {"pack-hash-differs"} and issues("Full", bad) == {"pack-hash-differs", "blob-unreadable"}
+    assert issues("Index", bad.limit(0)) == {"pack-missing"}
+    catalog = Catalog(spark, str(tmp_path / "repo"))
+    snapshot = spark.createDataFrame([("s1", datetime(2026, 1, 1))], "snapshot_id string, started_at timestamp_ntz")
+    nulls = lambda df, table: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in CATALOG[table]])
+    repository.committed(catalog, first, nulls(snapshot, "snapshots"), spark.createDataFrame([(1, "s1", "C:\\Data")], CATALOG["snapshot_paths"]), datetime(2026, 1, 1))
+    assert (catalog.read("blobs").count(), catalog.read("packs").count(), catalog.read("snapshots").count()) == (first["blobs"].count(), first["packs"].count(), 1)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vaultframe.functions import crypto, paths
-from vaultframe.operators import chunking, diff, restore, tree
+from vaultframe.operators import chunking, diff, repository, restore, tree
 from vaultframe.operators import packs as P
 from vaultframe.plans.proxies import MASTER
 from vaultframe.plans.registry import query
@@ -442,3 +444,58 @@ def sub_keys(v):
 def gear(v):
     rows = [(i, f"{int(x):016x}") for i, x in enumerate(chunking.gear_table(MASTER))]
     return v.spark.createDataFrame(rows, "byte int, value string")
+
+
+# --- whole runs
+
+
+def _files(v):
+    d = v.table("documents")
+    return d.select(F.col("doc_id").cast("string").alias("path"), F.concat("doc_id", F.lit(".txt")).alias("name"), F.octet_length("text").cast("long").alias("size"), F.col("doc_id").cast("long").alias("mtime"), F.lit(0).alias("attributes"), F.col("text").cast("binary").alias("content"))
+
+
+def _backup(v):
+    """A first run over the even documents and a second one over all, which reads what is
+    new or has another size: every seventh even document had another then."""
+    spark, files = v.spark, _files(v)
+    none = spark.createDataFrame([], "path string, size long, mtime long, attributes int, seq long, blob_id string")
+    old = files.where("mtime % 2 = 0").withColumn("content", F.when(F.col("mtime") % 7 == 0, F.concat(F.lit(b"old "), "content")).otherwise(F.col("content"))).withColumn("size", F.length("content").cast("long"))
+    first = repository.backup(old, none, spark.createDataFrame([], "blob_id string"), MASTER, datetime(2024, 1, 1))
+    parent = first["chunks"].join(old.select("path", "size", "mtime", "attributes"), "path")
+    return first, repository.backup(files, parent, first["blobs"], MASTER, datetime(2024, 1, 2))
+
+
+RUN = "od as (select case when doc_id % 7 = 0 then 'old ' || text else text end as text from documents where doc_id % 2 = 0)"
+
+
+@query("eng1_backup_run", """select count(*) filter (where doc_id % 2 = 1) as new_files, count(*) filter (where doc_id % 14 = 0) as changed_files, count(*) filter (where doc_id % 2 = 0 and doc_id % 7 <> 0) as unchanged_files,
+  cast(coalesce(sum(octet_length(encode(text))) filter (where doc_id % 2 = 1 or doc_id % 14 = 0), 0) as bigint) as bytes_to_read, (select count(distinct text) from documents where (doc_id % 2 = 1 or doc_id % 14 = 0) and text <> '' and text not in (select text from od)) as new_blobs from documents""", RUN)
+def backup_run(v):
+    return _backup(v)[1]["snapshot"].drop("new_bytes")
+
+
+@query("eng7_restore_run", "select cast(doc_id as varchar) as file, octet_length(encode(text)) as bytes, sha256(text) as sha256 from documents where text <> ''")
+def restore_run(v):
+    """Every file of the second run, from the packs of both."""
+    first, second = _backup(v)
+    blobs, packs = first["blobs"].unionByName(second["blobs"]), first["packs"].unionByName(second["packs"])
+    return repository.file_digests(repository.restored(second["chunks"].withColumnRenamed("path", "file"), blobs, packs, MASTER))
+
+
+SEALED = f"tx as (select text, min(doc_id) as i, {_hmac('text', *ID)} as blob_id from documents where text <> '' group by text)"
+
+
+@query("eng6_verify_full", """select 'pack-missing' as issue, '5' as subject union all select 'pack-hash-differs', unnest(['3', '7', '9']) union all select 'pack-header-damaged', '7' union all select 'blob-without-pack', blob_id from tx where i % 40 = 11
+  union all select 'blob-unreadable', min(blob_id) from tx where i % 40 = 9""", SEALED)
+def verify_full(v):
+    """Forty packs: one is unknown to the index, one lost, one cut, one has a wrong hash on
+    record, and one a wrong byte in its first blob."""
+    d = v.table("documents").where("text <> ''")
+    one = d.groupBy("text").agg(F.min("doc_id").alias("i")).select((F.col("i") % 40).cast("string").alias("pack_id"), F.lit(0).cast("byte").alias("kind"), crypto.blob_id(F.col("text"), MASTER).alias("blob_id"), F.col("text").cast("binary").alias("payload"))
+    rows = one.withColumn("len_plain", F.length("payload")).withColumn("codec", F.lit(0).cast("byte"))
+    made = written(P.encoded(rows, MASTER), "packs")
+    index = made.select("pack_id", F.when(F.col("pack_id") == "3", F.sha2(F.lit("x"), 256)).otherwise(F.sha2("content", 256)).alias("sha256"))
+    p = F.col("pack_id")
+    cut, flipped = F.expr("substring(content, 1, length(content) - 30)"), F.expr("overlay(content placing unhex(lpad(hex(255 - conv(hex(substring(content, 17, 1)), 16, 10)), 2, '0')) from 17 for 1)")
+    stored = written(made.where("pack_id <> '5'").withColumn("content", F.when(p == "7", cut).when(p == "9", flipped).otherwise(F.col("content"))), "stored")
+    return repository.verify("Full", rows.select("blob_id", "pack_id"), index.where("pack_id <> '11'"), v.spark.createDataFrame([], "snapshot_id string, root string"), stored, MASTER)
