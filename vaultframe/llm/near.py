@@ -315,9 +315,10 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _buckets(signatures: DataFrame, keys_of: Keys) -> DataFrame:
-    """(key, id, n, lo): the members of each key that has several, and that could bring a
-    new pair. Of keys with the same members, which similar items have dozens of, the first
-    by place stands for all: it is the first key that any pair of them shares.
+    """(key, id, n, l0, l1, ..): the members of each key that has several, and that could
+    bring a new pair, with its leaders. Of keys with the same members, which similar items
+    have dozens of, the first by place stands for all: it is the first key that any pair of
+    them shares.
 
     Most keys have one member. Rows are range-partitioned by key and id, so a key that very
     many have spreads over tasks, and single ones go as the sorted rows stream past.
@@ -326,8 +327,10 @@ def _buckets(signatures: DataFrame, keys_of: Keys) -> DataFrame:
     rows = written(keys.repartitionByRange("key", "id").sortWithinPartitions("key").mapInArrow(_several, "key long, id long, code int"), "several")
     discard(keys)
     x = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.min("code").alias("c0"), F.max("code").alias("c1"), *x).where(f"n > 1 and (c0 % {MARKS} = 0 or c0 <> c1)")
-    one = sizes.groupBy("n", "lo", "x0", "x1").agg(F.min_by("key", "c0").alias("key")).select("key", "n", "lo")
+    leaders = [F.min("id").alias("l0"), F.max("id").alias("l1"), *[F.min_by("id", F.xxhash64("id", F.lit(i))).alias(f"l{i}") for i in range(2, LEADERS)]][:LEADERS]
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("code").alias("c0"), F.max("code").alias("c1"), *x, *leaders).where(f"n > 1 and (c0 % {MARKS} = 0 or c0 <> c1)")
+    own = ["n", *[f"l{i}" for i in range(LEADERS)]]  # the same for the same members
+    one = sizes.groupBy("x0", "x1", *own).agg(F.min_by("key", "c0").alias("key")).select("key", *own)
     out = written(rows.drop("code").join(written(one, "one"), "key"), "buckets")
     discard(rows)
     return out
@@ -345,8 +348,6 @@ def groups(signatures: DataFrame, keys_of: Keys, max_errors: int, sets_of: Calla
     ``percent`` * union.
     """
     buckets = _buckets(signatures, keys_of)
-    others = [F.max("id").alias("l1"), *[F.min_by("id", F.xxhash64("id", F.lit(i))).alias(f"l{i}") for i in range(2, LEADERS)]]
-    buckets = written(buckets.join(buckets.groupBy("key").agg(*others), "key").withColumnRenamed("lo", "l0"), "led")
     pairs, leading = None, F.lit(False)
     for i in range(LEADERS):
         own = F.col(f"l{i}")
