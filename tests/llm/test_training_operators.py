@@ -232,6 +232,45 @@ def test_every_long_shared_passage_is_found(docs, rows, empty):
     assert substring_dedup.passages(empty).count() == 0
 
 
+def test_near_equal_paragraphs_are_those_of_all_pairs(spark):
+    """Copies with edits every 20 to 45 words: no equal run is long enough for windows alone."""
+    r = random.Random(6)
+    unique = (f"u{i}" for i in itertools.count())
+    rows, paragraphs = [], {}
+    for _ in range(25):
+        base = [next(unique) for _ in range(r.randrange(60, 130))]
+        for edits in (0, 1, 2, 4):
+            words = list(base)
+            for k in range(edits):
+                words[(k + 1) * len(words) // (edits + 1)] = next(unique)
+            i = len(rows)
+            paragraphs[i] = words
+            rows.append((i, " ".join(next(unique) for _ in range(30)) + "\n" + " ".join(words)))
+    r.shuffle(rows)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in paragraphs.items()}
+    label = plain_components(sets)
+    groups = defaultdict(set)
+    for i, c in label.items():
+        groups[c].add(i)
+    want = {i: i != c for c, own in groups.items() if len(own) > 1 for i in own}
+    found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string"), least_words=10**6).collect()
+    assert {x["doc_id"]: x["removed"] for x in found} == want and len(found) == len(want) > 40
+    assert all(x["n_words"] == len(paragraphs[x["doc_id"]]) for x in found)
+    clusters = defaultdict(set)
+    for x in found:
+        clusters[x["cluster_id"]].add(x["doc_id"])
+    assert sorted(map(sorted, clusters.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
+
+
+def test_texts_of_one_id_have_passages_of_their_own(spark):
+    w = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(1, w("a", 70)), (1, w("b", 20) + " " + w("p", 60)), (2, w("p", 60) + " " + w("c", 9)), (2, w("d", 90)), (2, w("d", 90)), (None, w("a", 70)), (None, w("e", 70)), (3, w("f", 60) + " " + w("f", 60))]
+    for seed in range(2):
+        random.Random(seed).shuffle(rows)
+        found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(((x["doc_id"] or 0, x["start"] > 0, x["n_words"], x["removed"]) for x in found)) == [(0, False, 70, False), (1, False, 70, True), (1, True, 60, False), (2, False, 60, True)]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(0, 10**6))
 def test_equal_passages_share_a_window(seed):

@@ -379,15 +379,18 @@ def joined(spans: Sequence[tuple[int, int, str]]) -> str:
 
 
 def found(docs: DataFrame, model: SemiCRF | None = None) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` for each row of docs.
-
-    Offsets count code points of the whole text, ends excluded. Null and empty texts have
-    no spans. Repeated rows give repeated results; other columns are ignored. The model,
-    a few hundred weights, travels with the task.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans`` for each row.
+
+    Offsets count code points of the whole text, ends excluded. ``n_spans`` counts base and
+    added spans. Null and empty texts have no spans. Repeated rows give repeated results;
+    other columns are ignored; an empty table gives none. Texts of any length are searched
+    whole, line by line; a task holds one batch of them. An added span has MAX_TOKENS tokens
+    and MAX_CHARS characters at most: the model doesn't see longer ones, such as a token of
+    more than 120 characters. The model, a few hundred weights, travels with the task.
     """
     model = model or trained()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans"]
+    names = ["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(model)
@@ -401,12 +404,12 @@ def found(docs: DataFrame, model: SemiCRF | None = None) -> DataFrame:
                     base = base_spans(text)
                     added = finder(text, base)
                 counts = [sum(s[2] == k for s in base) for k in BASE]
-                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined([*base, *added])))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            types = [pa.int64()] * 4 + [pa.string()] * 2
+                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined([*base, *added]), len(base) + len(added)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=names)
 
-    return docs.select("doc_id", as_bytes()).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", as_bytes()).mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -452,8 +452,9 @@ def _merged(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.
     def runs(lo: np.ndarray, hi: np.ndarray, cluster: np.ndarray, group: np.ndarray, paragraph: np.ndarray) -> list[np.ndarray]:
         """First word, end, cluster of the merged parts, and if they are passages."""
         at = np.flatnonzero(np.concatenate([[True], lo[1:] >= np.maximum.accumulate(hi)[:-1]]))
-        begin, end, least = lo[at], np.maximum.reduceat(hi, at), np.minimum.reduceat(cluster, at)
-        return [begin, end, np.where(least == _NONE, np.minimum.reduceat(group, at), least), (end - begin >= least_words) | np.maximum.reduceat(paragraph, at)]
+        begin, end = lo[at], np.maximum.reduceat(hi, at)
+        whole, window, beside = (np.minimum.reduceat(x, at) for x in (np.where(paragraph, cluster, _NONE), cluster, group))
+        return [begin, end, np.where(whole != _NONE, whole, np.where(window != _NONE, window, beside)), (end - begin >= least_words) | np.maximum.reduceat(paragraph, at)]
 
     def settled() -> pa.RecordBatch:
         doc, part = (int(held[0][i][0]) for i in range(2))
@@ -509,8 +510,8 @@ def passages(docs: DataFrame, percent: int = 80, least_words: int = WINDOW + REA
     and of each group of near-equal paragraphs, the copy with the least doc_id, and there
     the first, stays (``removed`` false); overlapping parts with the same fate are one
     passage. Equal runs are reported from ``least_words`` words on, and from 51 on each is
-    found, to its ends. ``cluster_id`` is the least of its parts' groups; copies of a
-    passage share one.
+    found, to its ends. ``cluster_id`` is the least group of its paragraphs, or else of its
+    windows; copies of a passage share one.
 
     Text repeated within one document alone isn't reported. Null and empty texts have no
     passage; rows without doc_id count as one document with the least id and are reported
