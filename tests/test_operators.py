@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vaultframe.functions import cron, crypto, paths, text
-from vaultframe.operators import chunking, diff, prune, report, restore, tree
+from vaultframe.operators import chunking, diff, prune, report, restore, skips, tree
 from vaultframe.operators import packs as P
 from vaultframe.operators import retention as R
 from vaultframe.schemas import CATALOG
@@ -429,6 +429,26 @@ def test_schedules_that_are_none(spark):
             cron.fields(bad)
 
 
+def test_a_stop_cancels_what_is_queued_or_runs(spark):
+    at, now = datetime(2026, 1, 1), datetime(2026, 1, 2)
+    rows = [(1, 1, "Pending", None, None, None), (2, 1, "Running", at, None, None), (3, 1, "Failed", at, at, "x"), (4, 9, "Pending", None, None, None), (5, None, "Running", at, None, None), (6, 1, None, None, None, None)]
+    jobs = spark.createDataFrame(rows, "job_id long, plan_id long, status string, started_at timestamp_ntz, finished_at timestamp_ntz, error_message string")
+    plans = spark.createDataFrame([(1,), (1,), (None,), (2,)], "plan_id long")
+    got = {r[0]: tuple(r) for r in report.stopped(jobs, plans, now).collect()}
+    assert got[1] == (1, 1, "Cancelled", now, now, text.STOPPED) and got[2] == (2, 1, "Cancelled", at, now, text.STOPPED)
+    assert [got[i] for i in (3, 4, 5, 6)] == rows[2:] and len(got) == 6
+
+
+def test_skipped_entries_are_counted_and_sampled(spark):
+    rows = [(f"f{i:03d}", 4194304 if i % 4 == 0 else 32, "UnauthorizedAccessException" if i % 4 == 1 else None) for i in range(60)] + [("null", None, None)]
+    read, left_out = skips.split(spark.createDataFrame(rows, "path string, attributes int, error string"))
+    (one,) = skips.summary(left_out).collect()
+    assert read.count() == 31 and one["entries_skipped"] == 30 and len(one["samples"]) == 20
+    assert one["samples"][:2] == ["f000 (IOException)", "f001 (UnauthorizedAccessException)"]
+    (none,) = skips.summary(left_out.where("false")).collect()
+    assert (none["entries_skipped"], none["samples"]) == (0, [])
+
+
 # --- whole runs
 
 

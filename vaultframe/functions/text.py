@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 STATUS = {"Succeeded": ("ok", "Başarılı"), "Running": ("run", "Sürüyor"), "Pending": ("pending", "Bekliyor"), "Warning": ("warn", "Uyarı"), "Failed": ("err", "Hata"), "Cancelled": ("muted", "İptal edildi"), "Locked": ("locked", "Korumalı")}
 KINDS = {"backup": "Yedekleme", "verify": "Doğrulama", "prune": "Budama"}
 TITLES = {"not enabled for unattended access": "Depo gözetimsiz erişime açık değil", "is denied": "Bir yol okunamadı", "being used by another process": "Bir dosya kilitliydi", "anomaly": "Olağandışı değişim tespit edildi"}
+#: What a job says that a stop of the service ended. Fixed value.
+STOPPED = "Cancelled (service stopping)."
 OTHER_TITLE, NO_ERROR = "Yedekleme tamamlanamadı", "Bilinmeyen hata"
 EXPLANATIONS = {
     "not enabled for unattended access": "Zamanlanmış işler parolayı soramaz; depoyu açmak için makineye bağlı bir anahtar gerekir. Depolar sayfasında bu depo için parolasız (servis) erişimi açın.",

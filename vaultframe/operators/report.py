@@ -77,6 +77,23 @@ def not_queued(due: DataFrame, jobs: DataFrame) -> DataFrame:
     return due.join(jobs.where(F.col("status").isin("Pending", "Running")).select("plan_id", "kind"), ["plan_id", "kind"], "left_anti")
 
 
+def stopped(jobs: DataFrame, plans: DataFrame, now: datetime) -> DataFrame:
+    """``jobs`` as a stop at ``now`` leaves them: the queue is drained, so that no job stays
+    pending or running.
+
+    A pending job of a known plan starts and is cancelled at once, a running one is cancelled;
+    jobs of plans that are gone can't be run and stay as they are. Ended jobs don't change.
+    Rows without a status or plan stay. Which job of the queue is drained first doesn't show
+    in the result.
+    """
+    known = plans.select(F.col("plan_id").alias("_plan")).where("_plan is not null").distinct()
+    at = F.lit(now).cast("timestamp_ntz")
+    hit = F.coalesce(F.col("status").isin("Pending", "Running"), F.lit(False)) & F.col("_plan").isNotNull()
+    new = {"status": F.lit("Cancelled"), "started_at": F.when(F.col("status") == "Pending", at).otherwise(F.col("started_at")), "finished_at": at, "error_message": F.lit(text.STOPPED)}
+    rows = jobs.join(known, F.col("plan_id") == F.col("_plan"), "left")
+    return rows.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in jobs.columns])
+
+
 def latest_state(events: DataFrame) -> DataFrame:
     """Current status of each job from its transitions (job_id, status, at)."""
     order = F.struct("at", F.when(F.col("status") == "Pending", 0).when(F.col("status") == "Running", 1).otherwise(2))

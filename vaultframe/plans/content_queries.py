@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vaultframe.functions import crypto, paths
-from vaultframe.operators import chunking, diff, repository, restore, tree
+from vaultframe.operators import chunking, diff, repository, restore, skips, tree
 from vaultframe.operators import packs as P
 from vaultframe.plans.proxies import MASTER
 from vaultframe.plans.registry import query
@@ -150,6 +150,17 @@ def placeholders(v):
     return rows.where(~paths.is_placeholder(F.col("attr")))
 
 
+@query("flt11_skipped", """select (select count(*) from fe where why is null) as entries_read, count(*) as entries_skipped, (select string_agg(sample, ';' order by path) from (select path, path || ' (' || why || ')' as sample from fe where why is not null order by path limit 20)) as samples from fe where why is not null""",
+       "fe as (select path, case when mtime % 23 = 0 then 'IOException' when mtime % 17 = 0 then 'UnauthorizedAccessException' when mtime % 19 = 0 then 'IOException' end as why from files_a)")
+def skipped(v):
+    m = F.col("mtime")
+    rows = v.files_a.withColumn("attributes", F.when(m % 23 == 0, 4194304).otherwise(32)).withColumn("error", F.when(m % 17 == 0, "UnauthorizedAccessException").when(m % 19 == 0, "IOException"))
+    read, left_out = skips.split(rows)
+    one = skips.summary(left_out).select("entries_skipped", F.array_join("samples", ";").alias("samples"), F.lit(None).cast("long").alias("entries_read"))
+    both = one.unionByName(read.groupBy().agg(F.count(F.lit(1)).alias("entries_read")), allowMissingColumns=True)
+    return both.groupBy().agg(F.max("entries_read").alias("entries_read"), F.max("entries_skipped").alias("entries_skipped"), F.max("samples").alias("samples"))
+
+
 @query("flt15_browsable", "select path, attr from fa where attr & 6 <> 6", "fa as (select path, case when mtime % 4 = 2 then 6 when mtime % 4 = 3 then 2 else 32 end as attr from files_a)")
 def browsable(v):
     m = F.col("mtime") % 4

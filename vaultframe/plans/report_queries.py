@@ -379,6 +379,13 @@ def not_queued(v):
     return report.not_queued(_due(v), v.jobs)
 
 
+@query("str3_stopped", f"""select job_id, case when hit then 'Cancelled' else status end as status, case when hit and status = 'Pending' then {NOW} else started_at end as started_at,
+      case when hit then {NOW} else finished_at end as finished_at, case when hit then 'Cancelled (service stopping).' else error_message end as error_message
+      from (select *, status in ('Pending', 'Running') and plan_id in (select plan_id from plans) as hit from jobs)""")
+def stopped(v):
+    return report.stopped(v.jobs, v.plans, JOB_NOW).select("job_id", "status", "started_at", "finished_at", "error_message")
+
+
 @query("str1_hourly_stream", "select status, date_trunc('hour', started_at) as hour, count(*) as n from jobs where started_at is not null group by all")
 def hourly(v):
     from vaultframe.plans.proxies import Views
