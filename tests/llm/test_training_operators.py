@@ -926,3 +926,15 @@ def test_shingle_sets_hold_the_words_shingles():
     assert len(shingle_set(b"", 2)) == 0 and len(shingle_set(b" \n", 2)) == 0
     assert len(shingle_set(b"one", 2)) == 1 and len(shingle_set(b"a b a b", 2)) == 2
     assert (shingle_set("É x Y".encode(), 2) == shingle_set("É X y".encode(), 2)).all()
+
+
+def test_workers_release_memory_at_the_end_of_a_task(monkeypatch):
+    from vaultframe.llm import common
+
+    said = []
+    monkeypatch.setattr(common, "release", lambda: said.append("released"))
+    assert list(common.releasing(lambda batches: (x + 1 for x in batches))(iter([1, 2]))) == [2, 3] and said == ["released"]
+    stopped = common.releasing(lambda batches: (x for x in batches))(iter([1, 2]))
+    next(stopped)
+    stopped.close()
+    assert said == ["released"] * 2

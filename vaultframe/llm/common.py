@@ -7,7 +7,9 @@ executor costs the re-run of single tasks and never the whole chain.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 from vaultframe.sources.scratch import clear as clear_scratch
 from vaultframe.sources.scratch import discard, shared_dir, written
 
-__all__ = ["LOWER", "SPACES", "TEXT_ROWS", "as_bytes", "clear_scratch", "discard", "shared_dir", "slices", "table", "two_level_position", "with_batches", "written"]
+__all__ = ["LOWER", "SPACES", "TEXT_ROWS", "as_bytes", "clear_scratch", "discard", "releasing", "shared_dir", "slices", "table", "two_level_position", "with_batches", "written"]
 
 #: Rows of an Arrow batch of whole texts, where the operator runs the job itself. Batches lie
 #: outside the JVM's heap, twice while they grow.
@@ -56,7 +58,7 @@ def with_batches(df: DataFrame, read: str, fn: Callable[[list], Sequence[pa.Arra
             new = made[0] if len(made) == 1 else [pa.concat_arrays(c) for c in zip(*made, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(releasing(run), schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -66,6 +68,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def release() -> None:
+    """Freed memory of this worker goes back to the system, where the C library can do it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and what it freed is released at a task's end: workers wait for later tasks
+    beside their executor, and what they keep counts with it."""
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return released
+
+
 def as_bytes(column: str = "text") -> F.Column:
     return F.col(column).cast("string").cast("binary")
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, as_bytes, table, written
+from .common import LOWER, SPACES, as_bytes, releasing, table, written
 
 LINES = "k1 long, k2 long, doc long, version long, at binary"
 FOUND = "kind byte, k1 long, k2 long, doc long, version long, at binary, n_docs long"
@@ -66,7 +66,7 @@ def exploded(docs: DataFrame, least_chars: int) -> DataFrame:
                     at.append(np.array(lines, "<u4").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((k1, pa.int64()), (k2, pa.int64()), (ids, pa.int64()), (versions, pa.int64()), (at, pa.binary()))], names=["k1", "k2", "doc", "version", "at"])
 
-    return docs.mapInArrow(run, LINES)
+    return docs.mapInArrow(releasing(run), LINES)
 
 
 def _stream(least_docs: int):
@@ -150,7 +150,7 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) ->
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "k1", "k2", F.col("doc").desc()).sortWithinPartitions("k1", "k2", F.col("doc").desc())
-    found = written(dealt.mapInArrow(_stream(least_docs), FOUND), "lines")
+    found = written(dealt.mapInArrow(releasing(_stream(least_docs)), FOUND), "lines")
     settled = found.where(F.col("kind") == SUMMARY).groupBy("k1", "k2").agg(F.sum("n_docs").alias("n"), F.max("doc").alias("top")).where(F.col("n") >= least_docs)
     late = found.where(F.col("kind") == PENDING).join(settled, ["k1", "k2"]).where(F.col("doc") != F.col("top"))
     gone = found.where(F.col("kind") == DROP).select("doc", "version", "at").unionByName(late.select("doc", "version", "at"))
@@ -172,7 +172,7 @@ def _bitmaps(gone: DataFrame) -> DataFrame:
                 counts.append(len(lines))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(maps, pa.binary())], names=["doc", "version", "n_dropped", "drop_bitmap"])
 
-    return each.mapInArrow(run, "doc long, version long, n_dropped long, drop_bitmap binary")
+    return each.mapInArrow(releasing(run), "doc long, version long, n_dropped long, drop_bitmap binary")
 
 
 def kept_lines(text: bytes, drop_bitmap: bytes | None) -> tuple[bytes, int, int]:
@@ -207,7 +207,7 @@ def digests(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.int64()), pa.array([hashlib.sha256(k[0]).hexdigest() for k in kept], pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {id_type}, n_lines long, n_dropped long, kept_sha256 string")
+    return joined.mapInArrow(releasing(run), f"doc_id {id_type}, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def filtered(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> DataFrame:
@@ -229,7 +229,7 @@ def filtered(docs: DataFrame, least_chars: int = 20, least_docs: int = 3) -> Dat
 
     others = [n for n in names if n != text]
     schema = ", ".join(f"`{n}` {plain.schema[own.get(n, n)].dataType.simpleString()}" for n in others) + f", `{text}` string"
-    out = joined.select(as_bytes(), "drop_bitmap", *[F.col(own.get(n, n)) for n in others]).mapInArrow(run, schema).select(*names)
+    out = joined.select(as_bytes(), "drop_bitmap", *[F.col(own.get(n, n)) for n in others]).mapInArrow(releasing(run), schema).select(*names)
     if "n_chars" in docs.columns:
         n = names[docs.columns.index("n_chars")]
         out = out.withColumn(n, F.when(F.col(text).isNotNull(), F.char_length(text)).cast(docs.schema["n_chars"].dataType))

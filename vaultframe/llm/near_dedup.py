@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near
-from .common import TEXT_ROWS, as_bytes, slices, table, written
+from .common import TEXT_ROWS, as_bytes, releasing, slices, table, written
 from .shingles import Signer, mixed, set_digest, shingle_set
 
 CHUNKS, CHUNK = 14, 5
@@ -42,7 +42,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 signatures.append(sign(s).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), as_bytes()).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), as_bytes()).mapInArrow(releasing(run), "doc_id long, n_shingles long, d1 long, d2 long, signature binary")
 
 
 def chunk_keys(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +73,7 @@ def set_table(docs: DataFrame, width: int, ids: DataFrame) -> DataFrame:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t or b"", width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "set"])
 
-    return wanted.mapInArrow(run, "id long, set binary")
+    return wanted.mapInArrow(releasing(run), "id long, set binary")
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

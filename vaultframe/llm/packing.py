@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, table, written
+from .common import TEXT_ROWS, releasing, table, written
 
 SEQUENCE, WINDOW_SEQUENCES, END_ID = 2048, 32, 1
 #: Weights are whole parts of so many.
@@ -323,7 +323,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END_ID) -> DataFrame:
                     sums[h] = before[-1] + n
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(slots, pa.int32()), batch.column(3), batch.column(4), pa.array(before, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=names)
 
-    return placed.mapInArrow(run, f"doc_id {kind}, source_hash long, part int, slot int, file string, block long, before long, n_tokens long, ids binary")
+    return placed.mapInArrow(releasing(run), f"doc_id {kind}, source_hash long, part int, slot int, file string, block long, before long, n_tokens long, ids binary")
 
 
 def packed(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer: str | None = None, window: int = WINDOW_SEQUENCES, sequence: int = SEQUENCE, end: int = END_ID, targets: dict[int, float] | None = None) -> DataFrame:
@@ -378,7 +378,7 @@ def packed(docs: DataFrame, weights: dict[str, float] | None = None, tokenizer:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *[pa.array(c, pa.int64()) for c in cols]], names=names_out)
 
     placed = rows.join(bases, ["source_hash", "part", "slot"]).select("doc_id", "queue", F.col("base") + F.col("before"), "n_tokens", "ids")
-    return placed.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue long")
+    return placed.mapInArrow(releasing(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
