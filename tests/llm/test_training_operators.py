@@ -382,6 +382,45 @@ def test_equal_passages_share_a_window(seed):
     assert set(map(tuple, a.windows()[1].tolist())) & set(map(tuple, b.windows()[1].tolist()))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6))
+def test_texts_taken_together_give_what_each_gives(seed):
+    """One call cuts many texts; words of any length, windows and paragraphs are each text's own."""
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("aBéx9") for _ in range(r.choice([1, 7, 8, 9, 16, 17, 63, 64, 65, 200]))) for _ in range(40)]
+    size = lambda: r.choice([0, 1, 29, 30, 31, 50, 51, 52, 90, 300])
+    texts = ["".join(r.choice(vocab) + r.choice([" "] * 20 + ["\n", "\t ", "\x0b\x0c"]) for _ in range(size())).encode() for _ in range(r.randrange(1, 6))]
+    w = substring_dedup.Words(*texts)
+    words = [x for t in texts for x in t.translate(substring_dedup.LOWER).split()]
+    of_hash = dict(zip(w.hash.tolist(), words, strict=True))
+    assert [of_hash[h] for h in w.hash.tolist()] == words and len(of_hash) == len(set(words))
+    at, digests = w.windows()
+    lo, n = w.paragraphs()
+    before, after = substring_dedup.links(at, digests, w.text_of(at))
+    for i, text in enumerate(texts):
+        one, here = substring_dedup.Words(text), w.text_of(at) == i
+        at1, digests1 = one.windows()
+        assert at1.tolist() == (at[here] - w.bounds[i]).tolist() and digests1.tolist() == digests[here].tolist()
+        assert [x.tolist() for x in substring_dedup.links(at1, digests1, at1 * 0)] == [before[here].tolist(), after[here].tolist()]
+        key = [(int(x) >> 32, -k) for k, x in enumerate(one.shingle[: max(0, len(one.hash) - 29)])]
+        assert at1.tolist() == sorted({-min(key[k : k + 22])[1] for k in range(max(1, len(key) - 21)) if key})
+        ends = list(itertools.accumulate((len(x.split()) for x in text.split(b"\n")), initial=0))
+        assert [(a, b - a) for a, b in zip(ends, ends[1:], strict=False) if b - a >= 40] == list(zip((lo - w.bounds[i])[w.text_of(lo) == i].tolist(), n[w.text_of(lo) == i].tolist(), strict=True))
+
+
+def test_beginnings_of_copies_are_a_row_or_two_each(spark):
+    """Copies that leave the first twice by the same words: a row for each, not one for each
+    word they go on together; a second where a copy becomes the first."""
+    words = lambda *x: np.array(x, np.uint32).tobytes()
+    contexts = [words(*[1] * 21), words(2, *[3] * 20), *[words(2, 4, *[5] * 19)] * 6, *[words(2, 4, *[5] * 9, *[6] * 10)] * 3]
+    sides = [(1, 1, d, 100 * d, 1, 0, c) for d, c in enumerate(contexts)]
+    out = substring_dedup._extended(spark.createDataFrame(sides, substring_dedup.SIDES))[2].collect()
+    got = sorted((x["doc"], x["at"] - 100 * x["doc"], x["words"], x["steps"], x["removed"]) for x in out)
+    kept, gone = (2, 2, 49, 19, False), [(d, 2, 49, 19, True) for d in range(3, 8)]
+    parts = [(8, 2, 39, 9, True), (8, 12, 39, 9, False), (9, 2, 49, 19, True), (10, 2, 49, 19, True)]
+    assert got == [kept, *gone, *parts]
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_shared_passages_are_reported_to_their_ends(spark, seed):
     r = random.Random(seed)

@@ -70,13 +70,19 @@ class Signer:
 
     def each(self, parts: Sequence[np.ndarray]) -> np.ndarray:
         """A row of symbols for each of ``parts``, none of them empty, taken together."""
-        least = np.full((len(parts), len(self.xor)), 2**32 - 1, np.uint32)
-        every, of = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        for at in range(0, len(every), 2048):
-            begin = np.concatenate([[0], np.flatnonzero(np.diff(of[at : at + 2048])) + 1])
-            who = of[at + begin]
-            least[who] = np.minimum(least[who], np.minimum.reduceat(self._hashed(every[at : at + 2048]), begin))
-        return self._symbols(least)
+        every, size = (np.concatenate(parts) >> _S).astype(np.uint32), np.array([len(p) for p in parts])
+        least, ends, at = np.empty((len(self.xor), len(parts)), np.uint32), np.cumsum(size), 0
+        while at < len(parts):  # as many as a core's cache holds; a symbol's values follow each other
+            lo = ends[at] - size[at]
+            end = max(at + 1, int(np.searchsorted(ends, lo + 16384, "right")))
+            x, begin = every[lo : ends[end - 1]], ends[at:end] - size[at:end] - lo
+            y, z = np.empty_like(x), np.empty_like(x)
+            for j in range(len(self.xor)):
+                np.multiply(np.bitwise_xor(x, self.xor[j], out=y), self.mul[j], out=y)
+                np.bitwise_xor(y, np.right_shift(y, np.uint32(15), out=z), out=y)
+                np.minimum.reduceat(y, begin, out=least[j, at:end])
+            at = end
+        return self._symbols(np.ascontiguousarray(least.T))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:

@@ -21,7 +21,7 @@ paragraphs to confirm, such sides, or passages, whose places are words until the
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cached_property
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near
-from .common import LOWER, TEXT_ROWS, as_bytes, slices, table, written
+from .common import LOWER, SPACES, TEXT_ROWS, as_bytes, slices, table, written
 from .shingles import Signer, mixed
 
 WIDTH, LEAST_WORDS = 5, 40
@@ -40,84 +40,133 @@ BANDS, ROWS = 16, 4
 MAX_ERRORS = 28
 WINDOW, REACH = 30, 22
 NO_ID = -(2**63)
+#: Bytes of texts that are cut into words together, so that arrays stay in a core's cache.
+BYTES_AT_ONCE = 1 << 18
+#: Longer words are hashed one by one, others eight bytes at a time.
+LONG_WORD = 64
 
 _rng = np.random.Generator(np.random.PCG64(3))
-_ODD = _rng.integers(0, 2**63, (2, WINDOW), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = _rng.integers(0, 2**63, (2, WINDOW // WIDTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M = np.uint64(0x9E3779B97F4A7C15)
-_space = np.zeros(256, bool)
-_space[list(b" \t\n\x0b\x0c\r")] = True
+_BLANK = bytes(b in SPACES for b in range(256))
+#: The first bytes of a word of 0 to 8 in a number of eight.
+_HEAD = np.array([2 ** (8 * n) - 1 for n in range(9)], np.uint64)
+_LOW = np.uint64(2**32 - 1)
+_MOST = np.uint64(2**64 - 1)
 
 
 class Words:
-    """Hashes of a text's words with A-Z lowered, and their places; each made when asked for."""
+    """Hashes of the words of texts with A-Z lowered, and their places; each made when asked
+    for. Several texts are joined by line feeds, so no line is of two."""
 
-    def __init__(self, text: bytes):
-        self.text, self.raw = text, np.frombuffer(text, np.uint8)
+    def __init__(self, *texts: bytes):
+        self.text = b"\n".join(texts)
+        self.raw, self.sizes = np.frombuffer(self.text, np.uint8), np.array([len(t) for t in texts])
 
     @cached_property
     def hash(self) -> np.ndarray:
-        words = self.text.translate(LOWER).split()
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        low, begin, size = self.text.translate(LOWER) + bytes(8), self.begin, self.end - self.begin
+        eight = np.ndarray(len(low) - 7, "<u8", low, strides=(1,))  # from each byte on
+        x = mixed((eight[begin] & _HEAD[np.minimum(size, 8)]) * _M + size.astype(np.uint64))
+        rest, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+        while len(rest):
+            left = size[rest] - at
+            x[rest] = mixed(x[rest] * _M + (eight[begin[rest] + at] & _HEAD[np.minimum(left, 8)]))
+            rest, at = rest[left > 8], at + 8
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            x[i] = xxhash.xxh3_64_intdigest(low[begin[i] : begin[i] + size[i]])
+        return x
 
     @cached_property
     def _edges(self) -> np.ndarray:
         blank = np.ones(len(self.raw) + 2, bool)
-        blank[1:-1] = _space[self.raw]
+        blank[1:-1] = np.frombuffer(self.text.translate(_BLANK), bool)
         return np.flatnonzero(blank[1:] != blank[:-1])
 
-    @property
+    @cached_property
     def begin(self) -> np.ndarray:
-        return self._edges[::2]
+        return np.ascontiguousarray(self._edges[::2])
 
-    @property
+    @cached_property
     def end(self) -> np.ndarray:
-        return self._edges[1::2]
+        return np.ascontiguousarray(self._edges[1::2])
+
+    @cached_property
+    def bounds(self) -> np.ndarray:
+        """The first word of each text, and the number of all."""
+        return np.append(np.searchsorted(self.begin, np.cumsum(self.sizes + 1) - self.sizes - 1), len(self.begin))
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        """The number of the text that each word of ``at`` is in."""
+        return np.searchsorted(self.bounds, at, "right") - 1
 
     @cached_property
     def shingle(self) -> np.ndarray:
-        n = len(self.hash)
-        x = self.hash[: max(0, n - WIDTH + 1)]
+        n = max(0, len(self.hash) - WIDTH + 1)
+        x = self.hash[:n].copy()
         for j in range(1, WIDTH):
-            x = mixed(x * _M + self.hash[j : n - WIDTH + 1 + j]) if len(x) else x
-        return x
+            x *= _M
+            x += self.hash[j : n + j]
+        return mixed(x)
 
     def chars(self, at: np.ndarray) -> np.ndarray:
         """Code points before each byte of ``at``."""
         return at - np.searchsorted(np.flatnonzero(self.raw & 0xC0 == 0x80), at)
 
-    def paragraphs(self) -> Iterator[tuple[int, int]]:
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray]:
         """First word and number of words of each line of LEAST_WORDS words or more."""
-        line = np.searchsorted(np.flatnonzero(self.raw == 10), self.begin)
-        cuts = [0, *(np.flatnonzero(np.diff(line)) + 1).tolist(), len(line)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if hi - lo >= LEAST_WORDS:
-                yield lo, hi - lo
+        cuts = np.concatenate([[0], np.searchsorted(self.begin, np.flatnonzero(self.raw == 10)), [len(self.begin)]])
+        size = np.diff(cuts)
+        long = size >= LEAST_WORDS
+        return cuts[:-1][long], size[long]
 
     def shingles(self, lo: int, n: int) -> np.ndarray:
         return np.unique(self.shingle[lo : lo + n - WIDTH + 1])
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """First words of the windows and two 64-bit digests of each."""
-        places = len(self.hash) - WINDOW + 1
-        if places < 1:
+        lo, hi = self.bounds[:-1], self.bounds[1:] - WINDOW + 1  # the places of each text
+        lo, hi = lo[hi > lo], hi[hi > lo]
+        if not len(lo):
             return np.empty(0, np.int64), np.empty((0, 2), np.int64)
-        # the rightmost least of each reach; a text with fewer places has one reach
-        order = np.lib.stride_tricks.sliding_window_view(self.shingle[:places][::-1], min(REACH, places))
-        at = np.unique(places - 1 - (np.arange(len(order)) + order.argmin(1)))
+        # half of a hash, then the place from the right: the rightmost least of each reach
+        n = len(self.hash)
+        least = np.full(n, _MOST)
+        least[: n - WIDTH + 1] = self.shingle & ~_LOW | _LOW - np.arange(n - WIDTH + 1, dtype=np.uint64)
+        least[~_within(lo, hi, n)] = _MOST
+        wide = 1
+        while wide < REACH:
+            step = min(wide, REACH - wide)
+            least, wide = np.minimum(least[:-step], least[step:]), wide + step
+        # a text with fewer places has one reach
+        at = (_LOW - (least[_within(lo, np.maximum(lo + 1, hi - REACH + 1), len(least))] & _LOW)).astype(np.int64)
+        at = at[np.append(True, at[1:] != at[:-1])]
         return at, self.at_digests(at)
 
     def at_digests(self, at: np.ndarray) -> np.ndarray:
-        own = self.hash[at[:, None] + np.arange(WINDOW)]
-        return np.stack([mixed((own * _ODD[k]).sum(1, dtype=np.uint64)) for k in range(2)], axis=1).view(np.int64)
+        x = np.zeros((2, len(at)), np.uint64)
+        for j in range(WINDOW // WIDTH):
+            own = self.shingle[at + j * WIDTH]
+            for k in range(2):
+                x[k] += own * _ODD[k, j]
+        return mixed(x).T.view(np.int64)
+
 
+def _within(lo: np.ndarray, hi: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` places are in one of the ranges, none of them empty, in order and apart."""
+    inside = np.zeros(n + 1, np.int8)
+    inside[lo] += 1
+    inside[hi] -= 1
+    return np.cumsum(inside[:-1], dtype=np.int8).view(bool)
 
-def links(at: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What stands before and after each window of a text: 32 bits of a hash of the
+
+def links(at: np.ndarray, digests: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands before and after each window in its text, ``of``: 32 bits of a hash of the
     neighbouring window and its distance, 0 for none."""
     before, after = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
     if len(at) > 1:
-        d, gap = digests[:, 0].view(np.uint64) * _M, np.diff(at).astype(np.uint64)
-        short = lambda x: (mixed(x) >> np.uint64(32) | np.uint64(1)).astype(np.uint32).view(np.int32)
+        d, gap, same = digests[:, 0].view(np.uint64) * _M, np.diff(at).astype(np.uint64), of[1:] == of[:-1]
+        short = lambda x: np.where(same, (mixed(x) >> np.uint64(32) | np.uint64(1)).astype(np.uint32).view(np.int32), 0)
         before[1:], after[:-1] = short(d[:-1] + gap), short(d[1:] + gap)
     return before, after
 
@@ -136,6 +185,19 @@ def _identified(docs: DataFrame) -> DataFrame:
 UNITS = "paragraph boolean, doc long, at long, words int, d1 long, d2 long, before int, after int, signature binary"
 
 
+def _together(docs: np.ndarray, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, Sequence[bytes]]]:
+    """Documents and texts in groups of BYTES_AT_ONCE, or of one text that is longer."""
+    at = total = 0
+    texts = [t or b"" for t in texts]
+    for i, text in enumerate(texts):
+        if i > at and total + len(text) > BYTES_AT_ONCE:
+            yield docs[at:i], texts[at:i]
+            at, total = i, 0
+        total += len(text)
+    if texts:
+        yield docs[at:], texts[at:]
+
+
 def _units(docs: DataFrame) -> DataFrame:
     """Windows and signed paragraphs of whole texts: a row for each, with its place. ``at`` is
     its first word, below the text's version; ``d2`` of a window has 32 bits."""
@@ -146,28 +208,34 @@ def _units(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             windows: list[list[np.ndarray]] = [[] for _ in range(7)]
             paragraphs: list[list[np.ndarray]] = [[] for _ in range(7)]
-            signatures: list[bytes] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w, base = Words(text or b""), version(text or b"") << 32
+            signatures: list[np.ndarray] = []
+            for docs, texts in _together(batch.column(0).to_numpy(), batch.column(1).to_pylist()):
+                w = Words(*texts)
+                base = np.array([version(t) << 32 for t in texts]) - w.bounds[:-1]
                 at, digests = w.windows()
-                before, after = links(at, digests)
-                n = len(at)
-                for o, c in zip(windows, (np.full(n, doc), base + at, np.full(n, WINDOW), digests[:, 0], digests[:, 1] >> 32, before, after), strict=True):
+                of = w.text_of(at)
+                before, after = links(at, digests, of)
+                for o, c in zip(windows, (docs[of], base[of] + at, np.full(len(at), WINDOW), digests[:, 0], digests[:, 1] >> 32, before, after), strict=True):
                     o.append(c)
-                if found := list(w.paragraphs()):
-                    lo, n = np.array(found).T
-                    parts = [w.shingle[a : a + m - WIDTH + 1] for a, m in found]
-                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in parts), "<i8").reshape(-1, 2)
-                    for o, c in zip(paragraphs, (np.full(len(lo), doc), base + lo, n, digests[:, 0], digests[:, 1]), strict=False):
+                lo, n = w.paragraphs()
+                if len(lo):
+                    of = w.text_of(lo)
+                    parts = [w.shingle[a : a + m - WIDTH + 1] for a, m in zip(lo.tolist(), n.tolist(), strict=True)]
+                    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<i8").reshape(-1, 2)
+                    for o, c in zip(paragraphs, (docs[of], base[of] + lo, n, digests[:, 0], digests[:, 1]), strict=False):
                         o.append(c)
-                    signatures += map(bytes, sign.each(parts))
+                    signatures.append(sign.each(parts))
             yield batch_of(windows, False, None)
             yield batch_of(paragraphs, True, signatures)
 
-    def batch_of(columns: list[list[np.ndarray]], paragraph: bool, signatures: list[bytes] | None) -> pa.RecordBatch:
+    def batch_of(columns: list[list[np.ndarray]], paragraph: bool, signatures: list[np.ndarray] | None) -> pa.RecordBatch:
         n = sum(map(len, columns[0]))
-        made = [pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype())) if c else pa.nulls(n, f.type) for f, c in zip(list(schema)[1:-1], columns, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, paragraph)), *made, pa.array(signatures, pa.binary()) if paragraph else pa.nulls(n, pa.binary())], schema=schema)
+        made = [pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype(), copy=False)) if c else pa.nulls(n, f.type) for f, c in zip(list(schema)[1:-1], columns, strict=True)]
+        signs = pa.nulls(n, pa.binary())
+        if signatures:
+            ends = np.arange(n + 1, dtype=np.int32) * np.int32(2 * BANDS * ROWS)
+            signs = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(signatures))])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, paragraph)), *made, signs], schema=schema)
 
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), as_bytes()).mapInArrow(run, UNITS)
 
@@ -211,16 +279,15 @@ def _sets(docs: DataFrame, holders: DataFrame, ids: DataFrame) -> DataFrame:
 def _paragraph_matches(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
     """(doc, at, words, cluster, removed, paragraph): paragraphs that other documents have."""
     units = units.where("paragraph")
-    item = F.xxhash64("d1", "d2")
-    classes = written(units.groupBy("d1", "d2").agg(F.min(F.struct("doc", "at", "words")).alias("holder"), F.max("doc").alias("last"), F.first("signature").alias("signature")).withColumn("id", item), "classes")
+    units = units.withColumn("id", F.xxhash64("d1", "d2"))
+    classes = written(units.groupBy("id").agg(F.min(F.struct("doc", "at", "words")).alias("holder"), F.max("doc").alias("last"), F.first("signature").alias("signature")), "classes")
     holders = classes.select("id", "holder.doc", "holder.at", "holder.words")
-    items = classes.select("id", "signature").dropDuplicates(["id"])
-    labels = near.groups(items, band_keys, MAX_ERRORS, lambda ids: _sets(docs, holders, ids).dropDuplicates(["id"]), percent)
+    labels = near.groups(classes.select("id", "signature"), band_keys, MAX_ERRORS, lambda ids: _sets(docs, holders, ids).dropDuplicates(["id"]), percent)
     of = classes.join(labels, "id", "left").withColumn("cluster", F.coalesce("label", "id"))
     clusters = of.groupBy("cluster").agg(F.min(F.struct("holder.doc", "holder.at")).alias("first"), F.max("last").alias("last")).where("first.doc <> last")
-    hot = written(of.select("d1", "d2", "cluster").join(clusters, "cluster").select("d1", "d2", "cluster", "first"), "hot")
+    hot = written(of.select("id", "cluster").join(clusters, "cluster").select("id", "cluster", "first"), "hot")
     removed = ((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at"))).alias("removed")
-    return units.join(hot, ["d1", "d2"]).select("doc", "at", "words", "cluster", removed, F.lit(True).alias("paragraph"))
+    return units.join(hot, "id").select("doc", "at", "words", "cluster", removed, F.lit(True).alias("paragraph"))
 
 
 PLACE = ["d1", "d2", "doc", "at", "before", "after"]
@@ -311,22 +378,18 @@ def _repeated(units: DataFrame) -> DataFrame:
         keys = np.array(sorted(firsts), np.int64).reshape(-1, 2)
         values = np.array([firsts[tuple(k)] for k in keys.tolist()], np.int64).reshape(-1, 4)
         for batch in batches:
-            kind, d1, d2 = (batch.column(i).to_numpy() for i in range(3))
-            keep = kind == REPEATED
-            yield batch.filter(pa.array(keep)).select(names)
-            late = np.flatnonzero(kind == PENDING)
-            if not len(late) or not len(keys):
+            if not batch.num_rows or not len(keys):
                 continue
-            own = np.stack([d1[late], d2[late]], 1)
-            groups, of = np.unique(own, axis=0, return_inverse=True)
+            groups, of = np.unique(np.stack([batch.column(i).to_numpy() for i in range(2)], 1), axis=0, return_inverse=True)
             place = {tuple(k): i for i, k in enumerate(keys.tolist())}
             row = np.array([place.get(tuple(g), -1) for g in groups.tolist()])[of.ravel()]
-            late, row = late[row >= 0], row[row >= 0]
+            late, row = np.flatnonzero(row >= 0), row[row >= 0]
             cells = [pa.array(values[row, i].astype(t)) for i, t in enumerate((np.int64, np.int64, np.int32, np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.select(PLACE).take(pa.array(late)).columns, *cells], names=names)
 
     names = [x.split()[0] for x in FOUND.split(", ")][1:]
-    return found.mapInArrow(settled, FOUND.split(", ", 1)[1])
+    pending = found.where(F.col("kind") == PENDING).select(PLACE).mapInArrow(settled, FOUND.split(", ", 1)[1])
+    return found.where(F.col("kind") == REPEATED).select(names).union(pending)
 
 
 SIDES = "c1 long, c2 long, doc long, at long, side int, depth int, context binary"
@@ -339,7 +402,7 @@ def _sides(docs: DataFrame, found: DataFrame) -> DataFrame:
     other = F.expr("doc <> first_doc or at <> first_at")
     left, right = F.expr("before = 0 or before <> first_before").alias("left"), F.expr("after = 0 or after <> first_after").alias("right")
     open_ = found.where(other).select("doc", "at", "first_doc", "first_at", left, right).where("left or right")
-    both = open_.select("doc", "at", "left", "right").union(open_.select("first_doc", "first_at", "left", "right"))
+    both = open_.select("left", "right", F.inline(F.expr("array(struct(doc, at), struct(first_doc as doc, first_at as at))")))
     code = F.expr("(at & 4294967295) * 4 + if(left, 2, 0) + if(right, 1, 0) as part")
     texts = _texts_of(docs, both.select("doc", F.shiftright("at", 32).alias("version"), code).distinct())
     reach = REACH - 1
@@ -347,17 +410,22 @@ def _sides(docs: DataFrame, found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for doc, text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                w, base = Words(text or b""), version(text or b"") << 32
-                codes, n = parts.values.to_numpy(), len(w.hash)
+            every, own = batch.column(2).flatten().to_numpy(), batch.column(2).value_lengths().to_numpy()
+            ends, docs = np.cumsum(own), batch.column(0).to_numpy()
+            for rows, texts in _together(np.arange(batch.num_rows), batch.column(1).to_pylist()):
+                w, base = Words(*texts), np.array([version(t) << 32 for t in texts])
+                codes = every[ends[rows[0]] - own[rows[0]] : ends[rows[-1]]]
+                places = (codes >> 2) + np.repeat(w.bounds[:-1], own[rows])
                 short = (w.hash >> np.uint64(32)).astype(np.uint32)
                 for side, bit in ((0, 2), (1, 1)):
-                    at = np.unique(codes[codes & bit > 0] >> 2)
-                    at = at[at > 0] if side == 0 else at[at + WINDOW < n]
-                    digests = w.at_digests(at)
+                    at = np.unique(places[codes & bit > 0])
+                    of = w.text_of(at)
+                    within = at > w.bounds[of] if side == 0 else at + WINDOW < w.bounds[of + 1]
+                    at, of = at[within], of[within]
+                    digests, lo, hi = w.at_digests(at), w.bounds[of], w.bounds[of + 1]
                     beside = at[:, None] + (WINDOW + np.arange(reach) if side else -1 - np.arange(reach))
-                    there = (beside >= 0) & (beside < n)
-                    cells = digests[:, 0], digests[:, 1] ^ side, np.full(len(at), doc), base + at, np.full(len(at), side, np.int32), there.sum(1), short[beside[there]]
+                    there = (beside >= lo[:, None]) & (beside < hi[:, None])
+                    cells = digests[:, 0], digests[:, 1] ^ side, docs[rows][of], base[of] + at - lo, np.full(len(at), side, np.int32), there.sum(1), short[beside[there]]
                     for o, c in zip(out, cells, strict=True):
                         o.append(c)
             c = [np.concatenate(o) if o else np.empty(0, np.int64) for o in out]
@@ -391,13 +459,15 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extended(sides: DataFrame) -> list[DataFrame]:
-    """(doc, at, words, removed, group): what repeated windows have in common
-    beside them.
+    """(doc, at, words, removed, group, and steps or not): what repeated windows have in
+    common beside them. A row with ``steps`` stands for as many more parts of WINDOW words,
+    each a word further.
 
     Rows of one window and side are held against the first of them, which settles most.
     Those that leave it after the same words by the same word may go on together: they are
     held against the first of them once more. What goes on after that, such as families of
-    copies with an edit each, has each of its beginnings counted.
+    copies with an edit each, has each of its beginnings counted, once for all copies that
+    have the same words there.
     """
     rows, out = written(sides, "sides", TEXT_ROWS), []
     removed = F.expr("doc <> first_doc or at <> first_at as removed")
@@ -417,11 +487,25 @@ def _extended(sides: DataFrame) -> list[DataFrame]:
         go = [F.xxhash64(F.lit(i), "c1", "c2", "same", "step").alias(f"c{i}") for i in (1, 2)]
         rows = left.select(*go, "doc", "at", "side", F.col("same").alias("depth"), "context")
     several = rows.groupBy("c1", "c2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("c1", "c2")
-    k = rows.join(written(several, "several"), ["c1", "c2"]).select("*", F.explode(F.expr("sequence(depth + 1, cast(length(context) / 4 as int))")).alias("k"))
+    # copies with the same words beside them are one kind, whose beginnings are counted once
+    kind = [F.xxhash64(F.lit(i), "c1", "c2", "context").alias(f"k{i}") for i in (1, 2)]
+    rows = written(rows.join(written(several, "several"), ["c1", "c2"]).select("c1", "c2", *kind, "doc", "at", "side", "depth", "context"), "rest")
+    kinds = rows.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("c1", "c2", "depth", "context")], F.min(F.struct("doc", "at")).alias("f"), F.max("doc").alias("last"))
+    k = written(kinds, "kinds").select("*", F.explode(F.expr("sequence(depth + 1, cast(length(context) / 4 as int))")).alias("k"))
     go = [F.xxhash64(F.lit(i), "c1", "c2", F.expr("substring(context, 1, 4 * k)")).alias(f"p{i}") for i in (1, 2)]
-    begun = written(k.select(*go, "doc", F.expr("if(side = 1, at + k, at - k) as at")), "begun")
-    firsts = begun.groupBy("p1", "p2").agg(F.min(F.struct("doc", "at")).alias("f"), F.max("doc").alias("last")).where("f.doc <> last").select("p1", "p2", F.col("f.doc").alias("first_doc"), F.col("f.at").alias("first_at"))
-    out.append(begun.join(written(firsts, "firsts"), ["p1", "p2"]).select("doc", "at", F.lit(WINDOW).alias("words"), removed, F.col("p1").alias("group")))
+    begun = written(k.select(*go, "k1", "k2", "k", "f", "last"), "begun")
+    firsts = begun.groupBy("p1", "p2").agg(F.min("f").alias("first"), F.max("last").alias("last")).where("first.doc <> last").select("p1", "p2", "first")
+    # a kind's least copy is the first of its longer beginnings, or of none; other copies never
+    own, at_k, at_p = F.col("first") == F.col("f"), F.col("k"), F.col("p1")
+    shared = begun.select("p1", "p2", "k1", "k2", "k", "f").join(written(firsts, "firsts"), ["p1", "p2"]).groupBy("k1", "k2").agg(
+        F.first("f").alias("f"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.min("p1").alias("group"),
+        F.max(F.when(~own, at_k)).alias("going_hi"), F.min(F.when(~own, at_p)).alias("going"), F.min(F.when(own, at_k)).alias("staying_lo"), F.min(F.when(own, at_p)).alias("staying"),
+    )
+    pieces = F.expr("""filter(if(doc <> f.doc or at <> f.at,
+        array(struct(lo, hi, group, true as removed)),
+        array(struct(lo, going_hi as hi, going as group, true as removed), struct(staying_lo as lo, hi, staying as group, false as removed))), x -> x.group is not null)""")
+    copies = rows.select("k1", "k2", "doc", "at", "side").join(written(shared, "shared"), ["k1", "k2"]).select("doc", "at", "side", F.inline(pieces))
+    out.append(copies.select("doc", F.expr("if(side = 1, at + lo, at - hi) as at"), F.expr(f"{WINDOW} + hi - lo as words"), "removed", "group", F.expr("hi - lo as steps")))
     return out
 
 
@@ -429,7 +513,7 @@ def _window_matches(docs: DataFrame, units: DataFrame) -> DataFrame:
     """The same of windows, and of what they have in common beside them, with a group instead."""
     found = _repeated(units)
     removed = F.expr("doc <> first_doc or at <> first_at as removed")
-    out = found.select("doc", "at", F.lit(WINDOW).alias("words"), F.xxhash64("d1", "d2").alias("cluster"), removed, F.lit(None).cast("long").alias("group"))
+    out = found.select("doc", "at", F.lit(WINDOW).alias("words"), F.xxhash64("d1", "d2").alias("cluster"), removed, F.lit(None).cast("long").alias("group"), F.lit(None).cast("int").alias("steps"))
     for more in _extended(_sides(docs, found)):
         out = out.unionByName(more, allowMissingColumns=True)  # without a cluster
     return out.withColumn("paragraph", F.lit(False))
@@ -440,8 +524,8 @@ _NONE = 2**63 - 1
 
 
 def _merged(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.RecordBatch]:
-    """SPANS of rows (doc, version, at, words, removed, cluster, group, paragraph) sorted by
-    the first three: overlapping parts with the same fate are one. A part that the text's
+    """SPANS of rows (doc, version, at, words, removed, cluster, group, paragraph, steps) sorted
+    by the first three: overlapping parts with the same fate are one. A part that the text's
     removed passages cover isn't kept: its first copy is elsewhere, though no window there.
     Without a paragraph, a passage has ``least_words`` at least.
 
@@ -458,7 +542,14 @@ def _merged(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.
 
     def settled() -> pa.RecordBatch:
         doc, part = (int(held[0][i][0]) for i in range(2))
-        at, words, removed, cluster, group, paragraph = (np.concatenate([h[i] for h in held]) for i in range(2, 8))
+        at, words, removed, cluster, group, paragraph, steps = (np.concatenate([h[i] for h in held]) for i in range(2, 9))
+        if (several := ~removed & (steps > 0)).any():  # each of their parts stays or not
+            each = np.where(several, steps + 1, 1)
+            further = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            at, words = np.repeat(at, each) + further, np.repeat(np.where(several, words - steps, words), each)
+            order = np.argsort(at, kind="stable")
+            at, words = at[order], words[order]
+            removed, cluster, group, paragraph = (np.repeat(x, each)[order] for x in (removed, cluster, group, paragraph))
         lo = at & 0xFFFFFFFF
         c, keep, out = [lo, lo + words, cluster, group, paragraph], ~removed, []
         if removed.any():
@@ -475,7 +566,7 @@ def _merged(batches: Iterator[pa.RecordBatch], least_words: int) -> Iterator[pa.
     for batch in batches:
         if not batch.num_rows:
             continue
-        c = [batch.column(i).fill_null(_NONE).to_numpy() if i in (5, 6) else batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+        c = [batch.column(i).fill_null(_NONE).to_numpy() if i in (5, 6) else batch.column(i).to_numpy(zero_copy_only=False) for i in range(9)]
         cuts = [0, *(np.flatnonzero((c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1])) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             part = [x[lo:hi] for x in c]
@@ -521,7 +612,7 @@ def passages(docs: DataFrame, percent: int = 80, least_words: int = WINDOW + REA
     """
     units = written(_units(docs), "units", TEXT_ROWS, kinds="paragraph", codec="lz4_raw")
     parts = _paragraph_matches(docs, units, percent).unionByName(_window_matches(docs, units), allowMissingColumns=True)
-    placed = parts.select("doc", F.shiftright("at", 32).alias("version"), "at", "words", "removed", "cluster", "group", "paragraph")
+    placed = parts.select("doc", F.shiftright("at", 32).alias("version"), "at", "words", "removed", "cluster", "group", "paragraph", F.coalesce("steps", F.lit(0)).alias("steps"))
     dealt = placed.repartition("doc", "version").sortWithinPartitions("doc", "version", "at")
     spans = dealt.mapInArrow(lambda batches: _merged(batches, least_words), SPANS).select("doc", "version", F.struct("lo", "words", "removed", "cluster").alias("part"))
     found = _texts_of(docs, spans).mapInArrow(_placed, PASSAGES).distinct()  # once for rows that repeat
